@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, sharding, token_counts, topk_search, toxicity, url_filter
+from . import chat_format, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 from .common import read
 
 #: The verdicts and rules that the url query holds (fixed values).
@@ -45,9 +45,22 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search_top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.remove_repeats(docs, length=50)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op5_chat_formatting, op6_token_counts, op7_topk_search, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op5_chat_formatting, op6_token_counts, op7_topk_search, op8_suffix_dedup, op10_url_filters)}
