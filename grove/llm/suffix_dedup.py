@@ -25,7 +25,7 @@ KGRAM = 26
 STEP = 1 << 18
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20
-BLOCK_WINDOWS = 1 << 19
+BLOCK_WINDOWS = 1 << 18
 SPAN = "array<struct<start:long,end:long>>"
 
 
@@ -70,14 +70,18 @@ def split_key(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((key >> U64(32)) % U64(buckets)).astype(np.int64), key.astype(np.uint32)
 
 
-def piece_hashes(data: np.ndarray, i: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each data[i : i + n]."""
-    out = []
-    for salt in (U64(0), U64(0x5851F42D4C957F2D)):
-        total = np.empty(len(data) + 1, U64)
-        total[0] = 0
-        np.cumsum(mix(BYTE + salt)[data] * powers(len(data), BASE, "up"), out=total[1:])
-        out.append(mix((total[i + n] - total[i]) * powers(len(data), BACK, "down")[i] + n.astype(U64)))
+def piece_hashes(data: np.ndarray, i: np.ndarray, n: np.ndarray, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each data[i : i + n], for rising i; some pieces at a time, so that memory stays small."""
+    out = np.empty((2, len(i)), U64)
+    for x in range(0, len(i), step):
+        a, m = i[x : x + step], n[x : x + step]
+        low, high = int(a[0]), int((a + m).max())
+        part, a = data[low:high], a - low
+        for s, salt in enumerate((U64(0), U64(0x5851F42D4C957F2D))):
+            total = np.empty(len(part) + 1, U64)
+            total[0] = 0
+            np.cumsum(mix(BYTE + salt)[part] * powers(len(part), BASE, "up"), out=total[1:])
+            out[s, x : x + step] = mix((total[a + m] - total[a]) * powers(len(part), BACK, "down")[a] + m.astype(U64))
     return out[0], out[1]
 
 
