@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ngram_join, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
+from . import chat_format, ngram_join, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 from .common import read
 
 #: The verdicts and rules that the url query holds (fixed values).
@@ -62,9 +62,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_ngram_join, op5_chat_formatting, op6_token_counts, op7_topk_search, op8_suffix_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_ngram_join, op5_chat_formatting, op6_token_counts, op7_topk_search, op8_suffix_dedup, op9_sentencepiece, op10_url_filters)}

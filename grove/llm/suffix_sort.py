@@ -61,7 +61,12 @@ def sort_suffixes(text: np.ndarray, pos: np.ndarray, depth: int, words: Words |
     """The order of the suffixes at pos by their first `depth` bytes (or more)."""
     words = words or Words(text)
     head = words.at(pos, min(depth, V))
-    order = np.lexsort(head[::-1])
+    order = np.lexsort(head[:2][::-1])
+    if len(head) > 2:  # the other words matter only where the first two tie
+        group = np.cumsum(_changes(head[:2], order)) - 1
+        tie = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else group
+        rows = order[tie]
+        order[tie] = rows[np.lexsort([*(h[rows] for h in head[:1:-1]), group[tie]])]
     if depth <= V or len(pos) < 2:
         return order
     group = np.cumsum(_changes(head, order)) - 1
