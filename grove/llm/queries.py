@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ngram_join, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
+from . import chat_format, decontaminate, ngram_join, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 from .common import read
 
 #: The verdicts and rules that the url query holds (fixed values).
@@ -15,6 +15,10 @@ SHARD_BYTES = 1 << 20
 REJECT = 0.15
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = sharding.assign_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES)
@@ -72,4 +76,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_ngram_join, op5_chat_formatting, op6_token_counts, op7_topk_search, op8_suffix_dedup, op9_sentencepiece, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_ngram_join, op5_chat_formatting, op6_token_counts, op7_topk_search, op8_suffix_dedup, op9_sentencepiece, op10_url_filters)}
