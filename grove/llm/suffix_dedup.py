@@ -272,7 +272,21 @@ def _resolve(t: pa.Table, length: int) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int32()), "spans": pa.array(blobs, pa.binary())})
 
 
-def _cut(t: pa.Table, answers: pa.Table, names: list[str], schema: pa.Schema) -> pa.Table:
+def _inward(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the characters that they hold in part only."""
+    inside = lambda p: p < len(text) and text[p] & 0xC0 == 0x80
+    moved = []
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        while a < b and inside(a):
+            a += 1
+        while a < b and inside(b):
+            b -= 1
+        if a < b:
+            moved.append((a, b))
+    return tuple(np.array(moved, np.int64).reshape(-1, 2).T)
+
+
+def _cut(t: pa.Table, answers: pa.Table, names: list[str], schema: pa.Schema, whole_characters: bool) -> pa.Table:
     """Step 3: the rows of a chunk with their maximal spans and what is left of their texts."""
     data, off, num, rows = _sound(t)
     parts = [np.frombuffer(x, np.int64).reshape(3, -1) for x in answers.column("spans").to_pylist()]
@@ -296,6 +310,8 @@ def _cut(t: pa.Table, answers: pa.Table, names: list[str], schema: pa.Schema) ->
         top = np.maximum.accumulate(b)
         edge = np.flatnonzero(np.r_[True, a[1:] > top[:-1]])
         start, end = a[edge], np.r_[top[edge[1:] - 1], top[-1]]
+        if whole_characters:
+            start, end = _inward(text, start, end)
         spans[row] = [{"start": int(u), "end": int(v)} for u, v in zip(start, end, strict=True)]
         kept[row] = b"".join(text[u:v] for u, v in zip(np.r_[0, end], np.r_[start, len(text)], strict=True))
     for row in np.flatnonzero([k is None for k in kept]):
@@ -304,14 +320,15 @@ def _cut(t: pa.Table, answers: pa.Table, names: list[str], schema: pa.Schema) ->
     return pa.table(out)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, whole_characters: bool = False) -> DataFrame:
     """The rows of docs with two more columns: spans (removed byte ranges of the UTF-8 text) and kept (the bytes left).
 
     A byte goes when a string of `length` bytes that covers it also starts in a document with a smaller id. Strings are judged on the
     input and never cross documents. Null and empty texts, and texts shorter than `length`, lose nothing (kept is empty for
     null). Rows with the same id count as one document for each other, so they remove nothing from each other; their texts
     should be equal, as spans are found by id and place. Rows without an id take no part and stay whole. An empty table gives an
-    empty table. Columns named spans or kept are replaced.
+    empty table. Columns named spans or kept are replaced. With whole_characters, a character that a span holds in part stays,
+    so that kept is UTF-8 again.
     """
     spark = docs.sparkSession
     docs = docs.drop("spans", "kept")
@@ -330,4 +347,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = sent.groupBy("bucket").applyInArrow(lambda t: _resolve(t, length), "chunk int, spans binary")
     schema = plus(docs, f"spans {SPAN}, kept binary")
     arrow = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-    return slim.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names, arrow), schema)
+    return slim.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names, arrow, whole_characters), schema)
