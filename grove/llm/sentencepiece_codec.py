@@ -21,6 +21,7 @@ from .suffix_sort import sort_suffixes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+SLICE = 1 << 20  # bytes of text that are indexed at once
 CACHED_WORDS = 1_000_000  # of a task's earlier batches; older ones are encoded again when they come again
 
 
@@ -339,7 +340,7 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(shared.value)
-        for b, data, off in pieces(batches, text):
+        for b, data, off in pieces(batches, text, SLICE):
             ids, at = encode_texts(m, data, off)
             back, ends = decode_ids(m, ids, at)
             raw, again = data.tobytes(), back.tobytes()
