@@ -37,11 +37,12 @@ class MTree:
         node = {"pivot": pivot, "radius": d.max(initial=0.0)}
         if len(rows) <= PAGE:
             order = np.argsort(d, kind="stable")
-            return node | {"rows": rows[order], "parent": d[order]}
+            return node | {"ids": self.ids[rows[order]], "x": self.x[rows[order]], "parent": d[order]}
         if node["radius"] <= self.SLACK:  # copies of one point: no pivot tells them apart
             groups = [(pivot, part) for part in np.array_split(rows, -(-len(rows) // PAGE))]
         else:
-            seeds = rows[np.argsort(d, kind="stable")[np.unique(np.linspace(0, len(rows) - 1, FAN).astype(int))]]
+            fan = int(np.clip(2 * len(rows) // PAGE, 2, FAN))
+            seeds = rows[np.argsort(d, kind="stable")[np.unique(np.linspace(0, len(rows) - 1, fan).astype(int))]]
             near = np.stack([self._between(s, rows) for s in seeds]).argmin(0)
             groups = [(s, rows[near == i]) for i, s in enumerate(seeds) if (near == i).any()]
             if len(groups) == 1:
@@ -77,14 +78,17 @@ class MTree:
                         n += 1
                         heapq.heappush(heap, (max(low, 0.0), n, di, node["children"][i]))
                 continue
-            lo, hi = np.searchsorted(node["parent"], [dq - far, dq + far], side="left") if np.isfinite(far) else (0, len(node["rows"]))
-            rows = node["rows"][lo : hi + 1]
+            lo, hi = np.searchsorted(node["parent"], [dq - far, dq + far], side="left") if np.isfinite(far) else (0, len(node["ids"]))
+            if lo > hi:
+                continue
+            self.computed += hi + 1 - lo
+            s, ids = node["x"][lo : hi + 1] @ q, node["ids"][lo : hi + 1]
+            on = s >= best_s[-1] if len(best_s) == k else s > -np.inf
             if own is not None:
-                rows = rows[self.ids[rows] != own]
-            if not len(rows):
+                on &= ids != own
+            if not on.any():
                 continue
-            s, _ = dist(rows)
-            best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, self.ids[rows]])
+            best_s, best_i = np.concatenate([best_s, s[on]]), np.concatenate([best_i, ids[on]])
             top = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[top], best_i[top]
             if len(top) == k:
@@ -96,13 +100,13 @@ def whole_components(c: Column, scale: int) -> Column:
     return F.transform(c, lambda v: F.floor(v.cast("double") * scale).cast("double"))
 
 
-def search_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256, per_part: int = 100_000) -> DataFrame:
+def search_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256, part_rows: tuple[int, int] = (4096, 100_000)) -> DataFrame:
     """The k highest inner products of each query with all vectors but the row(s) of its own id: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). Vectors that are null, or hold null or non-finite components, take no part on either
     side; shorter vectors count as padded with zeros; fewer than k candidates give fewer rows; repeated candidate rows count one
     by one, and a query id that comes more than once is answered once. Empty tables give no rows. Candidates are dealt by
-    hashed id into parts of about `per_part`, one M-tree each; every query visits every part and the parts' k best are ranked.
+    hashed id into parts of `part_rows` (least, most) or so, one M-tree each; every query visits every part and the parts' k best are ranked.
     """
     spark = vectors.sparkSession
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -111,7 +115,7 @@ def search_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     m2, dim, n = points.agg(F.max(norm), F.max(F.size("v")), F.count("*")).first()
     dim = max(dim or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0)
-    parts = max(width(spark), -(-n // per_part))
+    parts = max(1, min(width(spark), -(-n // part_rows[0])), -(-n // part_rows[1]))
     m2 = m2 or 0.0
     rows = points.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "v").unionByName(
         asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "id", "v")
