@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import geo_queries
+
+PARTS = [geo_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in PARTS for k, v in part.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for part in PARTS for k, v in part.O.items()}
