@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geo_queries
+from . import geo_queries, identity_queries, string_queries
 
-PARTS = [geo_queries]
+PARTS = [geo_queries, string_queries, identity_queries]
 
 
 def queries() -> dict:
