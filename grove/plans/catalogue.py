@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fact_queries, geo_queries, identity_queries, plan_queries, string_queries
+from . import app_queries, fact_queries, geo_queries, identity_queries, plan_queries, string_queries
 
-PARTS = [geo_queries, string_queries, identity_queries, fact_queries, plan_queries]
+PARTS = [geo_queries, string_queries, identity_queries, fact_queries, plan_queries, app_queries]
 
 
 def queries() -> dict:
