@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,24 +14,34 @@ from .identity import first_rows
 LEVELS = ["existing", "exact", "author_stripped", "normalized", "hybrid_agnostic", "infraspecific_stripped", "synonym", "parenthetical_synonym", "manual"]
 
 
-def lookups(ref: DataFrame) -> dict[str, DataFrame]:
-    """Reference rows by exact name (the last wins), by normalized and by hybrid-free name (the first wins); blank ids stay in."""
+def lookups(ref: DataFrame) -> DataFrame:
+    """Reference rows by kind and key: exact names (the last row wins), normalized and hybrid-free ones (the first wins); blank ids stay in."""
     hit = F.struct(F.col("qid"), F.col("botanic").alias("name"))
     keyed = {"exact": (F.col("botanic"), F.max_by), "normalized": (st.normalize(F.col("botanic")), F.min_by), "no_hybrid": (st.remove_hybrid(F.col("botanic")), F.min_by)}
-    return {n: ref.groupBy(k.alias("k")).agg(pick(hit, F.col("pos")).alias("hit")) for n, (k, pick) in keyed.items()}
+    return reduce(DataFrame.unionByName, [ref.groupBy(k.alias("key")).agg(pick(hit, F.col("pos")).alias("hit")).select(F.lit(n).alias("kind"), "key", "hit") for n, (k, pick) in keyed.items()])
+
 
+def key_of(order: int | Column, kind: str, level: str, key: Column, name: Column | None = None) -> Column:
+    """One way to look a name up; `name` is what a hit reports instead of the reference's own spelling."""
+    order = F.lit(order) if isinstance(order, int) else order
+    name = F.lit(None) if name is None else name
+    return F.struct(order.cast("int").alias("order"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), key.alias("key"), name.cast("string").alias("as_name"))
 
-def probe(rows: DataFrame, table: DataFrame, key: Column, name: str) -> DataFrame:
-    return rows.withColumn("__key", key).join(table.select(F.col("k").alias("__key"), F.col("hit").alias(name)), "__key", "left").drop("__key")
 
+def resolving_keys(order: int | Column, level: str, name: Column) -> list[Column]:
+    """Exact, then author-free normalized, then author-free hybrid-free."""
+    bare = st.strip_authors(name)
+    keys = {"exact": name, "normalized": st.normalize(bare), "no_hybrid": st.remove_hybrid(bare)}
+    return [key_of(order + i, kind, level, key, name) for i, (kind, key) in enumerate(keys.items())]
 
-def resolve(rows: DataFrame, tables: dict[str, DataFrame], name: str, out: str) -> DataFrame:
-    """Exact, then author-free normalized, then author-free hybrid-free lookups of a name column."""
-    bare = st.strip_authors(F.col(name))
-    rows = probe(rows, tables["exact"], F.col(name), "__e")
-    rows = probe(rows, tables["normalized"], st.normalize(bare), "__n")
-    rows = probe(rows, tables["no_hybrid"], st.remove_hybrid(bare), "__h")
-    return rows.withColumn(out, F.coalesce("__e", "__n", "__h")).drop("__e", "__n", "__h")
+
+def resolved_synonyms(synonyms: DataFrame, table: DataFrame) -> DataFrame:
+    """The first entry of each synonym with what its target resolves to (null: nowhere), as lookups of kind synonym."""
+    entry = first_rows(synonyms, ["botanic"], "pos").select("botanic", "target")
+    tries = entry.select("botanic", "target", F.explode(F.array(*resolving_keys(0, "synonym", F.col("target")))).alias("t")).select("botanic", "target", "t.*")
+    found = tries.join(table, ["kind", "key"], "left").groupBy("botanic", "target").agg(F.min_by(F.col("hit.qid"), F.when(F.col("hit").isNotNull(), F.col("order"))).alias("qid"), F.max(F.col("hit").isNotNull()).alias("there"))
+    hit = F.when(F.col("there"), F.struct("qid", F.col("target").alias("name")))
+    return found.select(F.lit("synonym").alias("kind"), F.col("botanic").alias("key"), hit.alias("hit"))
 
 
 def reconcile(ext: DataFrame, ref: DataFrame, synonyms: DataFrame, manual: DataFrame) -> DataFrame:
@@ -37,42 +49,39 @@ def reconcile(ext: DataFrame, ref: DataFrame, synonyms: DataFrame, manual: DataF
 
     A row with an id keeps it. The synonym level looks at the name, its author-free, infraspecific-free and cultivar-free forms:
     the first with an entry decides, even if that entry's target is found nowhere. The bracket level tries its candidates until
-    one resolves. Every level is one join on a precomputed key; a row never makes more than its few bracket candidates.
+    one resolves. Levels depend on the name alone, so distinct names are looked up, all their keys in one join; the least
+    order that hits is one aggregate.
     """
-    tables = lookups(ref)
     name = F.col("botanic")
-    bare = st.strip_authors(name)
-    rows = ext.withColumn("__bare", bare)
-    rows = probe(rows, tables["exact"], name, "h_exact")
-    rows = probe(rows, tables["exact"], F.when(F.col("__bare") != name, F.col("__bare")), "h_author_stripped")
-    rows = probe(rows, tables["normalized"], st.normalize(F.col("__bare")), "h_normalized")
-    rows = probe(rows, tables["no_hybrid"], st.remove_hybrid(F.col("__bare")), "h_hybrid_agnostic")
-    rows = probe(rows, tables["normalized"], st.normalize(st.drop_infraspecific(F.col("__bare"))), "h_infraspecific_stripped")
-    entry = first_rows(synonyms, ["botanic"], "pos").select(F.col("botanic").alias("k"), F.col("target").alias("hit"))
-    forms = [name, F.col("__bare"), st.drop_infraspecific(F.col("__bare")), st.strip_cultivar(name)]
-    for i, form in enumerate(forms):
-        rows = probe(rows, entry, form, f"__s{i}")
-    rows = rows.withColumn("__target", F.coalesce(*[f"__s{i}" for i in range(4)]))
-    rows = resolve(rows, tables, "__target", "__syn")
-    rows = rows.withColumn("h_synonym", F.when(F.col("__syn").isNotNull(), F.struct(F.col("__syn.qid").alias("qid"), F.col("__target").alias("name"))))
-    rows = rows.join(bracket_matches(ext, tables), "pos", "left")
-    by_hand = manual.groupBy(F.col("botanic").alias("k")).agg(F.max("qid").alias("q")).select("k", F.struct(F.col("q").alias("qid"), F.lit(None).cast("string").alias("name")).alias("hit"))
-    rows = probe(rows, by_hand, name, "h_manual")
+    table = lookups(ref)
+    by_hand = manual.groupBy(F.col("botanic").alias("key")).agg(F.max("qid").alias("q")).select(F.lit("manual").alias("kind"), "key", F.struct(F.col("q").alias("qid"), F.lit(None).cast("string").alias("name")).alias("hit"))
+    everything = table.unionByName(resolved_synonyms(synonyms, table)).unionByName(by_hand)
+    names = ext.select("botanic").distinct().withColumn("bare", st.strip_authors(name))
+    bare = F.col("bare")
+    forms = [name, bare, st.drop_infraspecific(bare), st.strip_cultivar(name)]
+    fixed = [
+        key_of(1, "exact", "exact", name), key_of(2, "exact", "author_stripped", F.when(bare != name, bare)), key_of(3, "normalized", "normalized", st.normalize(bare)),
+        key_of(4, "no_hybrid", "hybrid_agnostic", st.remove_hybrid(bare)), key_of(5, "normalized", "infraspecific_stripped", st.normalize(st.drop_infraspecific(bare))),
+        *[key_of(6 + i, "synonym", "synonym", f) for i, f in enumerate(forms)], key_of(2**30, "manual", "manual", name),
+    ]
+    keys = names.select("botanic", F.explode(F.array(*fixed)).alias("t")).select("botanic", "t.*").unionByName(bracket_keys(names))
+    hits = keys.join(everything, ["kind", "key"])
+    found = F.struct("order", "level", F.col("hit.qid").alias("qid"), F.coalesce("as_name", F.col("hit.name")).alias("name"))
+    synonym = F.col("kind") == "synonym"
+    best = hits.groupBy("botanic").agg(F.min(F.when(~synonym, found)).alias("plain"), F.min_by(F.when(F.col("hit").isNotNull(), found), F.when(synonym, F.col("order"))).alias("syn"))
+    pick = F.when(F.col("syn").isNotNull() & (F.col("plain").isNull() | (F.col("syn.order") < F.col("plain.order"))), F.col("syn")).otherwise(F.col("plain"))
+    out = ext.join(best.select("botanic", pick.alias("m")), "botanic", "left")
     has_id = F.coalesce(F.col("qid"), F.lit("")) != ""
-    rows = rows.withColumn("h_existing", F.when(has_id, F.struct(F.col("qid").alias("qid"), F.col("ref_botanic").alias("name"))))
-    level = F.coalesce(*[F.when(F.col(f"h_{x}").isNotNull(), F.lit(x)) for x in LEVELS])
-    hit = F.coalesce(*[f"h_{x}" for x in LEVELS])
-    return rows.select("pos", "botanic", "strain", level.alias("level"), hit["qid"].alias("match_qid"), hit["name"].alias("match_botanic"))
+    choose = lambda own, other: F.when(has_id, own).otherwise(other)
+    return out.select("pos", "botanic", "strain", choose(F.lit("existing"), F.col("m.level")).alias("level"), choose(F.col("qid"), F.col("m.qid")).alias("match_qid"), choose(F.col("ref_botanic"), F.col("m.name")).alias("match_botanic"))
 
 
-def bracket_matches(ext: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """(pos, h_parenthetical_synonym): the first bracket candidate that resolves."""
+def bracket_keys(names: DataFrame) -> DataFrame:
+    """Keys of the bracket level: each binomial-like candidate by its three lookups, in order."""
     genus = F.element_at(F.split("botanic", r"\s+", 2), 1)
-    groups = ext.filter(F.contains("botanic", F.lit("("))).select("pos", genus.alias("genus"), F.posexplode(st.top_level_parens(F.col("botanic"))).alias("i", "g"))
-    candidates = groups.select("pos", "i", st.strip_authors(st.expand_genus(F.col("g"), F.col("genus"))).alias("candidate")).filter(st.binomial_like(F.col("candidate")))
-    found = resolve(candidates, tables, "candidate", "hit").filter("hit is not null")
-    hit = F.struct(F.col("hit.qid").alias("qid"), F.col("candidate").alias("name"))
-    return found.groupBy("pos").agg(F.min_by(hit, F.col("i")).alias("h_parenthetical_synonym"))
+    groups = names.filter(F.contains("botanic", F.lit("("))).select("botanic", genus.alias("genus"), F.posexplode(st.top_level_parens(F.col("botanic"))).alias("i", "g"))
+    candidates = groups.select("botanic", "i", st.strip_authors(st.expand_genus(F.col("g"), F.col("genus"))).alias("candidate")).filter(st.binomial_like(F.col("candidate")))
+    return candidates.select("botanic", F.explode(F.array(*resolving_keys(100 + 3 * F.col("i"), "parenthetical_synonym", F.col("candidate")))).alias("t")).select("botanic", "t.*")
 
 
 def level_report(matches: DataFrame) -> DataFrame:
