@@ -63,7 +63,7 @@ def inline_labels(kept: DataFrame, raw: DataFrame, config: DataFrame) -> DataFra
 
 def with_secondary(kept: DataFrame, raw: DataFrame) -> DataFrame:
     """Adds all raw facts of entities that kept facts point to: one hop."""
-    linked = kept.filter((F.col("o_kind") == "iri") & F.startswith("o_value", F.lit(WD))).select("entity", F.col("o_value").alias("s")).distinct()
+    linked = kept.filter((F.col("o_kind") == "iri") & F.startswith("o_value", F.lit(WD))).select("entity", F.col("o_value").alias("s"))
     return kept.unionByName(raw.join(linked, ["entity", "s"], "left_semi").select(*COLUMNS)).distinct()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import attributes as att
 from ..operators import triples as tri
+from ..sources.scratch import stored
 from .adapters import frame, sql
 from .identity_queries import CLASSIFIED, TARGETS, targets
 from .string_queries import q_label, q_slug
@@ -91,30 +92,48 @@ TRI = CFG | {"own": OWN, "pref": q_pref("tri", "inline"), "joined": JOINED, "inl
 
 
 def raw(s, d):
-    return frame(s, d, "tri")
+    """The facts as a table, as an ingest leaves them; the view itself is a union of distinct rows that would run at each use."""
+    return stored(frame(s, d, "tri"))
 
 
-def own(s, d):
-    return tri.main_facts(raw(s, d), config(s, d).filter("action = 'ignore'"))
+def own(s, d, facts=None):
+    return tri.main_facts(facts if facts is not None else raw(s, d), config(s, d).filter("action = 'ignore'"))
+
+
+def inlined(s, d):
+    facts = raw(s, d)
+    return tri.inline_labels(own(s, d, facts), facts, config(s, d))
+
+
+def closed(s, d):
+    facts = raw(s, d)
+    return tri.with_secondary(own(s, d, facts), facts)
+
+
+def labels(s, d):
+    facts = raw(s, d)
+    export = tri.preferred_labels(facts, "export").select("entity", "s", F.col("label").alias("export_label"))
+    return tri.preferred_labels(facts, "inline").join(export, ["entity", "s"], "left")
 
 
 def done(s, d):
-    return tri.process(raw(s, d), config(s, d))
+    """Processed facts as a table: exports and vocabularies read them several times."""
+    return stored(tri.process(raw(s, d), config(s, d)))
 
 
 Q["tri_main"] = own
 O["tri_main"] = sql("cfg tri", "SELECT * FROM own", **CFG, own=OWN)
-Q["tri_language"] = lambda s, d: tri.german_or_english(raw(s, d))
+Q["tri_language"] = lambda s, d: tri.german_or_english(frame(s, d, "tri"))
 O["tri_language"] = sql("tri", "SELECT * FROM tri WHERE o_lang IS NULL OR o_lang IN ('de', 'en')")
-Q["tri_labels"] = lambda s, d: tri.preferred_labels(raw(s, d), "inline").join(tri.preferred_labels(raw(s, d), "export").select("entity", "s", F.col("label").alias("export_label")), ["entity", "s"], "left")
+Q["tri_labels"] = labels
 O["tri_labels"] = sql("tri", "SELECT a.*, b.label AS export_label FROM a LEFT JOIN b USING (entity, s)", a=q_pref("tri", "inline"), b=q_pref("tri", "export"))
-Q["tri_inline"] = lambda s, d: tri.inline_labels(own(s, d), raw(s, d), config(s, d))
+Q["tri_inline"] = inlined
 O["tri_inline"] = sql("cfg tri", "SELECT * FROM inlined", **TRI)
-Q["tri_closure"] = lambda s, d: tri.with_secondary(own(s, d), raw(s, d))
+Q["tri_closure"] = closed
 O["tri_closure"] = sql("cfg tri", CLOSED.replace("inlined", "own"), **CFG, own=OWN)
 Q["tri_multilang"] = lambda s, d: tri.resolved_literals(raw(s, d).filter("o_kind = 'literal'"), ["entity", "s", "p"])
 O["tri_multilang"] = sql("tri", "SELECT entity, s, p, o_kind, o_value, o_lang FROM (SELECT *, bool_or(coalesce(o_lang, '') = 'de') OVER (PARTITION BY entity, s, p) AS g FROM tri WHERE o_kind = 'literal') WHERE o_lang IS NULL OR o_lang = CASE WHEN g THEN 'de' ELSE 'en' END")
-Q["tri_process"] = done
+Q["tri_process"] = lambda s, d: tri.process(raw(s, d), config(s, d))
 O["tri_process"] = sql("cfg tri", "SELECT * FROM done", **TRI)
 EXPORT = f"""SELECT t.line, t.qid, t.botanic, t.common, v.property_id, coalesce(v.attribute_name, '') AS attribute_name, v.value, v.group_name FROM targets t JOIN (
   SELECT entity, property_id, attribute_name, group_name, o_value AS value FROM mine JOIN props ON inline_target IS NOT NULL AND p = '{tri.NS}' || inline_target

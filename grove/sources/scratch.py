@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -14,3 +14,10 @@ def shared_path(spark: SparkSession) -> str:
         top = tempfile.mkdtemp(prefix="grove-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/grove-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: for frames that a plan reads several times and that are dear to compute."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
