@@ -107,8 +107,11 @@ NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of texts laid end to end, A-Z lower-cased: (hash, start, end, first word of each text and the total)."""
+def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = WHITE, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts laid end to end, A-Z lower-cased: (hash, start, end, first word of each text and the total).
+
+    With `most`, the hash is that of the word's first so many bytes.
+    """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
@@ -127,7 +130,8 @@ def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = WHITE) -> tuple[n
     total = np.empty(n + 1, U64)
     total[0] = 0
     np.cumsum(BYTE[LOWER[data]] * powers(n, BASE, "up"), out=total[1:])
-    h = mix((total[end] - total[start]) * powers(n, BACK, "down")[start] + (end - start).astype(U64))
+    stop = end if most is None else np.minimum(end, start + most)
+    h = mix((total[stop] - total[start]) * powers(n, BACK, "down")[start] + (stop - start).astype(U64))
     return h, start, end, np.searchsorted(start, off)
 
 

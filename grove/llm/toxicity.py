@@ -10,16 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, pieces, plus, words
+from .common import NOT_WORD, pieces, plus, stored, words
 
-FEATURE_BITS = 18
+FEATURE_BITS = 19
+STEM = 4
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse features of texts: (text number, feature, value), one entry per distinct word hash; value 1 + ln(count)."""
-    h, _, _, first = words(data, off, NOT_WORD)
-    owner = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    key, count = np.unique((owner.astype(np.int64) << FEATURE_BITS) | (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), return_counts=True)
+    """Sparse features of texts: (text number, feature, value), one entry per distinct hash; value 1 + ln(count).
+
+    Each word counts, and so does its stem (its first STEM bytes), which brings inflected forms together; the two have halves of the
+    feature space to themselves.
+    """
+    half, parts = np.uint64(65 - FEATURE_BITS), []
+    for k, most in enumerate((None, STEM)):
+        h, _, _, first = words(data, off, NOT_WORD, most)
+        owner = np.repeat(np.arange(len(off) - 1), np.diff(first))
+        parts.append((owner.astype(np.int64) << FEATURE_BITS) | (k << (FEATURE_BITS - 1)) | (h >> half).astype(np.int64))
+    key, count = np.unique(np.concatenate(parts), return_counts=True)
     return key >> FEATURE_BITS, key & ((1 << FEATURE_BITS) - 1), 1 + np.log(count)
 
 
@@ -34,7 +42,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -500, 500)))
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, n_features: int, l2: float = 3e-4, steps: int = 300) -> OrdinalModel:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 300) -> OrdinalModel:
     """Adam on the cumulative-link likelihood. The gaps between thresholds are exponentials, so they keep their order."""
     n, k = len(grade), max(1, int(grade.max(initial=0)))
     used, slot = np.unique(col, return_inverse=True)
@@ -66,57 +74,65 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.nda
     return OrdinalModel(w, p[d] + np.concatenate([[0], np.cumsum(np.exp(p[d + 1 :]))]))
 
 
-def severity_grades(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, top: int = 32) -> np.ndarray:
-    """Grades 0, 1, 2 from binary labels: toxic texts of at least the median number of tell-tale features get 2.
+def z_scores(toxic_docs: np.ndarray, other_docs: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How far each feature's share of toxic texts is above its share of others, in standard errors."""
+    a, b = toxic_docs / max(n1, 1), other_docs / max(n0, 1)
+    return (a - b) / np.sqrt(np.maximum(a * (1 - a) / max(n1, 1) + b * (1 - b) / max(n0, 1), 1 / max(n1, 1) / max(n0, 1)))
 
-    Tell-tale features are the `top` with the highest z-score of their share among toxic against other texts.
-    """
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    size = 1 << FEATURE_BITS
-    a, b = np.bincount(col[toxic[row] == 1], minlength=size) / n1, np.bincount(col[toxic[row] == 0], minlength=size) / n0
-    z = (a - b) / np.sqrt(np.maximum(a * (1 - a) / n1 + b * (1 - b) / n0, 1 / n1 / n0))
-    tell = np.zeros(size, bool)
-    tell[np.argsort(-z, kind="stable")[:top]] = True
-    tell &= z > 0
-    hits = np.bincount(row, tell[col], len(toxic))
+
+def severity_grades(row: np.ndarray, tell_tale: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades 0, 1, 2 from binary labels: toxic texts with more than the median number of tell-tale features get 2."""
+    hits = np.bincount(row, tell_tale, len(toxic))
     many = np.median(hits[toxic == 1]) if (toxic == 1).any() else 0
     return np.where(toxic == 1, 1 + (hits > many), 0).astype(np.int64)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20000, select: int = 8192) -> OrdinalModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20000, select: int = 4096, tell_tale: int = 32) -> OrdinalModel:
     """Fits the model on at most `sample` labelled rows (the ones with the smallest hashed ids), the documented bound.
 
     Labels that are null or belong to no document are left out. Without a toxic label every text scores as grade 0. The `select`
-    features with the largest absolute z-score between toxic and other texts are kept.
+    features with the largest absolute z-score between toxic and other texts are kept, counted where the texts are; the driver
+    gets these counts (bounded by the feature space) and the kept features of the sample. The `tell_tale` highest grade toxic texts.
     """
     picked = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most `sample` rows of two numbers
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = stored(texts.join(F.broadcast(picked), "doc_id"))  # at most `sample` rows of two numbers
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in pieces(batches, "text"):
+            r, c, _ = features(data, off)
+            toxic = b.column("toxic").to_numpy()[r] > 0
+            f, at = np.unique(c, return_inverse=True)
+            n1 = np.bincount(at, toxic, len(f)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n1), pa.array(np.bincount(at, minlength=len(f)) - n1)], names=["f", "n1", "n0"])
+
+    size = 1 << FEATURE_BITS
+    totals = rows.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+    if not totals[0]:
+        return OrdinalModel(np.zeros(size), np.array([40.0, 41.0]))
+    held = rows.mapInArrow(count, "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).filter("n1 + n0 >= 3").toArrow().sort_by("f")
+    f, n1, n0 = (held.column(c).to_numpy() for c in ("f", "n1", "n0"))
+    z = z_scores(n1, n0, *totals)
+    kept = np.argsort(-np.abs(z), kind="stable")[:select]
+    score = np.full(size, -np.inf)
+    score[f[kept]] = z[kept]
+    top = np.sort(f[kept][np.argsort(-z[kept], kind="stable")[:tell_tale]])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, off in pieces(batches, "text"):
             r, c, x = features(data, off)
+            on = np.isfinite(score[c])
+            r, c, x = r[on], c[on], x[on]
             cut = np.searchsorted(r, np.arange(len(off))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.ListArray.from_arrays(cut, c.astype(np.int32)), pa.ListArray.from_arrays(cut, x.astype(np.float32))], names=["doc_id", "toxic", "col", "val"])
 
     got = rows.mapInArrow(extract, "doc_id long, toxic int, col array<int>, val array<float>").toArrow().sort_by("doc_id").combine_chunks()
     toxic = (got.column("toxic").to_numpy() > 0).astype(np.int64)
-    lists = [got.column(c).combine_chunks() if isinstance(got.column(c), pa.ChunkedArray) else got.column(c) for c in ("col", "val")]
-    size = 1 << FEATURE_BITS
-    if not toxic.any():
-        return OrdinalModel(np.zeros(size), np.array([40.0, 41.0]))
+    lists = [got.column(c).combine_chunks() for c in ("col", "val")]
     row = np.repeat(np.arange(len(toxic)), lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
     col, val = lists[0].flatten().to_numpy().astype(np.int64), lists[1].flatten().to_numpy().astype(np.float64)
-    grade = severity_grades(row, col, toxic)
-    n1, n0 = toxic.sum(), max(1, (toxic == 0).sum())
-    a, b = np.bincount(col[toxic[row] == 1], minlength=size), np.bincount(col[toxic[row] == 0], minlength=size)
-    pa_, pb = a / n1, b / n0
-    z = np.abs(pa_ - pb) / np.sqrt(np.maximum(pa_ * (1 - pa_) / n1 + pb * (1 - pb) / n0, 1e-12))
-    z[a + b < 3] = 0
-    keep = np.zeros(size, bool)
-    keep[np.argsort(-z, kind="stable")[:select]] = True
-    on = keep[col]
-    return fit_ordinal(row[on], col[on], val[on], grade, size)
+    return fit_ordinal(row, col, val, severity_grades(row, np.isin(col, top), toxic), size)
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
