@@ -333,5 +333,6 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     linked = components(links)
     classes = told.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep_id"))
     classes = classes.join(linked.select(F.col("id").alias("rep_id"), "comp"), "rep_id", "left").select("d1", "d2", "n", "rep_id", F.coalesce("comp", "rep_id").alias("comp"))
+    classes = stored(classes)  # so that Spark can split a class with many copies in the join
     out = told.join(classes, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), *[F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(name) for c, name in (("rep_id", "rep_id"), ("comp", "component_id"))])
