@@ -55,3 +55,33 @@ m AS (SELECT h.*, x.h || x.p AS rule, x.verdict AS verdict,
       FROM h LEFT JOIN r ON (h.host = x.h OR h.host LIKE '%.' || x.h) AND starts_with(h.path, x.p))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
+
+ORACLE["op4_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b, i = x.n AND i = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id),
+q AS (SELECT a AS doc_id, min(b) AS b FROM e WHERE same GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(q.b, d.doc_id)) AS rep_id, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id) JOIN c USING (doc_id)
+"""
+
+ORACLE["op8_suffix_dedup"] = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM t)),
+m AS (SELECT s, min(doc_id) AS d FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.s = m.s WHERE m.d < w.doc_id),
+k AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS f FROM g)),
+z AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+v AS (SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS f FROM (SELECT doc_id, a, b FROM z UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM t)),
+o AS (SELECT v.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (v.a - f)), '' ORDER BY v.a, f) AS kept FROM v JOIN t ON t.doc_id = v.doc_id GROUP BY v.doc_id),
+y AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n FROM z GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(y.n, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM t JOIN o USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
