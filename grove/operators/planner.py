@@ -101,12 +101,11 @@ def gate(plan: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def summary(plan: dict[str, DataFrame]) -> DataFrame:
     """One row of the seven counts."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    values = plan["values"].agg(F.count_if(F.col("reason").isNull()).alias("n_values"), F.count_if(F.col("reason").isNotNull()).alias("skipped_values"))
-    out = values
-    for name, df in (("tree_types", "species"), ("matched", "matched"), ("unmatched_species", "unmatched_species"), ("unmatched_mapping", "unmatched_mapping"), ("attributes", "attributes")):
-        out = out.crossJoin(count(plan[df], name))  # one row each
-    return out
+    values = plan["values"].groupBy(F.when(F.col("reason").isNull(), "n_values").otherwise("skipped_values").alias("name")).agg(F.count("*").alias("n"))
+    for name, part in (("tree_types", "species"), ("matched", "matched"), ("unmatched_species", "unmatched_species"), ("unmatched_mapping", "unmatched_mapping"), ("attributes", "attributes")):
+        values = values.unionByName(plan[part].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
+    names = ["n_values", "skipped_values", "tree_types", "matched", "unmatched_species", "unmatched_mapping", "attributes"]
+    return values.agg(*[F.coalesce(F.sum(F.when(F.col("name") == x, F.col("n"))), F.lit(0)).alias(x) for x in names])
 
 
 def warning_counts(plan: dict[str, DataFrame]) -> DataFrame:
