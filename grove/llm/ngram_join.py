@@ -24,7 +24,8 @@ from .suffix_dedup import BUCKET_BYTES, CHUNK_BYTES, split_key
 
 OWNER = 12  # bits of a sort key that hold the text's number in its slice; n-grams keep the other 52
 LEAF, FAN = 32, 8
-SUB = 256
+SUB = 128  # members of a sub-block of a large group, which has 32 sub-blocks or, from MOST * 32 members on, sub-blocks of MOST
+MOST = 16384
 
 
 def sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +166,21 @@ def _post(t: pa.Table, answers: pa.Table, k: int, per_100: int, buckets: int) ->
     return pa.table(rows, schema)
 
 
+def forest(a: list[int], b: list[int]) -> list[int]:
+    """The edges that join two trees, when edges between whole numbers are taken in order."""
+    top = list(range(1 + max([*a, *b], default=-1)))
+    keep = []
+    for e, (i, j) in enumerate(zip(a, b, strict=True)):
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        while top[j] != j:
+            top[j] = j = top[top[j]]
+        if i != j:
+            top[max(i, j)] = min(i, j)
+            keep.append(e)
+    return keep
+
+
 def _chain(t: pa.Table, per_100: int) -> pa.Table:
     """Step 2 of a bucket: in each n-gram's postings, ordered by size, neighbours within the threshold belong together.
 
@@ -182,6 +198,7 @@ def _chain(t: pa.Table, per_100: int) -> pa.Table:
     begin = np.flatnonzero(cut)
     least = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.r_[begin, len(doc)])) if len(doc) else doc
     pair = np.unique(np.stack([least, doc], 1)[least != doc], axis=0) if len(doc) else np.zeros((0, 2), np.int64)
+    pair = pair[forest(*(np.unique(pair, return_inverse=True)[1].reshape(-1, 2).T.tolist()))]  # what joins nothing new in this bucket stays here
     return pa.table({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
 
 
@@ -294,8 +311,8 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     A set holds the distinct runs of k words (A-Z lower-cased, cut at white space) of the whole text; fewer words make one run. rep_id
     is the least id with an equal set, component_id the least id that links reach. Null and empty texts, and texts without
-    words, have an empty set and link with nothing, so both ids are their own. Repeated rows give repeated rows; rows that
-    share an id but not a text are told apart by their sets and each get their own component. Rows without an id are left out of the
+    words, have an empty set and link with nothing, so both ids are their own. Repeated rows give repeated rows; texts that
+    share an id are one document to links, so what either is alike to is one component. Rows without an id are left out of the
     search; they come back with null rep_id and component_id. An empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -314,7 +331,7 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     groups = components(near)
     # large groups are dealt into sub-blocks; each pair of them is a task
     sizes = groups.groupBy("comp").agg(F.count("*").alias("m"))
-    q = F.when(F.col("m") <= 32 * SUB, F.ceil(F.col("m") / SUB)).otherwise(F.greatest(F.lit(32), F.ceil(F.col("m") / (64 * SUB))))
+    q = F.when(F.col("m") <= 32 * SUB, F.ceil(F.col("m") / SUB)).otherwise(F.greatest(F.lit(32), F.ceil(F.col("m") / MOST)))
     member = groups.join(sizes.select("comp", q.cast("int").alias("q")), "comp")
     member = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("q")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
