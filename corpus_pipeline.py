@@ -13,8 +13,8 @@ from grove.llm.queries import REJECT
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of any toxic grade is under REJECT; the model is fitted on labels of documents that are left."""
     model = toxicity.train_toxicity(docs, read(spark, sf_dir, "labels"))
-    names = docs.columns
-    return toxicity.score_toxicity(docs, model).filter(F.col("p_toxic") < REJECT).select(*names)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # so that no column of docs can clash
+    return toxicity.score_toxicity(rows, model).filter(F.col("p_toxic") < REJECT).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +33,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes or more that stand in a document with a smaller id; texts of which nothing is left go."""
-    names = docs.columns
-    cut = suffix_dedup.remove_repeats(docs, length=50, whole_characters=True)
+    rows = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
+    cut = suffix_dedup.remove_repeats(rows, length=50, whole_characters=True)
     cut = cut.filter((F.octet_length("kept") > 0) | (F.size("spans") == 0))
     text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*names)
+    own = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.char_length(text).cast("long")}
+    return cut.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

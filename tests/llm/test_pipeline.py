@@ -53,7 +53,7 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
 
 def test_odd_documents(spark):
     odd = [(None, "a b c d e f", "en", "s", 11), (1, None, None, None, None), (2, "", "en", None, 0), (3, "w " * 3000, "en", "s", 6000), (4, "w " * 3000, "en", "s", 6000), (4, "w " * 3000, "en", "s", 6000), (5, " \n", "en", "s", 2)]
-    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS severity", "2 AS kept", "3 AS comp", "4 AS row")
     for _, stage in pipeline.STAGES:
         out = pipeline.stored(stage(spark, docs, SF))
         assert pipeline.stored(stage(spark, docs.filter("false"), SF)).count() == 0
