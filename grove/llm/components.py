@@ -1,4 +1,4 @@
-"""Connected components by least labels and pointer jumping, on DataFrames; nothing is collected."""
+"""Connected components by contraction, on DataFrames; nothing is collected."""
 
 from __future__ import annotations
 
@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from .common import free_shuffles, stored
 
 
+def _roots(parent: DataFrame) -> DataFrame:
+    """Follows the pointers id -> p, which only ever go down, to their ends; paths halve with each step."""
+    while True:
+        up = parent.select(F.col("id").alias("p"), F.col("p").alias("further"))
+        step = stored(parent.join(up, "p").select("id", F.col("p").alias("was"), F.col("further").alias("p")))
+        parent = step.select("id", "p")
+        if step.filter("p <> was").limit(1).isEmpty():
+            return parent
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for each end of the edges (a, b): comp is the least id that edges reach. No edges, no rows.
 
-    Each round takes the least label among neighbours (combined before the shuffle) and then the label of the label; the
-    number of rounds grows with the logarithm of the longest path. Labels and edges stay in the shared folder.
+    Each round points every vertex to the least of its neighbours and itself (combined before the shuffle), follows the pointers to their
+    ends, and draws the edges between the ends; edges inside what has become one vertex go, so that later rounds see few. At least
+    half of the vertices that still have edges go in each round. Tables of a round stay in the shared folder.
     """
-    edges = edges.select("a", "b").filter("a <> b").distinct()
-    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("comp")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        step = stored(step.join(jump, "comp", "left").select("id", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
+    low_high = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+    edges, labels = stored(low_high(edges, "a", "b")), None
+    while labels is None or not edges.limit(1).isEmpty():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = _roots(stored(ends.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("p"))))
+        near, far = parent.select(F.col("id").alias("a"), F.col("p").alias("pa")), parent.select(F.col("id").alias("b"), F.col("p").alias("pb"))
+        edges = stored(low_high(edges.join(near, "a").join(far, "b"), "pa", "pb"))
+        if labels is None:
+            labels = parent.select("id", F.col("p").alias("comp"))
+        else:
+            labels = stored(labels.join(parent.select(F.col("id").alias("comp"), "p"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
         free_shuffles(edges.sparkSession)
-        moved = step.filter("comp <> was").limit(1).count()
-        labels = step.select("id", "comp")
-        if not moved:
-            return labels
+    return labels
