@@ -7,7 +7,7 @@
   3. Each group is joined by signature trees: nodes hold the OR of their members' bitmaps and their range of sizes; pairs of
      nodes whose greatest possible overlap is too small are left out, pairs of leaves are settled by the sets themselves. Large
      groups are dealt into sub-blocks, joined two by two in tasks of their own.
-No pair is capped or sampled. Links that would join what is joined already are not looked for: the result is the components.
+No pair is capped or sampled. Links are counted where they are found; of a task's links only a spanning forest travels on, to the components.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .suffix_dedup import BUCKET_BYTES, CHUNK_BYTES, split_key
 
 OWNER = 12  # bits of a sort key that hold the text's number in its slice; n-grams keep the other 52
 LEAF, FAN = 32, 8
-SUB = 128  # members of a sub-block of a large group, which has 32 sub-blocks or, from MOST * 32 members on, sub-blocks of MOST
+SUB = 96  # members of a sub-block of a large group, which has 32 sub-blocks or, from MOST * 32 members on, sub-blocks of MOST
 MOST = 16384
 
 
@@ -261,59 +261,79 @@ def tree_join(left: SignatureTree, right: SignatureTree, per_100: int):
             yield left.rows[xs][i], right.rows[ys][j]
 
 
-def link(ids: list[int], grams: list[np.ndarray], side: np.ndarray, per_100: int) -> list[tuple[int, int]]:
-    """Links among sets (all of one side, or between sides 0 and 1) that span the components of all their links."""
-    if len(ids) < 2:
-        return []
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left[i] with right[j], pair by pair; many pairs at once by products of 0/1 matrices."""
+    if len(i) < 16:
+        return np.array([len(np.intersect1d(left[x], right[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+    (xs, x), (ys, y) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    rows = [np.repeat(np.arange(len(k)), [len(s[r]) for r in k]) for s, k in ((left, xs), (right, ys))]
+    cols = [np.concatenate([s[r] for r in k]) for s, k in ((left, xs), (right, ys))]
+    shared = np.intersect1d(*cols)
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for at in range(0, len(shared), 1 << 15):
+        part, both = shared[at : at + (1 << 15)], []
+        for r, c, k in zip(rows, cols, (xs, ys), strict=True):
+            place = np.minimum(np.searchsorted(part, c), len(part) - 1)
+            on = part[place] == c
+            m = np.zeros((len(k), len(part)), np.float32)
+            m[r[on], place[on]] = 1
+            both.append(m)
+        out += both[0] @ both[1].T
+    return out[x, y].astype(np.int64)
+
+
+def link(grams: list[np.ndarray], side: np.ndarray, cross: bool, copies: np.ndarray, per_100: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links among sets, or with `cross` between sides 0 and 1 only: some that span the components of all of them, and for each set the
+    copies that its partners stand for."""
+    degree = np.zeros(len(grams), np.int64)
+    groups = [np.flatnonzero(side == s) for s in (0, 1)] if cross else [np.arange(len(grams))]
+    if len(grams) < 2 or not all(map(len, groups)):
+        return [], degree
     bits = int(np.clip(1 << int(4 * np.median([len(g) for g in grams])).bit_length(), 256, 4096))
-    cross = side.any() and not side.all()
-    groups = [np.flatnonzero(side == s) for s in (0, 1)] if cross else [np.arange(len(ids))]
-    trees = [SignatureTree([grams[i] for i in g], bits) for g in groups]
-    top = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    out = []
+    sets_of = [[grams[i] for i in g] for g in groups]
+    trees = [SignatureTree(s, bits) for s in sets_of]
+    size = np.array([len(g) for g in grams], np.int64)
+    found = []
     for a, b in tree_join(trees[0], trees[-1], per_100):
-        for i, j in zip(groups[0][a].tolist(), groups[-1][b].tolist(), strict=True):
-            if find(i) == find(j):
-                continue
-            x, y = grams[i], grams[j]
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * common >= per_100 * (len(x) + len(y) - common):
-                top[find(i)] = find(j)
-                out.append((ids[i], ids[j]))
-    return out
+        x, y = groups[0][a], groups[-1][b]
+        common = overlaps(sets_of[0], sets_of[-1], a, b)
+        on = 100 * common >= per_100 * (size[x] + size[y] - common)
+        x, y = x[on], y[on]
+        np.add.at(degree, x, copies[y])
+        np.add.at(degree, y, copies[x])
+        found.append((x, y))
+    x, y = (np.concatenate(v).tolist() for v in zip(*found, strict=True)) if found else ([], [])
+    return [(x[e], y[e]) for e in forest(x, y)], degree
 
 
 def _join_block(t: pa.Table, k: int, per_100: int) -> pa.Table:
-    """Step 3: the groups (or one pair of sub-blocks of a group) that were dealt to one task."""
+    """Step 3: the groups (or one pair of sub-blocks of a group) that were dealt to one task. Links have a and b, degrees a and n."""
     data, off = texts(t.column("text"))
     grams, first = sets(data, off, k)
-    comp, side, ids = t.column("comp").to_numpy(), t.column("side").to_numpy(), t.column("doc_id").to_numpy()
-    part = t.column("part").to_numpy()
+    comp, side, ids, part, copies = (t.column(c).to_numpy() for c in ("comp", "side", "doc_id", "part", "copies"))
     by = np.lexsort((ids, side, part, comp))
     edge = np.flatnonzero(np.r_[True, (comp[by][1:] != comp[by][:-1]) | (part[by][1:] != part[by][:-1])]) if len(by) else np.zeros(0, int)
-    found = []
+    a, b, n = [], [], []
     for x, y in zip(edge, np.r_[edge[1:], len(by)], strict=True):
         rows = by[x:y]
-        found += link(ids[rows].tolist(), [grams[first[r] : first[r + 1]] for r in rows], side[rows], per_100)
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        cross = (part[rows[0]] >> 20) != (part[rows[0]] & ((1 << 20) - 1))
+        found, degree = link([grams[first[r] : first[r + 1]] for r in rows], side[rows], bool(cross), copies[rows], per_100)
+        some = np.flatnonzero(degree)
+        a += [int(ids[rows[i]]) for i, _ in found] + ids[rows[some]].tolist()
+        b += [int(ids[rows[j]]) for _, j in found] + [None] * len(some)
+        n += [None] * len(found) + degree[some].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
 def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, per_100: int = 85) -> DataFrame:
-    """Component of each row under links of 100 * |x & y| >= per_100 * |x | y|: (doc_id, n_shingles, rep_id, component_id).
+    """Component of each row under links of 100 * |x & y| >= per_100 * |x | y|: (doc_id, n_shingles, rep_id, component_id, n_links).
 
     A set holds the distinct runs of k words (A-Z lower-cased, cut at white space) of the whole text; fewer words make one run. rep_id
-    is the least id with an equal set, component_id the least id that links reach. Null and empty texts, and texts without
+    is the least id with an equal set, component_id the least id that links reach, n_links the number of other documents that the row's links
+    with (of copies all count, without being compared one by one). Null and empty texts, and texts without
     words, have an empty set and link with nothing, so both ids are their own. Repeated rows give repeated rows; texts that
     share an id are one document to links, so what either is alike to is one component. Rows without an id are left out of the
-    search; they come back with null rep_id and component_id. An empty table gives an empty table; other columns are ignored.
+    search; they come back with null rep_id, component_id and n_links. An empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
     all_docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -329,6 +349,7 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     near = stored(posted.groupBy("bucket").applyInArrow(lambda t: _chain(t, per_100), "a long, b long"))
     free_shuffles(spark)
     groups = components(near)
+    classes = stored(told.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")))
     # large groups are dealt into sub-blocks; each pair of them is a task
     sizes = groups.groupBy("comp").agg(F.count("*").alias("m"))
     q = F.when(F.col("m") <= 32 * SUB, F.ceil(F.col("m") / SUB)).otherwise(F.greatest(F.lit(32), F.ceil(F.col("m") / MOST)))
@@ -344,12 +365,16 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         F.when(F.col("q") > 1, F.xxhash64("comp", "p.i", "p.j")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(16 * parts))).alias("task"),
     )
     # an id that comes with several texts: only rows whose set is the one that was posted could tell; all of them are looked at
+    task = task.join(classes.groupBy(F.col("rep_id").alias("doc_id")).agg(F.sum("copies").alias("copies")), "doc_id")
     blocks = docs.join(stored(task), "doc_id")
-    links = stored(blocks.groupBy("task").applyInArrow(lambda t: _join_block(t, k, per_100), "a long, b long"))
+    links = stored(blocks.groupBy("task").applyInArrow(lambda t: _join_block(t, k, per_100), "a long, b long, n long"))
     free_shuffles(spark)
-    linked = components(links)
-    classes = told.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep_id"))
-    classes = classes.join(linked.select(F.col("id").alias("rep_id"), "comp"), "rep_id", "left").select("d1", "d2", "n", "rep_id", F.coalesce("comp", "rep_id").alias("comp"))
-    classes = stored(classes)  # so that Spark can split a class with many copies in the join
+    linked = components(links.filter("b is not null").select("a", "b"))
+    degrees = links.filter("n is not null").groupBy(F.col("a").alias("rep_id")).agg(F.sum("n").alias("partners"))
+    classes = classes.join(linked.select(F.col("id").alias("rep_id"), "comp"), "rep_id", "left").join(degrees, "rep_id", "left")
+    count = F.coalesce("partners", F.lit(0)) + F.col("copies") - 1
+    # stored, so that Spark can split a class with many copies in the join
+    classes = stored(classes.select("d1", "d2", "n", "rep_id", F.coalesce("comp", "rep_id").alias("comp"), count.alias("links")))
     out = told.join(classes, ["d1", "d2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), *[F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(name) for c, name in (("rep_id", "rep_id"), ("comp", "component_id"))])
+    own = {"rep_id": F.coalesce("rep_id", "doc_id"), "component_id": F.coalesce("comp", "doc_id"), "n_links": F.coalesce("links", F.lit(0))}
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *[F.when(F.col("doc_id").isNotNull(), c).alias(name) for name, c in own.items()])

@@ -68,8 +68,8 @@ e AS (SELECT a, b, i = x.n AND i = y.n AS same FROM p JOIN n x ON x.doc_id = a J
 r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
 c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id),
 q AS (SELECT a AS doc_id, min(b) AS b FROM e WHERE same GROUP BY a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(q.b, d.doc_id)) AS rep_id, c.component_id
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id) JOIN c USING (doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(q.b, d.doc_id)) AS rep_id, c.component_id, coalesce(l.n, 0) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id) JOIN c USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY a) l USING (doc_id)
 """
 
 ORACLE["op8_suffix_dedup"] = """

@@ -13,7 +13,7 @@ def grams(text, k=4):
 
 
 def brute(rows, per_100=85):
-    """(size, component) of each id by comparing all pairs."""
+    """(size, component, links) of each id by comparing all pairs."""
     sets = {i: grams(t) for i, t in rows}
     top = {i: i for i in sets}
 
@@ -22,14 +22,16 @@ def brute(rows, per_100=85):
             i = top[i]
         return i
 
-    ids = sorted(sets)
+    ids, links = sorted(sets), dict.fromkeys(sets, 0)
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
             n = len(sets[a] & sets[b])
             if sets[a] and sets[b] and 100 * n >= per_100 * (len(sets[a]) + len(sets[b]) - n):
                 u, v = sorted((find(a), find(b)))
                 top[v] = u
-    return {i: (len(sets[i]), find(i)) for i in ids}
+                links[a] += 1
+                links[b] += 1
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
 def corpus(seed, n=250, copies=60):
@@ -54,14 +56,14 @@ def test_matches_brute_force(spark, seed):
     got = ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute(rows)
     assert len(got) == len(rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == want
 
 
 def test_large_group_is_split(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SUB", 8)
     rows = corpus(7, n=160, copies=5)
     got = ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute(rows)
 
 
 def test_tree_bound_loses_nothing():
@@ -90,4 +92,4 @@ def test_query_on_sf(spark):
 
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op4_ngram_join(spark, sf).collect()} == brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in op4_ngram_join(spark, sf).collect()} == brute(rows)
