@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import stored
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the public pre-tokenization pattern of this vocabulary (fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -53,6 +55,7 @@ def suffix_sums(hist: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9, 0.99)
     plus the difference times docs_longer. Sums run within blocks of lengths and then over the blocks' totals, so no
     task sees all rows. An empty histogram gives no rows.
     """
+    hist = stored(hist)  # it is read several times below, and to count it is to tokenize all texts
     weight = F.col("n_tokens") * F.col("n_docs")
     rows = hist.select("n_tokens", "n_docs", weight.alias("mass"), F.floor(F.col("n_tokens") / block).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("mass").alias("m"))
@@ -77,6 +80,6 @@ def suffix_sums(hist: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9, 0.99)
     out = out.withColumn("docs_fitting", F.col("d_all") - F.col("docs_longer"))
     out = out.withColumn("tokens_truncated", F.col("tokens_total") - F.col("tokens_longer") + F.col("n_tokens") * F.col("docs_longer"))
     names = [f"p{round(q * 100):02d}" for q in quantiles]
-    cuts = out.agg(*[F.min(F.when(F.col("docs_fitting") >= F.ceil(F.lit(q) * F.col("d_all")), F.col("n_tokens"))).alias(f"q_{n}") for q, n in zip(quantiles, names, strict=True)])
-    out = out.crossJoin(F.broadcast(cuts))  # one row
-    return out.select("n_tokens", "n_docs", "docs_fitting", "docs_longer", "tokens_longer", "tokens_total", "tokens_truncated", *[F.least("n_tokens", f"q_{n}").alias(n) for n in names])
+    at = [F.min(F.when(F.col("docs_fitting") >= F.ceil(F.lit(q) * F.col("d_all")), F.col("n_tokens"))) for q in quantiles]
+    cuts = out.agg(*at).first()  # one number a quantile
+    return out.select("n_tokens", "n_docs", "docs_fitting", "docs_longer", "tokens_longer", "tokens_total", "tokens_truncated", *[F.least("n_tokens", F.lit(c).cast("long")).alias(n) for n, c in zip(names, cuts, strict=True)])
