@@ -85,3 +85,24 @@ y AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n FROM z GROUP BY doc_id)
 SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(y.n, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
 FROM t JOIN o USING (doc_id) LEFT JOIN y USING (doc_id)
 """
+
+#: Every item of the driver's tables has five words or more.
+ORACLE["op1_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+g AS (
+  SELECT item_id, n, g, count(*) AS c
+  FROM (SELECT item_id, len(w) AS n, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS k FROM i WHERE len(w) >= 5)) GROUP BY ALL),
+h AS (
+  SELECT doc_id, nw, p, g FROM (SELECT doc_id, len(w) AS nw, k - 1 AS p, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS k FROM d WHERE len(w) >= 5))
+  WHERE g IN (SELECT g FROM g)),
+s AS (
+  SELECT doc_id, item_id, n, c, g, unnest(generate_series(greatest(0, p - (n - 5)), least(p, nw - n))) AS s FROM h JOIN g USING (g)),
+m AS (
+  SELECT doc_id, item_id, n, s, sum(x) AS shared FROM (SELECT doc_id, item_id, n, s, g, least(count(*), c) AS x FROM s GROUP BY doc_id, item_id, n, s, g, c) GROUP BY doc_id, item_id, n, s),
+b AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared DESC, s) AS k FROM m WHERE 100 * shared >= 80 * (2 * (n - 4) - shared))
+SELECT doc_id, item_id, s AS first_word, n AS n_words, CAST(shared AS DOUBLE) / CAST(2 * (n - 4) - shared AS DOUBLE) AS similarity FROM b WHERE k = 1
+"""

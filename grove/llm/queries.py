@@ -16,7 +16,8 @@ REJECT = 0.15
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    leaks = decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "first_word", "n_words", "similarity")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
