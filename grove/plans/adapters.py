@@ -81,14 +81,14 @@ VIEWS["tri"] = ((), """
   SELECT 'Q' || CAST(p_partkey AS STRING) AS entity, 'http://www.wikidata.org/entity/Q' || CAST(p_partkey AS STRING) AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, 'literal' AS o_kind,
     p_name || ' ' || l AS o_value, CASE WHEN l = 'plain' THEN CAST(NULL AS STRING) ELSE l END AS o_lang
   FROM @part, (SELECT 'de' AS l UNION ALL SELECT 'en' UNION ALL SELECT 'fr' UNION ALL SELECT 'plain') x
-  UNION SELECT 'Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/prop/direct/P' || CAST(p_size AS STRING), 'literal', p_type || ' ' || l, l
+  UNION ALL SELECT 'Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/prop/direct/P' || CAST(p_size AS STRING), 'literal', p_type || ' ' || l, l
   FROM @part, (SELECT 'de' AS l UNION ALL SELECT 'en' UNION ALL SELECT 'fr') x WHERE l <> 'de' OR p_size % 3 > 0
-  UNION SELECT 'Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/prop/direct/P' || CAST(p_size % 60 + 1 AS STRING), 'literal', p_brand, CAST(NULL AS STRING) FROM @part
-  UNION SELECT 'Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(p_partkey AS STRING), 'http://schema.org/about', 'iri', 'http://example.org/' || p_type, CAST(NULL AS STRING) FROM @part
-  UNION SELECT 'Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/prop/direct/P' || CAST(p_size % 8 * 8 AS STRING), 'iri', 'http://commons.example.org/' || p_brand, CAST(NULL AS STRING) FROM @part
-  UNION SELECT 'Q' || CAST(l_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(l_partkey AS STRING), 'http://www.wikidata.org/prop/direct/P' || CAST(l_suppkey % 62 AS STRING), 'iri', 'http://www.wikidata.org/entity/Q9000' || CAST(l_suppkey AS STRING), CAST(NULL AS STRING) FROM @lineitem
-  UNION SELECT 'Q' || CAST(l_partkey AS STRING), 'http://www.wikidata.org/entity/Q9000' || CAST(l_suppkey AS STRING), 'http://www.w3.org/2000/01/rdf-schema#label', 'literal', 'supplier ' || CAST(l_suppkey AS STRING) || ' ' || l, CASE WHEN l = 'plain' THEN CAST(NULL AS STRING) ELSE l END
-  FROM @lineitem, (SELECT 'de' AS l UNION ALL SELECT 'en' UNION ALL SELECT 'fr' UNION ALL SELECT 'plain') x WHERE (l = 'de' AND l_suppkey % 3 = 0) OR (l = 'en' AND l_suppkey % 4 > 0) OR (l = 'fr') OR (l = 'plain' AND l_suppkey % 5 = 0)""")
+  UNION ALL SELECT 'Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/prop/direct/P' || CAST(p_size % 60 + 1 AS STRING), 'literal', p_brand, CAST(NULL AS STRING) FROM @part
+  UNION ALL SELECT 'Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(p_partkey AS STRING), 'http://schema.org/about', 'iri', 'http://example.org/' || p_type, CAST(NULL AS STRING) FROM @part
+  UNION ALL SELECT 'Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(p_partkey AS STRING), 'http://www.wikidata.org/prop/direct/P' || CAST(p_size % 8 * 8 AS STRING), 'iri', 'http://commons.example.org/' || p_brand, CAST(NULL AS STRING) FROM @part
+  UNION ALL SELECT 'Q' || CAST(l_partkey AS STRING), 'http://www.wikidata.org/entity/Q' || CAST(l_partkey AS STRING), 'http://www.wikidata.org/prop/direct/P' || CAST(l_suppkey % 62 AS STRING), 'iri', 'http://www.wikidata.org/entity/Q9000' || CAST(l_suppkey AS STRING), CAST(NULL AS STRING) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM @lineitem) y
+  UNION ALL SELECT 'Q' || CAST(l_partkey AS STRING), 'http://www.wikidata.org/entity/Q9000' || CAST(l_suppkey AS STRING), 'http://www.w3.org/2000/01/rdf-schema#label', 'literal', 'supplier ' || CAST(l_suppkey AS STRING) || ' ' || l, CASE WHEN l = 'plain' THEN CAST(NULL AS STRING) ELSE l END
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM @lineitem) y, (SELECT 'de' AS l UNION ALL SELECT 'en' UNION ALL SELECT 'fr' UNION ALL SELECT 'plain') x WHERE (l = 'de' AND l_suppkey % 3 = 0) OR (l = 'en' AND l_suppkey % 4 > 0) OR (l = 'fr') OR (l = 'plain' AND l_suppkey % 5 = 0)""")
 
 VIEWS["wat"] = ((), """
   SELECT event_id AS id, event_id % 200 AS tree, CASE WHEN event_id % 9 = 0 THEN NULL ELSE user_id END AS user_id, CAST(value AS DECIMAL(12,2)) AS amount, CAST(ts AS DATE) AS watered_on, ts AS created_at
