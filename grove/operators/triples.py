@@ -56,9 +56,13 @@ def inline_labels(kept: DataFrame, raw: DataFrame, config: DataFrame) -> DataFra
     labels = preferred_labels(raw, "inline").withColumnRenamed("s", "o_value")
     facts = facts.join(labels, ["entity", "o_value"], "left")
     found = F.col("inline_target").isNotNull() & (F.col("o_kind") == "iri") & F.col("label").isNotNull()
-    stay = facts.filter(~F.coalesce(found & ~F.col("keep_source"), F.lit(False))).select(*COLUMNS)
-    new = facts.filter(found).select("entity", "s", F.concat(F.lit(NS), "inline_target").alias("p"), F.lit("literal").alias("o_kind"), F.col("label").alias("o_value"), F.col("label_lang").alias("o_lang"))
-    return stay.unionByName(new).distinct()
+    row = lambda p, kind, value, lang: F.struct(p.alias("p"), kind.alias("o_kind"), value.alias("o_value"), lang.alias("o_lang"))
+    same = row(F.col("p"), F.col("o_kind"), F.col("o_value"), F.col("o_lang"))
+    new = row(F.concat(F.lit(NS), "inline_target"), F.lit("literal"), F.col("label"), F.col("label_lang"))
+    made = F.when(~F.coalesce(found, F.lit(False)), F.array(same)).when(F.col("keep_source"), F.array(same, new)).otherwise(F.array(new))
+    out = facts.select("entity", "s", F.explode(made).alias("f")).select("entity", "s", "f.*")
+    own_namespace = F.startswith("p", F.lit(NS))  # only these can repeat: two links may have the same label
+    return out.filter(~own_namespace).unionByName(out.filter(own_namespace).distinct())
 
 
 def with_secondary(kept: DataFrame, raw: DataFrame) -> DataFrame:
