@@ -5,6 +5,9 @@ sum of the lesser counts over sum of the greater ones >= per_100 / 100. Only win
 some item can be, so the others are left out first, without a loss. The rest are fingerprinted; any fingerprint within
 `radius` bits of an item's must agree with it, in one of BLOCKS blocks, in all but radius // BLOCKS bits, and the items
 under all such block values are kept in a table. Candidates are then compared shingle by shingle.
+
+A document with fewer words than an item has one window for it, the whole document. It is compared, without a fingerprint, with every
+longer item that has one of its rarest shingles, of which there are enough that no item that is alike can lack all of them.
 """
 
 from __future__ import annotations
@@ -87,7 +90,9 @@ class Benchmark:
         n = np.diff(first)
         self.k, self.per_100 = k, per_100
         self.lengths: dict[int, tuple[int, int, list[int], list[Counter], HammingIndex]] = {}
+        self.items: list[tuple[int, int]] = []  # (length, place under it) of items of k words or more
         grams: dict[int, list] = {}
+        every, whose = [np.zeros(0, U64)], [np.zeros(0, np.int32)]
         for length in np.unique(n[n > 0]).tolist():
             size = min(k, length)
             rows = np.flatnonzero(n == length)
@@ -96,7 +101,16 @@ class Benchmark:
             need = -(-2 * per_100 * m // (100 + per_100))  # of m shingles each, so many must be shared
             self.lengths[length] = (size, need, [ids[r] for r in rows], [Counter(x) for x in g.tolist()], HammingIndex(simhash(g), radius))
             grams.setdefault(size, []).append(np.unique(g))
+            if size == k:
+                every.append(g.ravel())
+                whose.append(np.repeat(np.arange(len(self.items), len(self.items) + len(rows), dtype=np.int32), m))
+                self.items += [(length, x) for x in range(len(rows))]
         self.grams = {s: np.unique(np.concatenate(g)) for s, g in grams.items()}
+        every, whose = np.concatenate(every), np.concatenate(whose)
+        by = np.argsort(every, kind="stable")
+        self.whose = whose[by]  # the items of each of self.grams[k], from cut to cut
+        self.cut = np.r_[np.searchsorted(every[by], self.grams.get(k, every[:0])), len(by)]
+        self.shingles = np.array([length - k + 1 for length, _ in self.items], np.int64)
         self.filters = {}
         for s, g in self.grams.items():
             bits = max(20, int(16 * len(g)).bit_length())
@@ -104,6 +118,38 @@ class Benchmark:
             table[(g >> U64(64 - bits)).astype(np.int64)] = True
             self.filters[s] = (bits, table)
 
+    def _whole(self, g: np.ndarray, hit: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item id, similarity, distance, words) of each text and item with more words than it that are alike.
+
+        g has the k-word shingles of the texts, of which those at hit stand in some item.
+        """
+        p, grams = self.per_100, self.grams[self.k]
+        text = np.searchsorted(first, hit, "right") - 1
+        words_of = np.diff(first)
+        known = np.bincount(text[hit + self.k <= first[text + 1]], minlength=len(words_of))
+        m_of = words_of - self.k + 1
+        for t in np.flatnonzero((known > 0) & ((100 + p) * known >= p * (2 * m_of + 1))).tolist():
+            m = int(m_of[t])
+            own = g[first[t] : first[t] + m]
+            place = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+            n = np.where(grams[place] == own, self.cut[place + 1] - self.cut[place], 0)
+            need = -(-p * (2 * m + 1) // (100 + p))  # an item with one shingle more must share so many
+            rare = np.argsort(n, kind="stable")[: m - need + 1]
+            near = [self.whose[self.cut[x] : self.cut[x + 1]] for x in np.unique(place[rare[n[rare] > 0]])]
+            if not near:
+                continue
+            near = np.unique(np.concatenate(near))
+            near = near[(self.shingles[near] > m) & (p * self.shingles[near] <= 100 * m)]
+            seen, printed = Counter(own.tolist()), simhash(own[None, :])[0]
+            for x in near.tolist():
+                length, r = self.items[x]
+                _, _, ids, counts, index = self.lengths[length]
+                want = counts[r]
+                shared = sum(min(c, want[y]) for y, c in seen.items() if y in want)
+                total = m + int(self.shingles[x]) - shared
+                if 100 * shared >= p * total:
+                    yield t, ids[r], shared / total, int(np.bitwise_count(printed ^ index.prints[r])), int(words_of[t])
+
     def leaks(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, float, int]]:
         """(text, item id, first word, words, similarity, distance) of each text's best window for each item it leaks."""
         h, _, _, first = words(data, off, NOT_WORD)
@@ -115,6 +161,9 @@ class Benchmark:
             hit = hit[grams[np.minimum(np.searchsorted(grams, g[hit]), len(grams) - 1)] == g[hit]]
             if not len(hit):
                 continue
+            if size == self.k:
+                for t, i, sim, d, n in self._whole(g, hit, first):
+                    best[t, i] = max((sim, 0, d, n), best.get((t, i), (0.0, 0, 0, 0)))
             for length, (own, need, ids, counts, index) in self.lengths.items():
                 m = length - own + 1
                 if own != size or len(hit) < need:
@@ -159,6 +208,7 @@ def _benchmarks(items: DataFrame, item_id: str, text: str, k: int, per_100: int,
 def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, per_100: int = 80, radius: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document row and item it leaks: doc_id, item_id, first_word, n_words, similarity, distance (of the best window).
 
+    A document with fewer words than an item is compared with it as a whole: first_word is 0 and n_words the document's number of words.
     Words are runs of letters and digits (A-Z lower-cased), so punctuation doesn't matter. Of equal windows the first is told. Items
     under k words are one shingle and must stand in the text as they are; items without words, with null text or null id match
     nothing. Null and empty documents leak nothing; repeated rows are told each; a null doc_id stays null. Empty tables give none.

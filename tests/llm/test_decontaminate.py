@@ -100,3 +100,43 @@ def test_query_on_sf(spark):
     keep = {d for d, _ in docs}
     want = brute(docs, take("benchmark", "item_id"))
     assert {(r.doc_id, r.item_id) for r in op1_decontamination(spark, sf).collect() if r.doc_id in keep} == set(want)
+
+
+def test_document_shorter_than_the_item(spark):
+    item = [f"w{x}" for x in range(40)]
+    docs = [(1, " ".join(item[:37])), (2, " ".join(item[3:])), (3, " ".join(item[:33])), (4, " ".join(item[:32])), (5, "w0 w1 w2 w3"), (6, "clean"), (7, "")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item)), (8, "w0 w1 w2 w3 w4")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in decontaminate.find_leaks(d, i).collect()}
+    assert {x: v for x, v in got.items() if x[1] == 9} == {(1, 9): (0, 37, 33 / 36), (2, 9): (0, 37, 33 / 36), (3, 9): (0, 33, 29 / 36)}
+    assert {x: v for x, v in got.items() if x[1] == 8} == {(x, 8): (0, 5, 1.0) for x in (1, 3, 4)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, i).collect()} == {5, 6, 7}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shorter_documents_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = ["a", "b", "c", "d"] if seed == 2 else [f"w{x}" for x in range(200)]  # few words: shingles that repeat
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice([3, 5, 8, 9, 12, 20, 40, 90]))] for _ in range(40)]
+    for w in base[:20]:  # items that are near copies of others
+        w = list(w)
+        w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        base.append(w + [rng.choice(vocabulary)])
+    docs = []
+    for x in range(600):
+        w = list(rng.choice(base))
+        w = w[rng.randint(0, len(w) // 12) : len(w) - rng.randint(0, 1 + len(w) // 10)]
+        if w and rng.random() < 0.3:
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        docs.append((x, w))
+    want = {}
+    for x, w in docs:
+        for y, v in enumerate(base):
+            if len(w) < len(v) and len(v) >= 5:
+                seen, item = (Counter(tuple(t[s : s + 5]) for s in range(len(t) - 4)) for t in (w, v))
+                shared, total = sum((seen & item).values()), sum((seen | item).values())
+                if 100 * shared >= 80 * total:
+                    want[x, y] = (0, len(w), shared / total)
+    frames = spark.createDataFrame([(x, " ".join(w)) for x, w in docs], "doc_id long, text string"), spark.createDataFrame([(y, " ".join(v)) for y, v in enumerate(base)], "item_id long, text string")
+    got = decontaminate.find_leaks(*frames).collect()
+    assert {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in got if len(docs[r.doc_id][1]) < len(base[r.item_id])} == want
+    assert len(want) > 100
