@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm import decontaminate, ngram_join, sentencepiece_codec, suffix_dedup, toxicity
-from grove.llm.common import free_shuffles, read, stored
+from grove.llm.common import free_shuffles, read, stored, width
 from grove.llm.queries import REJECT
 
 
@@ -17,24 +17,48 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(rows, model).filter(F.col("p_toxic") < REJECT).select("row.*")
 
 
+def _numbered(named: DataFrame) -> DataFrame | None:
+    """(n, row) of each row where ids repeat, stored: numbers in the order of ids, then of texts' hashes. None where no id repeats."""
+    if named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).isEmpty():
+        return None
+    rows = named.select(F.struct(*named.columns).alias("row"))
+    dealt = rows.repartitionByRange(width(named.sparkSession), "row.doc_id").sortWithinPartitions("row.doc_id", F.xxhash64("row.text"))
+    return stored(dealt.select(F.monotonically_increasing_id().alias("n"), "row"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents that share 80 % of their 5-word shingles, the one with the least id.
 
-    Documents without words or without an id all stay; rows that repeat an id are one document, of which one row stays.
+    Documents without words or without an id all stay. Rows that share an id are told apart by their texts: each is compared on its
+    own, and of those that are alike, or without words, one row stays.
     """
-    told = ngram_join.join_ngrams(docs, k=5, per_100=80)
-    stay = stored(told.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    out = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
-    if not stay.filter("n > 1").limit(1).isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    named = docs.filter("doc_id is not null")
+    rows = _numbered(named)
+    if rows is None:
+        told = ngram_join.join_ngrams(named, k=5, per_100=80)
+        out = named.join(told.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    else:
+        told = ngram_join.join_ngrams(rows.select("n", "row.text"), doc_id="n", k=5, per_100=80).withColumnRenamed("doc_id", "n")
+        wordless = F.col("n_shingles") == 0
+        group = [F.when(~wordless, F.col("component_id")).alias("component"), F.when(wordless, F.col("id")).alias("id")]
+        least = told.join(rows.select("n", F.col("row.doc_id").alias("id")), "n").groupBy(*group).agg(F.min("n").alias("n"))
+        out = rows.join(stored(least.select("n")), "n", "left_semi").select("row.*")
     nameless = docs.filter("doc_id is null")
     return out if nameless.limit(1).isEmpty() else out.unionByName(nameless)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 bytes or more that stand in a document with a smaller id; texts of which nothing is left go."""
-    rows = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
-    cut = suffix_dedup.remove_repeats(rows, length=50, whole_characters=True)
+    """Texts without the passages of 50 bytes or more that stand in a document with a smaller id; texts of which nothing is left go.
+
+    Rows that share an id are documents of their own, in the order of their texts' hashes.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").alias("n"), "doc_id", "text", F.struct(*rest).alias("row"))
+    numbered = _numbered(docs.filter("doc_id is not null"))
+    if numbered is not None:  # spans are found by id and place, so each row needs an id of its own
+        own_ids = numbered.select("n", "row.doc_id", "row.text", F.struct(*[F.col(f"row.`{c}`").alias(c) for c in rest]).alias("row"))
+        rows = own_ids.unionByName(rows.filter("doc_id is null"))
+    cut = suffix_dedup.remove_repeats(rows, doc_id="n", length=50, whole_characters=True)
     cut = cut.filter((F.octet_length("kept") > 0) | (F.size("spans") == 0))
     text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
     own = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.char_length(text).cast("long")}

@@ -59,3 +59,23 @@ def test_odd_documents(spark):
         assert pipeline.stored(stage(spark, docs.filter("false"), SF)).count() == 0
         docs = out
     assert sorted((r.doc_id or -1) for r in docs.collect()) == [-1, 1, 2, 3, 5]
+
+
+def test_texts_that_share_an_id(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(5, text("a")), (5, text("b")), (1, text("c")), (6, text("c")), (6, text("d")), (7, text("e")), (7, text("f")), (8, text("f") + " more"), (8, text("g")), (9, text("h")), (9, text("h")), (9, text("h") + " x"), (10, ""), (10, None), (10, text("i")), (11, ""), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(3, "n")
+    out = pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id or 0, (r.text or "")[:1]) for r in out.collect()))
+    assert got == [(0, "a"), (1, "c"), (5, "a"), (5, "b"), (6, "d"), (7, "e"), (7, "f"), (8, "g"), (9, "h"), (10, ""), (10, "i"), (11, "")]
+
+
+def test_spans_of_one_text_do_not_cut_another_of_its_id(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(1, text("a")), (2, text("b") + " " + text("a")), (2, text("c") + " " + text("d")), (None, text("a")), (3, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.drop_repeats(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text.strip()) for r in out.collect())
+    assert got == sorted([(0, text("a")), (1, text("a")), (2, text("b")), (2, text("c") + " " + text("d")), (3, text("e"))])
