@@ -140,3 +140,11 @@ def test_shorter_documents_match_brute_force(spark, seed):
     got = decontaminate.find_leaks(*frames).collect()
     assert {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in got if len(docs[r.doc_id][1]) < len(base[r.item_id])} == want
     assert len(want) > 100
+
+
+def test_far_fingerprints_at_the_threshold(spark):
+    for x in (1958, 6286, 6820, 7440):  # of similarity 0.8, and 21 bits apart
+        item = [f"i{x}w{y}" for y in range(40)]
+        doc = [*item[:36], "other", *item[37:]]
+        got = decontaminate.find_leaks(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")).collect()
+        assert [(r.similarity, r.distance) for r in got] == [(0.8, 21)]
