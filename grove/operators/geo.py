@@ -22,9 +22,10 @@ def with_distance(points: DataFrame, lat: float, lng: float) -> DataFrame:
     return points.withColumn("metres", F.floor(d + 0.5).cast("long"))
 
 
-def nearest(points: DataFrame, lat: float, lng: float, k: int, key: str = "id") -> DataFrame:
-    """The k nearest points by whole metres, then key: a top-k without a sort of everything."""
-    return with_distance(points, lat, lng).orderBy("metres", key).limit(k)
+def nearest(points: DataFrame, lat: float, lng: float, k: int | None, key: str = "id") -> DataFrame:
+    """The k nearest points by whole metres, then key: a top-k without a sort of everything. Without k, all points in that order."""
+    ranked = with_distance(points, lat, lng).orderBy("metres", key)
+    return ranked if k is None else ranked.limit(k)
 
 
 def bounding_box(lat: float, lng: float, radius: float) -> dict[str, float]:

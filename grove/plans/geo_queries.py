@@ -33,6 +33,8 @@ Q["geo_distance_m"] = lambda s, d: geo.with_distance(pts(s, d), LAT, LNG).select
 O["geo_distance_m"] = sql("pts", f"SELECT id, metres FROM ({DIST})")
 Q["geo_nearest_ranked"] = lambda s, d: geo.nearest(pts(s, d), LAT, LNG, 1000).select("id", "metres")
 O["geo_nearest_ranked"] = sql("pts", f"SELECT id, metres FROM ({DIST}) ORDER BY metres, id LIMIT 1000")
+Q["geo_all_ranked"] = lambda s, d: geo.nearest(pts(s, d), LAT, LNG, None).select("id", "metres")
+O["geo_all_ranked"] = sql("pts", f"SELECT id, metres FROM ({DIST}) ORDER BY metres, id")
 Q["geo_bbox"] = lambda s, d: s.createDataFrame([(r, *geo.bounding_box(LAT, LNG, r).values()) for r in geo.RADII], "radius double, min_lat double, max_lat double, min_lng double, max_lng double")
 O["geo_bbox"] = "SELECT r AS radius, 52.0e0 - r AS min_lat, 52.0e0 + r AS max_lat, 8.5e0 - r AS min_lng, 8.5e0 + r AS max_lng FROM (SELECT unnest([0.0015e0, 0.005e0, 0.01e0]) AS r)"
 Q["geo_viewport_points"] = lambda s, d: geo.viewport(pts(s, d), LAT - 0.005, LNG - 0.005, LAT + 0.005, LNG + 0.005)

@@ -65,3 +65,12 @@ def test_box_meets_on_its_edges(spark):
     assert {r.file_name for r in geo.matching_cells(index, 0.5, 1.0, 1.0, 2.0).collect()} == {"a", "b"}
     loaded = spark.createDataFrame([("a",)], "file_name string")
     assert {r.file_name for r in geo.unloaded_cells(geo.matching_cells(index, 0.0, 9.0, 0.0, 9.0), loaded).collect()} == {"b", "c"}
+
+
+def test_all_points_are_ranked(spark):
+    from grove.plans import catalogue
+
+    sf = "/root/testdata/sf0.1"
+    got = [(r.metres, r.id) for r in catalogue.queries()["geo_all_ranked"](spark, sf).collect()]
+    every = [(r.metres, r.id) for r in catalogue.queries()["geo_distance_m"](spark, sf).collect()]
+    assert got == sorted(every) and len(got) > 1000
