@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm import decontaminate, ngram_join, sentencepiece_codec, suffix_dedup, toxicity
-from grove.llm.common import free_shuffles, read, stored, width
+from grove.llm.common import forget, read, stored, width
 from grove.llm.queries import REJECT
 
 
@@ -91,6 +91,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table, each written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
-        free_shuffles(spark)
+        out = stored(stage(spark, docs, sf_dir))
+        forget(docs)
+        docs = out
     return docs
