@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import forget, stored
+
+__all__ = ["forget", "stored"]
+
 U64 = np.uint64
 
 
@@ -18,22 +22,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="grove-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/grove-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: cuts lineage, and survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def plus(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df with more fields."""
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(ddl).fields])
@@ -43,9 +31,31 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Ask the JVM to drop shuffle files of finished steps, whose rows are in the shared folder by now."""
-    spark.sparkContext._jvm.System.gc()
+def spread(number: Column | np.ndarray) -> Column | np.ndarray:
+    """The int whose hash, by which Spark deals rows to n partitions, is `number`; so groups numbered 0, 1, ... fill all partitions evenly.
+
+    Spark hashes an int by Murmur3 with seed 42, whose steps can all be undone. Were it to deal otherwise, only the evenness would be lost.
+    """
+    mask, ours = 0xFFFFFFFF, isinstance(number, np.ndarray)
+    low = lambda v: v & mask if ours else v.bitwiseAND(F.lit(mask).cast("long"))
+    xor = lambda v, w: v ^ w if ours else v.bitwiseXOR(F.lit(w).cast("long") if isinstance(w, int) else w)
+    down = lambda v, n: v >> n if ours else F.shiftright(v, n)
+    up = lambda v, n: low(v << n if ours else F.shiftleft(v, n))
+    undo = lambda c: pow(c, -1, 1 << 32)
+    times = lambda c: lambda v: low(up(low(v * (c >> 16)), 16) + v * (c & 0xFFFF))
+    turn = lambda n: lambda v: up(v, 32 - n) + down(v, n)  # noqa: E731, a rotation to the right
+    steps = [low, lambda v: xor(v, down(v, 16)), times(undo(0xC2B2AE35)), lambda v: xor(xor(v, down(v, 13)), down(v, 26)), times(undo(0x85EBCA6B)),
+             lambda v: xor(xor(v, down(v, 16)), 4), lambda v: low(v + ((1 << 32) - 0xE6546B64)), times(undo(5)), turn(13), lambda v: xor(v, 42),
+             times(undo(0x1B873593)), turn(15), times(undo(0xCC9E2D51))]
+    if ours:
+        x = number.astype(np.int64)
+        for step in steps:
+            x = step(x)
+        return x.astype(np.uint32).view(np.int32)
+    x = F.array(number.cast("long"))
+    for step in steps:  # each in an array of one, so that what a step uses twice is there once
+        x = F.transform(x, step)
+    return F.get(F.transform(x, lambda v: F.when(v < 1 << 31, v).otherwise(v - (1 << 32)).cast("int")), F.lit(0))
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +117,45 @@ NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+LONG_WORD = 128
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a number; the data need LONG_WORD more bytes at their end."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of each data[start : start + size]; up to LONG_WORD bytes by scrambling eight at a time, of longer ones by BLAKE2.
+
+    Neither is a sum over bytes, so no pattern of letters makes different words collide; of n words any two do with odds of n * n / 2**65.
+    """
+    view = eight_bytes(np.concatenate([data, np.zeros(LONG_WORD, np.uint8)]))
+    h = mix(size.astype(U64) * U64(0x9FB21C651E98DF25) + U64(0x2545F4914F6CDD1D))
+    for j in range(0, LONG_WORD, 8):
+        on = slice(None) if j == 0 else np.flatnonzero(size > j)
+        if j and not len(on):
+            break
+        h[on] = mix(h[on] * U64(0x9E3779B97F4A7C15) + (view[start[on] + j].astype(U64) & _MASKS[np.clip(size[on] - j, 0, 8)]))
+    raw = memoryview(np.ascontiguousarray(data))
+    for x in np.flatnonzero(size > LONG_WORD).tolist():
+        h[x] = int.from_bytes(hashlib.blake2b(raw[start[x] : start[x] + size[x]], digest_size=8, key=b"grove").digest(), "little")
+    return h
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each data[a : a + size] is other[b : b + size]."""
+    views = [eight_bytes(np.concatenate([x, np.zeros(LONG_WORD, np.uint8)])) for x in (data, other)]
+    same = np.ones(len(a), bool)
+    for j in range(0, min(LONG_WORD, int(size.max(initial=0))), 8):
+        on = np.flatnonzero(same & (size > j))
+        same[on] = (views[0][a[on] + j] ^ views[1][b[on] + j]) & _MASKS[np.minimum(size[on] - j, 8)] == 0
+    for x in np.flatnonzero(same & (size > LONG_WORD)).tolist():
+        same[x] = np.array_equal(data[a[x] : a[x] + size[x]], other[b[x] : b[x] + size[x]])
+    return same
+
+
 def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = WHITE, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts laid end to end, A-Z lower-cased: (hash, start, end, first word of each text and the total).
 
@@ -127,12 +176,8 @@ def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = WHITE, most: int
     after[:-1] = inside[1:]
     after[edge[edge > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum(BYTE[LOWER[data]] * powers(n, BASE, "up"), out=total[1:])
-    stop = end if most is None else np.minimum(end, start + most)
-    h = mix((total[stop] - total[start]) * powers(n, BACK, "down")[start] + (stop - start).astype(U64))
-    return h, start, end, np.searchsorted(start, off)
+    size = end - start if most is None else np.minimum(end - start, most)
+    return word_hashes(LOWER[data], start, size), start, end, np.searchsorted(start, off)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

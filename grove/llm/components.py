@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, stored
+from .common import forget, stored
 
 
 def _roots(parent: DataFrame) -> DataFrame:
     """Follows the pointers id -> p, which only ever go down, to their ends; paths halve with each step."""
     while True:
         up = parent.select(F.col("id").alias("p"), F.col("p").alias("further"))
-        step = stored(parent.join(up, "p").select("id", F.col("p").alias("was"), F.col("further").alias("p")))
-        parent = step.select("id", "p")
+        step = stored(parent.select("id", "p").join(up, "p").select("id", F.col("p").alias("was"), F.col("further").alias("p")))
+        forget(parent)
         if step.filter("p <> was").limit(1).isEmpty():
-            return parent
+            return step
+        parent = step
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,10 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = _roots(stored(ends.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("p"))))
         near, far = parent.select(F.col("id").alias("a"), F.col("p").alias("pa")), parent.select(F.col("id").alias("b"), F.col("p").alias("pb"))
-        edges = stored(low_high(edges.join(near, "a").join(far, "b"), "pa", "pb"))
+        drawn = stored(low_high(edges.join(near, "a").join(far, "b"), "pa", "pb"))
         if labels is None:
-            labels = parent.select("id", F.col("p").alias("comp"))
+            told = stored(parent.select("id", F.col("p").alias("comp")))
         else:
-            labels = stored(labels.join(parent.select(F.col("id").alias("comp"), "p"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
-        free_shuffles(edges.sparkSession)
+            told = stored(labels.join(parent.select(F.col("id").alias("comp"), "p"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
+            forget(labels)
+        forget(edges, parent)
+        edges, labels = drawn, told
+    forget(edges)
     return labels

@@ -1,13 +1,16 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are alike, exactly, by signature trees.
 
-  1. Texts are dealt into chunks once. Each chunk names its n-grams, and learns in how many documents each of them stands.
+  1. Texts are dealt into chunks once. Each chunk names the n-grams of its distinct sets (of equal sets anywhere only the one of the least
+     id takes part), and learns in how many sets each of them stands.
   2. With its n-grams ordered from rare to frequent, a set of n can only reach the threshold t with a set that shares one of its
-     first n - ceil(t * n) + 1. Those of them that stand elsewhere are posted; equal sets of a chunk post once. Postings of an
-     n-gram are chained by size, which gives groups outside which no pair can be alike.
+     first n - ceil(t * n) + 1. Those of them that stand elsewhere are posted: a chunk chains its own sets of an n-gram by size, and
+     posts each chain once, by its range of sizes and least id, so that an n-gram of however many sets makes few postings a chunk.
+     Postings of an n-gram are chained in turn, which gives groups outside which no pair can be alike.
   3. Each group is joined by signature trees: nodes hold the OR of their members' bitmaps and their range of sizes; pairs of
-     nodes whose greatest possible overlap is too small are left out, pairs of leaves are settled by the sets themselves. Large
-     groups are dealt into sub-blocks, joined two by two in tasks of their own.
+     nodes whose greatest possible overlap is too small are left out, pairs of leaves are settled by the sets themselves. What travels are
+     the sets, 8 bytes an n-gram. Groups share tasks by bytes; large ones are dealt into sub-blocks, joined two by two in tasks of their own.
 No pair is capped or sampled. Links are counted where they are found; of a task's links only a spanning forest travels on, to the components.
+N-grams are compared by 64-bit hashes: of n different ones in two documents any two do with odds of n * n / 2**65, 1 in 4 * 10**11 for 10,000.
 """
 
 from __future__ import annotations
@@ -17,29 +20,36 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, free_shuffles, mix, pieces, shingles, stored, texts, width, words
+from .common import U64, forget, mix, pieces, shingles, spread, stored, texts, width, words
 from .components import components
 from .suffix_dedup import BUCKET_BYTES, CHUNK_BYTES, split_key
 
-OWNER = 12  # bits of a sort key that hold the text's number in its slice; n-grams keep the other 52
+SLICE = 4096  # texts whose n-grams are made at once
 LEAF, FAN = 32, 8
-SUB = 96  # members of a sub-block of a large group, which has 32 sub-blocks or, from MOST * 32 members on, sub-blocks of MOST
-MOST = 16384
+SUB = 96  # members of a sub-block of a large group, which has 32 sub-blocks or, if these held more bytes of sets, sub-blocks of BLOCK_BYTES
+BLOCK_BYTES = 16 << 20
+TASK_BYTES = 4 << 20  # of sets of small groups that share a task
 
 
 def sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of each text, laid end to end, and where each text's begin. A text under k words is one n-gram."""
     out, count = [], []
-    for x in range(0, len(off) - 1, 1 << OWNER):
-        o = off[x : x + (1 << OWNER) + 1]
+    for x in range(0, len(off) - 1, SLICE):
+        o = off[x : x + SLICE + 1]
         h, _, _, first = words(data[o[0] : o[-1]], o - o[0])
         gram, owner, _ = shingles(h, first, k)
-        key = np.sort((owner.astype(U64) << U64(64 - OWNER)) | (gram >> U64(OWNER)))
-        if len(key):
-            key = key[np.r_[True, key[1:] != key[:-1]]]
-        out.append(key & U64((1 << (64 - OWNER)) - 1))
-        count.append(np.bincount((key >> U64(64 - OWNER)).astype(np.int64), minlength=len(o) - 1))
+        by = np.argsort(owner, kind="stable")
+        gram, owner = gram[by], owner[by]
+        edge = np.searchsorted(owner, np.arange(len(o)))
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            gram[i:j].sort()
+        if len(gram):
+            new = np.r_[True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])]
+            gram, owner = gram[new], owner[new]
+        out.append(gram)
+        count.append(np.bincount(owner, minlength=len(o) - 1))
     grams = np.concatenate(out) if out else np.zeros(0, U64)
     return grams, np.r_[0, np.cumsum(np.concatenate(count))] if count else np.zeros(1, np.int64)
 
@@ -66,25 +76,42 @@ def describe_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def _chunk(t: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, sets and their beginnings of a chunk, one for each distinct set: the least id's."""
-    data, off = texts(t.column("text"))
-    grams, first = sets(data, off, k)
+def pack_sets(docs: DataFrame, k: int) -> DataFrame:
+    """The rows of docs with the set of `text` as binary `grams` (8 bytes each) in its place."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        for b, data, off in pieces(batches, "text"):
+            grams, first = sets(data, off, k)
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(np.ascontiguousarray(first * 8, np.int64)), pa.py_buffer(grams)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), held.cast(pa.binary())], names=[*names, "grams"])
+
+    return docs.select(*names, "text").mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("grams", T.BinaryType())]))
+
+
+def _chunk(t: pa.Table, answers: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sets and their beginnings of a chunk's documents whose ids stand for a distinct set."""
     ids = t.column("doc_id").to_numpy().astype(np.int64)
-    d = digests(grams, first)
-    by = np.lexsort((ids, d[1], d[0]))
-    new = np.ones(len(by), bool)
-    new[1:] = (d[0][by][1:] != d[0][by][:-1]) | (d[1][by][1:] != d[1][by][:-1])
-    keep = np.sort(by[new])
-    keep = keep[np.diff(first)[keep] > 0]
+    reps = answers.column("reps").combine_chunks().flatten().to_numpy()
+    rows = np.flatnonzero(np.isin(ids, reps))
+    data, off = texts(t.column("text").take(pa.array(rows)))
+    grams, first = sets(data, off, k)
+    ids = ids[rows]
+    keep = np.flatnonzero(np.diff(first))
+    keep = keep[np.lexsort((*digests(grams, first)[:, keep], ids[keep]))]  # the same order whenever the chunk is read
     n = np.diff(first)[keep]
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[keep], n)
     return ids[keep], grams[at], np.r_[0, np.cumsum(n)]
 
 
-def _names(t: pa.Table, k: int, buckets: int) -> pa.Table:
+NAMES = "bucket int, chunk int, keys binary, counts binary"
+
+
+def _names(t: pa.Table, reps: pa.Table, k: int, buckets: int) -> pa.Table:
     """Step 1 of a chunk: its n-grams and in how many of its distinct sets they stand (255 for more)."""
-    _, grams, _ = _chunk(t, k)
+    if not t.num_rows or not reps.num_rows:
+        return pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+    _, grams, _ = _chunk(t, reps, k)
     gram, count = np.unique(grams, return_counts=True)
     b, low = split_key(mix(gram), buckets)
     by = np.argsort(b, kind="stable")
@@ -120,16 +147,38 @@ def _frequent(t: pa.Table) -> pa.Table:
                      "keys": pa.array([out_k[x].tobytes() for x in some], pa.binary()), "grades": pa.array([press.compress(out_g[x].tobytes()) for x in some], pa.binary())})
 
 
-POSTINGS = "bucket int, gram binary, doc binary, n binary, d1 binary"
+POSTINGS = "bucket int, gram binary, least binary, low binary, high binary, a binary, b binary"
+
+
+def chain(gram: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray, per_100: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """Chains of the ranges low..high of sizes of each n-gram, where neighbours in size may be alike.
+
+    Returns the chains as (gram, low, high, least id), and the edges from each chain's least id to the other ids: only those that
+    join two trees, when all n-grams' edges are taken together.
+    """
+    by = np.lexsort((least, low, gram))
+    gram, low, high, least = gram[by], low[by], high[by], least[by]
+    if not len(gram):
+        return (gram, low, high, least), least, least
+    # the greatest size so far of each n-gram: its rank keeps n-grams apart
+    rank = np.cumsum(np.r_[True, gram[1:] != gram[:-1]])
+    top = np.maximum.accumulate(rank * (np.int64(1) << 40) + high) & ((1 << 40) - 1)
+    begin = np.flatnonzero(np.r_[True, (rank[1:] != rank[:-1]) | (top[:-1] * 100 < per_100 * low[1:])])
+    size = np.diff(np.r_[begin, len(gram)])
+    first = np.minimum.reduceat(least, begin)
+    pair = np.unique(np.stack([np.repeat(first, size), least], 1)[np.repeat(first, size) != least], axis=0)
+    pair = pair[forest(*(np.unique(pair, return_inverse=True)[1].reshape(-1, 2).T.tolist()))]
+    return (gram[begin], low[begin], np.maximum.reduceat(high, begin), first), pair[:, 0], pair[:, 1]
 
 
 def _post(t: pa.Table, answers: pa.Table, k: int, per_100: int, buckets: int) -> pa.Table:
-    """Step 2 of a chunk: the n-grams by which a set must meet any set it is alike to."""
+    """Step 2 of a chunk: the n-grams by which a set must meet any set it is alike to, and edges between the chunk's own sets."""
     rows: dict = {c.split()[0]: [] for c in POSTINGS.split(", ")}
     schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in list(rows)[1:]]])
-    if not t.num_rows or not answers.num_rows:
+    reps, answers = answers.filter(pa.compute.is_null(answers.column("bucket"))), answers.filter(pa.compute.is_valid(answers.column("bucket")))
+    if not t.num_rows or not answers.num_rows or not reps.num_rows:
         return pa.table(rows, schema)
-    ids, grams, first = _chunk(t, k)
+    ids, grams, first = _chunk(t, reps, k)
     expand = zstandard.ZstdDecompressor()
     known = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) | (b << 32) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True)])
     grades = np.concatenate([np.frombuffer(expand.decompress(x), np.uint8) for x in answers.column("grades").to_pylist()])
@@ -153,15 +202,16 @@ def _post(t: pa.Table, answers: pa.Table, k: int, per_100: int, buckets: int) ->
     place = np.arange(len(x)) - np.repeat(begin, np.diff(np.r_[begin, len(x)])) + alone[owner]
     on = place < prefix[owner]
     x, owner = x[on], owner[on]
-    d1 = digests(grams, first)[0]
-    b = b[x]
+    size = n[owner].astype(np.int64)
+    (gram, low, high, least), a, e = chain(grams[x], size, size, ids[owner], per_100)
+    b = split_key(mix(gram), buckets)[0]
     by = np.argsort(b, kind="stable")
-    x, owner, b = x[by], owner[by], b[by]
-    cut = np.searchsorted(b, np.arange(buckets + 1))
-    for c in np.flatnonzero(np.diff(cut)):
-        s = slice(cut[c], cut[c + 1])
-        rows["bucket"].append(int(c))
-        for name, v in (("gram", grams[x[s]]), ("doc", ids[owner[s]]), ("n", n[owner[s]].astype(np.int64)), ("d1", d1[owner[s]])):
+    cut = np.searchsorted(b[by], np.arange(buckets + 1))
+    mine = t.column("chunk")[0].as_py() % buckets
+    for c in np.union1d(np.flatnonzero(np.diff(cut)), [mine]).tolist():
+        s = by[cut[c] : cut[c + 1]]
+        rows["bucket"].append(c)
+        for name, v in (("gram", gram[s]), ("least", least[s]), ("low", low[s]), ("high", high[s]), ("a", a if c == mine else a[:0]), ("b", e if c == mine else e[:0])):
             rows[name].append(v.tobytes())
     return pa.table(rows, schema)
 
@@ -182,24 +232,10 @@ def forest(a: list[int], b: list[int]) -> list[int]:
 
 
 def _chain(t: pa.Table, per_100: int) -> pa.Table:
-    """Step 2 of a bucket: in each n-gram's postings, ordered by size, neighbours within the threshold belong together.
-
-    Equal sets (same digest) are one, by their least id. Each run of such neighbours gives edges to its least id.
-    """
+    """Step 2 of a bucket: the chunks' chains of each n-gram are chained again. Edges to the least id of each, and those of the chunks."""
     take = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()] or [np.zeros(0, kind)])
-    gram, doc, n, d1 = take("gram", U64), take("doc", np.int64), take("n", np.int64), take("d1", np.int64)
-    by = np.lexsort((doc, d1, n, gram))
-    gram, doc, n, d1 = gram[by], doc[by], n[by], d1[by]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (n[1:] != n[:-1]) | (d1[1:] != d1[:-1])
-    gram, doc, n = gram[new], doc[new], n[new]
-    cut = np.ones(len(gram), bool)
-    cut[1:] = (gram[1:] != gram[:-1]) | (n[:-1] * 100 < per_100 * n[1:])
-    begin = np.flatnonzero(cut)
-    least = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.r_[begin, len(doc)])) if len(doc) else doc
-    pair = np.unique(np.stack([least, doc], 1)[least != doc], axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-    pair = pair[forest(*(np.unique(pair, return_inverse=True)[1].reshape(-1, 2).T.tolist()))]  # what joins nothing new in this bucket stays here
-    return pa.table({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
+    _, a, b = chain(take("gram", U64), take("low", np.int64), take("high", np.int64), take("least", np.int64), per_100)
+    return pa.table({"a": pa.array(np.r_[a, take("a", np.int64)]), "b": pa.array(np.r_[b, take("b", np.int64)])})
 
 
 class SignatureTree:
@@ -306,10 +342,10 @@ def link(grams: list[np.ndarray], side: np.ndarray, cross: bool, copies: np.ndar
     return [(x[e], y[e]) for e in forest(x, y)], degree
 
 
-def _join_block(t: pa.Table, k: int, per_100: int) -> pa.Table:
+def _join_block(t: pa.Table, per_100: int) -> pa.Table:
     """Step 3: the groups (or one pair of sub-blocks of a group) that were dealt to one task. Links have a and b, degrees a and n."""
-    data, off = texts(t.column("text"))
-    grams, first = sets(data, off, k)
+    data, first = texts(t.column("grams"))
+    grams, first = data.view(U64), first // 8
     comp, side, ids, part, copies = (t.column(c).to_numpy() for c in ("comp", "side", "doc_id", "part", "copies"))
     by = np.lexsort((ids, side, part, comp))
     edge = np.flatnonzero(np.r_[True, (comp[by][1:] != comp[by][:-1]) | (part[by][1:] != part[by][:-1])]) if len(by) else np.zeros(0, int)
@@ -333,7 +369,8 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     with (of copies all count, without being compared one by one). Null and empty texts, and texts without
     words, have an empty set and link with nothing, so both ids are their own. Repeated rows give repeated rows; texts that
     share an id are one document to links, so what either is alike to is one component. Rows without an id are left out of the
-    search; they come back with null rep_id, component_id and n_links. An empty table gives an empty table; other columns are ignored.
+    search; they come back with null rep_id, component_id and n_links. An empty table gives an empty table; other columns, whatever their
+    names, are ignored. Very long words and texts are hashed whole; a text is read, and its set held, in one task.
     """
     spark = docs.sparkSession
     all_docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -342,39 +379,48 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     parts = width(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks, buckets = max(4 * parts, -(-total // CHUNK_BYTES)), max(parts, -(-total // BUCKET_BYTES))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int")).repartition(parts, "chunk")
-    named = dealt.groupBy("chunk").applyInArrow(lambda t: _names(t, k, buckets), "bucket int, chunk int, keys binary, counts binary")
-    often = named.groupBy("bucket").applyInArrow(_frequent, "chunk int, bucket int, keys binary, grades binary")
-    posted = dealt.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(lambda t, a: _post(t, a, k, per_100, buckets), POSTINGS)
-    near = stored(posted.groupBy("bucket").applyInArrow(lambda t: _chain(t, per_100), "a long, b long"))
-    free_shuffles(spark)
-    groups = components(near)
     classes = stored(told.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")))
-    # large groups are dealt into sub-blocks; each pair of them is a task
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("m"))
-    q = F.when(F.col("m") <= 32 * SUB, F.ceil(F.col("m") / SUB)).otherwise(F.greatest(F.lit(32), F.ceil(F.col("m") / MOST)))
-    member = groups.join(sizes.select("comp", q.cast("int").alias("q")), "comp")
-    member = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("q")).cast("int"))
+    # an id that comes with several texts stands for all their sets
+    reps = stored(classes.groupBy(F.col("rep_id").alias("doc_id")).agg(F.sum("copies").alias("copies"), F.sum("n").alias("n")))
+    chunk = spread(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)))
+    dealt = docs.withColumn("chunk", chunk).repartition(parts, "chunk")
+    of_chunk = reps.select("doc_id", chunk.alias("chunk")).groupBy("chunk").agg(F.collect_list("doc_id").alias("reps"))  # ids of a chunk of texts
+    place = spread(F.col("bucket"))  # one bucket a task
+    named = dealt.groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInArrow(lambda t, r: _names(t, r, k, buckets), NAMES)
+    often = named.groupBy(place).applyInArrow(_frequent, "chunk int, bucket int, keys binary, grades binary")
+    answers = often.withColumn("reps", F.lit(None).cast("array<long>")).unionByName(of_chunk, allowMissingColumns=True)
+    posted = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _post(t, a, k, per_100, buckets), POSTINGS)
+    near = stored(posted.groupBy(place).applyInArrow(lambda t: _chain(t, per_100), "a long, b long"))
+    groups = components(near)
+    # a group of many members or bytes is dealt into sub-blocks, and each pair of them is a task; small groups share tasks
+    members = groups.withColumnRenamed("id", "doc_id").join(reps, "doc_id")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("m"), (F.sum("n") * 8).alias("bytes"))
+    by_count = F.when(F.col("m") <= 32 * SUB, F.ceil(F.col("m") / SUB)).otherwise(32)
+    sizes = stored(sizes.select("comp", "bytes", F.greatest(by_count, F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("q")))
+    shared = sizes.filter("q = 1").agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(parts, -(-shared // TASK_BYTES))
+    member = members.join(sizes.select("comp", "q"), "comp").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("q")).cast("int"))
+    member = stored(member.select("doc_id", "comp", "q", "own", "copies"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
-    task = member.select("id", "comp", "own", "q", F.explode(pairs).alias("p"))
-    task = task.select(
-        F.col("id").alias("doc_id"),
+    blocks = pack_sets(docs.join(member, "doc_id"), k).withColumn("p", F.explode(pairs))
+    blocks = blocks.select(
+        "doc_id",
         "comp",
+        "copies",
+        "grams",
         (F.col("p.i") * F.lit(1 << 20) + F.col("p.j")).alias("part"),
         ((F.col("own") == F.col("p.j")) & (F.col("p.i") < F.col("p.j"))).cast("int").alias("side"),
-        F.when(F.col("q") > 1, F.xxhash64("comp", "p.i", "p.j")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(16 * parts))).alias("task"),
+        F.when(F.col("q") > 1, F.xxhash64("comp", "p.i", "p.j")).otherwise(spread(F.pmod(F.xxhash64("comp"), F.lit(tasks)))).alias("task"),
     )
-    # an id that comes with several texts: only rows whose set is the one that was posted could tell; all of them are looked at
-    task = task.join(classes.groupBy(F.col("rep_id").alias("doc_id")).agg(F.sum("copies").alias("copies")), "doc_id")
-    blocks = docs.join(stored(task), "doc_id")
-    links = stored(blocks.groupBy("task").applyInArrow(lambda t: _join_block(t, k, per_100), "a long, b long, n long"))
-    free_shuffles(spark)
+    links = stored(blocks.groupBy("task").applyInArrow(lambda t: _join_block(t, per_100), "a long, b long, n long"))
+    forget(near, groups, sizes, member, reps)
     linked = components(links.filter("b is not null").select("a", "b"))
     degrees = links.filter("n is not null").groupBy(F.col("a").alias("rep_id")).agg(F.sum("n").alias("partners"))
-    classes = classes.join(linked.select(F.col("id").alias("rep_id"), "comp"), "rep_id", "left").join(degrees, "rep_id", "left")
+    found = classes.join(linked.select(F.col("id").alias("rep_id"), "comp"), "rep_id", "left").join(degrees, "rep_id", "left")
     count = F.coalesce("partners", F.lit(0)) + F.col("copies") - 1
     # stored, so that Spark can split a class with many copies in the join
-    classes = stored(classes.select("d1", "d2", "n", "rep_id", F.coalesce("comp", "rep_id").alias("comp"), count.alias("links")))
-    out = told.join(classes, ["d1", "d2", "n"], "left")
+    found = stored(found.select("d1", "d2", "n", "rep_id", F.coalesce("comp", "rep_id").alias("comp"), count.alias("links")))
+    forget(classes, links, linked)
+    out = told.join(found, ["d1", "d2", "n"], "left")
     own = {"rep_id": F.coalesce("rep_id", "doc_id"), "component_id": F.coalesce("comp", "doc_id"), "n_links": F.coalesce("links", F.lit(0))}
     return out.select("doc_id", F.col("n").alias("n_shingles"), *[F.when(F.col("doc_id").isNotNull(), c).alias(name) for name, c in own.items()])

@@ -3,7 +3,8 @@
 The plan deals texts into chunks once and uses that exchange three times:
   1. each chunk names its anchors: of the K-grams in a window of `length` bytes, the one with the least hash. Equal windows have
      equal anchors at equal places, so windows whose anchor stands in one document only can be left out without a loss;
-  2. chunks send the windows of the other anchors, as pieces of text, to the suffix bucket of their anchor. A bucket sorts its
+  2. chunks send the windows of the other anchors, as pieces of text, to the suffix bucket of their anchor. An anchor of many
+     chunks is split: its windows go by the anchor and the bytes that all of them have before or behind it. A bucket sorts its
      suffixes block by block with a difference cover (suffix_sort) and finds the equal ones and their least document;
   3. the spans go back to the chunks.
 What travels in 1 and 2 is packed into one row per chunk and bucket, and equal keys or pieces of a chunk travel once, so
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BACK, BASE, BYTE, U64, mix, plus, powers, texts, width
+from .common import BACK, BASE, BYTE, U64, equal_bytes, mix, plus, powers, spread, texts, width, word_hashes
 from .suffix_sort import equal_runs
 
 KGRAM = 26
@@ -26,6 +27,7 @@ STEP = 1 << 18
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20
 BLOCK_WINDOWS = 1 << 18
+HOT_CHUNKS = 32  # an anchor that stands in so many chunks is split by the bytes around it
 SPAN = "array<struct<start:long,end:long>>"
 
 
@@ -70,28 +72,31 @@ def split_key(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((key >> U64(32)) % U64(buckets)).astype(np.int64), key.astype(np.uint32)
 
 
-def piece_hashes(data: np.ndarray, i: np.ndarray, n: np.ndarray, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each data[i : i + n], for rising i; some pieces at a time, so that memory stays small."""
-    out = np.empty((2, len(i)), U64)
-    for x in range(0, len(i), step):
-        a, m = i[x : x + step], n[x : x + step]
-        low, high = int(a[0]), int((a + m).max())
-        part, a = data[low:high], a - low
-        for s, salt in enumerate((U64(0), U64(0x5851F42D4C957F2D))):
-            total = np.empty(len(part) + 1, U64)
-            total[0] = 0
-            np.cumsum(mix(BYTE + salt)[part] * powers(len(part), BASE, "up"), out=total[1:])
-            out[s, x : x + step] = mix((total[a + m] - total[a]) * powers(len(part), BACK, "down")[a] + m.astype(U64))
-    return out[0], out[1]
+def same_as_before(data: np.ndarray, i: np.ndarray, n: np.ndarray, by: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Along the order `by`: whether a piece has the keys, the length and the bytes of the one before it."""
+    same = np.zeros(len(by), bool)
+    same[1:] = n[by][1:] == n[by][:-1]
+    for key in keys:
+        same[1:] &= key[by][1:] == key[by][:-1]
+    at = np.flatnonzero(same)
+    same[at] = equal_bytes(data, i[by[at]], data, i[by[at - 1]], n[by[at]])
+    return same
 
 
 def _sound(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets and ids of a chunk's texts, ordered by id, and the rows' numbers; rows without id are left out."""
+    """Bytes, offsets and ids of a chunk's texts, ordered by id, and the rows' numbers; rows without id are left out.
+
+    Rows of one id are in the order of their texts' hashes, so that a place in this order means the same text each time the chunk is read.
+    """
     ids = t.column("__id").combine_chunks()
     rows = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
     num = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[rows]
     by = np.argsort(num, kind="stable")
     rows, num = rows[by], num[by]
+    again = np.flatnonzero(np.isin(num, num[1:][num[1:] == num[:-1]]))
+    if len(again):
+        data, off = texts(t.column("__text").take(pa.array(rows[again])))
+        rows[again] = rows[again][np.lexsort((word_hashes(data, off[:-1], np.diff(off)), num[again]))]
     data, off = texts(t.column("__text").take(pa.array(rows)))
     return data, off, num, rows
 
@@ -123,13 +128,13 @@ def _names(t: pa.Table, length: int, buckets: int) -> pa.Table:
 
 
 def _repeated(t: pa.Table) -> pa.Table:
-    """Step 1 of a bucket: tells each chunk which of its keys stand in several documents."""
+    """Step 1 of a bucket: tells each chunk which of its keys stand in several documents, and which of those in many chunks."""
     keys = [np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()]
     one, chunk = t.column("one").to_pylist(), t.column("chunk").to_pylist()
     everything = np.concatenate(keys)
     value, count = np.unique(everything, return_counts=True)
-    repeated = value[count > 1]
-    out = []
+    repeated, often = value[count > 1], value[count >= HOT_CHUNKS]
+    out, hot = [], []
     for k, n in zip(keys, one, strict=True):
         held = np.zeros(len(k), bool)
         held[n:] = True
@@ -137,12 +142,13 @@ def _repeated(t: pa.Table) -> pa.Table:
             at = np.minimum(np.searchsorted(repeated, k), len(repeated) - 1)
             held |= repeated[at] == k
         out.append(k[held])
+        hot.append(np.intersect1d(k, often))
     some = [x for x, k in enumerate(out) if len(k)]
     bucket = t.column("bucket").to_pylist()
-    return pa.table({"chunk": pa.array([chunk[x] for x in some], pa.int32()), "bucket": pa.array([bucket[x] for x in some], pa.int32()), "keys": pa.array([out[x].tobytes() for x in some], pa.binary())})
+    return pa.table({"chunk": pa.array([chunk[x] for x in some], pa.int32()), "bucket": pa.array([bucket[x] for x in some], pa.int32()), "keys": pa.array([out[x].tobytes() for x in some], pa.binary()), "hot": pa.array([hot[x].tobytes() for x in some], pa.binary())})
 
 
-PIECES = "bucket int, chunk int, kind int, keys binary, doc binary, low binary, n binary, lead binary, text binary"
+PIECES = "bucket int, chunk int, kind int, keys binary, doc binary, row binary, low binary, n binary, lead binary, text binary"
 
 
 def _rows(rows: list[dict]) -> pa.Table:
@@ -150,6 +156,25 @@ def _rows(rows: list[dict]) -> pa.Table:
     return pa.table({c: pa.array([r.get(c) for r in rows], kinds.get(c, pa.binary())) for c in (x.split()[0] for x in PIECES.split(", "))})
 
 
+def _told(answers: pa.Table, column: str) -> np.ndarray:
+    """The keys that buckets told a chunk, each with its bucket above 32 bits, in order."""
+    parts = [np.frombuffer(k, np.uint32).astype(np.int64) | (b << 32) for b, k in zip(answers.column("bucket").to_pylist(), answers.column(column).to_pylist(), strict=True)]
+    return np.sort(np.concatenate(parts))
+
+
+def _split_hot(data: np.ndarray, hot: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Pieces of hot anchors in two: (piece, first window, last window, key). Windows with `half` or more bytes before the anchor go by
+    those and it, the others, which have more behind it, by it and the `half` bytes that follow. So equal windows still meet."""
+    k = min(KGRAM, length)
+    half = (length - k) // 2
+    before, after = hot[i[hot] <= p[hot] - half], hot[j[hot] > p[hot] - half]
+    rows = np.r_[before, after]
+    first = np.r_[i[before], np.maximum(i[after], p[after] - half + 1)]
+    last = np.r_[np.minimum(j[before], p[before] - half), j[after]]
+    key = word_hashes(data, np.r_[p[before] - half, p[after]], np.full(len(rows), k + half, np.int64))
+    return rows, first, last, mix(key ^ (np.arange(len(rows)) < len(before)).astype(U64))
+
+
 def _send(t: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
     """Step 2 of a chunk: pieces of text (all windows of one anchor) whose anchors are repeated, to their buckets.
 
@@ -161,41 +186,44 @@ def _send(t: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table
     data, off, num, _ = _sound(t)
     key, p, i, j = anchors(data, off, length)
     bucket, low = split_key(key, buckets)
-    wanted = np.sort(np.concatenate([np.frombuffer(k, np.uint32).astype(np.int64) | (b << 32) for b, k in zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True)]))
+    wanted, hot = _told(answers, "keys"), _told(answers, "hot")
     full = low.astype(np.int64) | (bucket << 32)
-    at = np.minimum(np.searchsorted(wanted, full), len(wanted) - 1)
-    on = np.flatnonzero(wanted[at] == full)
-    p, i, bucket, low = p[on], i[on], bucket[on], low[on]
-    n = j[on] - i + length
+    among = lambda x, known: known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+    on = among(full, wanted)
+    often = on & among(full, hot)
+    rows, first, last, wider = _split_hot(data, np.flatnonzero(often), p, i, j, length)
+    on = np.flatnonzero(on & ~often)
+    wide_bucket, wide_low = split_key(wider, buckets)
+    bucket, low = np.r_[bucket[on], wide_bucket], np.r_[low[on], wide_low]
+    p, i, j = np.r_[p[on], p[rows]], np.r_[i[on], first], np.r_[j[on], last]
+    n = j - i + length
     text_no = np.searchsorted(off, i, "right") - 1
     doc, start, lead = num[text_no], i - off[text_no], p - i
-    h1, h2 = piece_hashes(data, i, n)
-    by = np.lexsort((doc, lead, h2, h1))
-    same = np.zeros(len(by), bool)
-    same[1:] = (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1]) & (lead[by][1:] == lead[by][:-1])
+    h = word_hashes(data, i, n)
+    by = np.lexsort((doc, lead, h))
+    same = same_as_before(data, i, n, by, h, lead)
     least = doc[by][np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))] if len(by) else doc
     copy = np.zeros(len(by), bool)
     copy[by] = doc[by] > least
     out = []
     if copy.any():
         c = np.flatnonzero(copy)
-        out.append({"bucket": chunk % buckets, "chunk": chunk, "kind": 1, "doc": doc[c].tobytes(), "low": start[c].tobytes(), "n": n[c].tobytes()})
+        out.append({"bucket": chunk % buckets, "chunk": chunk, "kind": 1, "text": np.stack([text_no[c], start[c], n[c]]).tobytes()})
     go = np.flatnonzero(~copy)
     go = go[np.lexsort((i[go], bucket[go]))]
     cut = np.searchsorted(bucket[go], np.arange(buckets + 1))
     press = zstandard.ZstdCompressor(level=3)
     for b in np.flatnonzero(np.diff(cut)):
         x = go[cut[b] : cut[b + 1]]
-        out.append({"bucket": int(b), "chunk": chunk, "kind": 0, "keys": low[x].tobytes(), "doc": press.compress(doc[x].tobytes()), "low": start[x].astype(np.int64).tobytes(), "n": n[x].astype(np.uint16).tobytes(), "lead": lead[x].astype(np.uint16).tobytes(), "text": press.compress(_gather(data, i[x], n[x]).tobytes())})
+        out.append({"bucket": int(b), "chunk": chunk, "kind": 0, "keys": low[x].tobytes(), "doc": press.compress(doc[x].tobytes()), "row": press.compress(text_no[x].astype(np.uint32).tobytes()), "low": start[x].astype(np.uint32).tobytes(), "n": n[x].astype(np.uint16).tobytes(), "lead": lead[x].astype(np.uint16).tobytes(), "text": press.compress(_gather(data, i[x], n[x]).tobytes())})
     return _rows(out)
 
 
 def copied_windows(text: np.ndarray, begin: np.ndarray, n: np.ndarray, lead: np.ndarray, key: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows in the pieces that also start in a smaller document: (piece, first window in it, last window)."""
-    h1, h2 = piece_hashes(text, begin, n)
-    by = np.lexsort((doc, lead, h2, h1, key))
-    new = np.ones(len(by), bool)
-    new[1:] = (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1]) | (lead[by][1:] != lead[by][:-1]) | (key[by][1:] != key[by][:-1])
+    h = word_hashes(text, begin, n)
+    by = np.lexsort((doc, lead, h, key))
+    new = ~same_as_before(text, begin, n, by, key, h, lead)
     head = by[np.flatnonzero(new)]  # of each distinct piece the one of the least document
     kind = np.empty(len(by), np.int64)
     kind[by] = np.cumsum(new) - 1
@@ -246,29 +274,28 @@ def copied_windows(text: np.ndarray, begin: np.ndarray, n: np.ndarray, lead: np.
 
 
 def _resolve(t: pa.Table, length: int) -> pa.Table:
-    """Step 2 of a bucket: spans (document, start, bytes) to the chunks they came from."""
+    """Step 2 of a bucket: spans (place of the document in its chunk, start, bytes) to the chunks they came from."""
     expand = zstandard.ZstdDecompressor()
     chunks, blobs = [], []
     sent = [r for r in t.to_pylist() if r["kind"] == 0]
     for r in t.filter(pa.compute.equal(t.column("kind"), 1)).to_pylist() if t.num_rows > len(sent) else ():
         chunks.append(r["chunk"])
-        blobs.append(r["doc"] + r["low"] + r["n"])
+        blobs.append(r["text"])
     if sent:
-        take = lambda c, kind: [np.frombuffer(expand.decompress(r[c]) if c == "doc" else r[c], kind) for r in sent]
-        keys, doc, low, n, lead = take("keys", np.uint32), take("doc", np.int64), take("low", np.int64), take("n", np.uint16), take("lead", np.uint16)
+        take = lambda c, kind: [np.frombuffer(expand.decompress(r[c]) if c in ("doc", "row") else r[c], kind) for r in sent]
+        keys, doc, row, low, n, lead = take("keys", np.uint32), take("doc", np.int64), take("row", np.uint32), take("low", np.uint32), take("n", np.uint16), take("lead", np.uint16)
         text = np.frombuffer(b"".join(expand.decompress(r["text"]) for r in sent), np.uint8)
         chunk = np.repeat([r["chunk"] for r in sent], [len(k) for k in keys])
-        keys, doc, low, n, lead = (np.concatenate(v) for v in (keys, doc, low, n, lead))
-        n = n.astype(np.int64)
+        keys, doc, row, low, n, lead = (np.concatenate(v) for v in (keys, doc, row, low, n, lead))
+        row, low, n = (v.astype(np.int64) for v in (row, low, n))
         piece, a, b = copied_windows(text, np.cumsum(n) - n, n, lead, keys, doc, length)
-        by = np.lexsort((low[piece] + a, doc[piece], chunk[piece]))
+        by = np.lexsort((low[piece] + a, row[piece], chunk[piece]))
         piece, a, b = piece[by], a[by], b[by]
-        # neighbouring spans of a document are joined before they travel
-        d, s, e, c = doc[piece], low[piece] + a, low[piece] + b + length, chunk[piece]
+        d, s, e, c = row[piece], low[piece] + a, low[piece] + b + length, chunk[piece]
         cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, int)
         for x, y in zip(cut, np.r_[cut[1:], len(c)], strict=True):
             chunks.append(int(c[x]))
-            blobs.append(d[x:y].tobytes() + s[x:y].tobytes() + (e - s)[x:y].tobytes())
+            blobs.append(np.stack([d[x:y], s[x:y], (e - s)[x:y]]).tobytes())
     return pa.table({"chunk": pa.array(chunks, pa.int32()), "spans": pa.array(blobs, pa.binary())})
 
 
@@ -291,13 +318,9 @@ def _cut(t: pa.Table, answers: pa.Table, names: list[str], schema: pa.Schema, wh
     data, off, num, rows = _sound(t)
     parts = [np.frombuffer(x, np.int64).reshape(3, -1) for x in answers.column("spans").to_pylist()]
     d, s, n = np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int64)
-    # an id may come in several rows: what is gone from (id, place) is looked up for each row with that id
     by = np.lexsort((s, d))
     d, s, e = d[by], s[by], (s + n)[by]
-    if len(d):
-        lo, hi = np.searchsorted(d, num, "left"), np.searchsorted(d, num, "right")
-    else:
-        lo = hi = np.zeros(len(num), np.int64)
+    lo, hi = np.searchsorted(d, np.arange(len(num)), "left"), np.searchsorted(d, np.arange(len(num)), "right")
     spans: list = [[] for _ in range(t.num_rows)]
     kept: list = [None] * t.num_rows
     raw = data.tobytes()
@@ -325,8 +348,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A byte goes when a string of `length` bytes that covers it also starts in a document with a smaller id. Strings are judged on the
     input and never cross documents. Null and empty texts, and texts shorter than `length`, lose nothing (kept is empty for
-    null). Rows with the same id count as one document for each other, so they remove nothing from each other; their texts
-    should be equal, as spans are found by id and place. Rows without an id take no part and stay whole. An empty table gives an
+    null). Rows with the same id are parts of one document for each other, so they remove nothing from each other, and each loses what
+    documents with smaller ids hold, whether their texts are equal or not. Very long texts are read whole, as a chunk of their own size, in
+    one task: some 40 bytes of memory a byte of text. Rows without an id take no part and stay whole. An empty table gives an
     empty table. Columns named spans or kept are replaced. With whole_characters, a character that a span holds in part stays,
     so that kept is UTF-8 again.
     """
@@ -338,13 +362,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_chunks = max(4 * parts, -(-total // CHUNK_BYTES))
     buckets = max(parts, -(-total // BUCKET_BYTES))
     own = F.col(f"`{doc_id}`").cast("long")
-    dealt = docs.select("*", own.alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"), F.pmod(F.xxhash64(own), F.lit(n_chunks)).cast("int").alias("__chunk"))
+    dealt = docs.select("*", own.alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"), spread(F.pmod(F.xxhash64(own), F.lit(n_chunks))).alias("__chunk"))
     dealt = dealt.repartition(parts, "__chunk")
     slim = dealt
     named = slim.groupBy("__chunk").applyInArrow(lambda t: _names(t, length, buckets), "bucket int, chunk int, one int, keys binary")
-    repeated = named.groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, keys binary")
+    place = spread(F.col("bucket"))  # one bucket a task
+    repeated = named.groupBy(place).applyInArrow(_repeated, "chunk int, bucket int, keys binary, hot binary")
     sent = slim.groupBy("__chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(lambda t, a: _send(t, a, length, buckets), PIECES)
-    spans = sent.groupBy("bucket").applyInArrow(lambda t: _resolve(t, length), "chunk int, spans binary")
+    spans = sent.groupBy(place).applyInArrow(lambda t: _resolve(t, length), "chunk int, spans binary")
     schema = plus(docs, f"spans {SPAN}, kept binary")
     arrow = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     return slim.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names, arrow, whole_characters), schema)

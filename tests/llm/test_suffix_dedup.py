@@ -89,3 +89,51 @@ def test_query_on_sf(spark):
     for r in op8_suffix_dedup(spark, sf).collect():
         spans, kept = want[r.doc_id]
         assert (r.n_removed, r.n_spans, r.kept_sha256) == (sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared, other = text(30), text(30)
+    rows = [(1, shared), (2, other), (7, text(9) + shared), (7, text(20) + other + text(3)), (7, shared + text(4)), (9, text(5) + shared + other)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    least = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            least[t[p : p + 50]] = min(i, least.get(t[p : p + 50], i))
+    want = []
+    for i, t in rows:
+        gone = [any(least[t[p : p + 50]] < i for p in range(max(0, x - 49), min(x, len(t) - 50) + 1)) for x in range(len(t))]
+        want.append((i, "".join(c for c, g in zip(t, gone) if not g)))
+    assert sorted((r.doc_id, bytes(r.kept).decode()) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hot_anchors_are_split_without_a_loss(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    line = "all of this stands in every text, as a line that many share"
+    text = lambda n: " ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(rng.randint(0, 12)) + line[rng.randint(0, 9) : rng.randint(40, len(line))] + text(rng.randint(0, 12))) for i in rng.sample(range(500), 90)]
+    import pyarrow as pa
+
+    def join(often):  # the steps by themselves, so that the bound of chunks can be set
+        monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", often)
+        chunk = lambda c: pa.table({"__id": pa.array([r[0] for r in rows if r[0] % 6 == c]), "__text": [r[1] for r in rows if r[0] % 6 == c], "__chunk": pa.array([c] * sum(r[0] % 6 == c for r in rows), pa.int32())})
+        tables = [chunk(c) for c in range(6)]
+        named = pa.concat_tables([suffix_dedup._names(t, 50, 3) for t in tables])
+        by = lambda t, c, v: t.filter(pa.compute.equal(t.column(c), v))
+        told = pa.concat_tables([suffix_dedup._repeated(by(named, "bucket", b)) for b in range(3)])
+        sent = pa.concat_tables([suffix_dedup._send(t, by(told, "chunk", c), 50, 3) for c, t in enumerate(tables)])
+        spans = pa.concat_tables([suffix_dedup._resolve(by(sent, "bucket", b), 50) for b in range(3)])
+        schema = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+        out = {}
+        for c, t in enumerate(tables):
+            cut = suffix_dedup._cut(t, by(spans, "chunk", c), ["__id"], schema, False)
+            out |= {i: ([(x["start"], x["end"]) for x in s], k) for i, s, k in zip(cut.column("__id").to_pylist(), cut.column("spans").to_pylist(), cut.column("kept").to_pylist())}
+        return out, told
+
+    want = brute(rows, 50)
+    for often in (2, 3, 100):
+        got, told = join(often)
+        assert got == want
+        assert any(len(h) for h in told.column("hot").to_pylist()) == (often < 100)
