@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by suffix-array matching, equal to the library's for BPE models with byte fallback.
 
-A batch's distinct words are laid end to end and their suffixes sorted; every piece of the vocabulary is looked up by binary
+A batch's distinct words that its task does not know yet are laid end to end and their suffixes sorted; every piece of the vocabulary is looked up by binary
 search, which gives the range of suffixes that begin with it, that is, all its occurrences. Each occurrence is an edge from its first
 to its last position. Edges are sorted by position and relaxed: a position keeps the one edge that can end a BPE encoding of
 what stands before it, which holds when its piece and the piece before it stay as they are if merged by rank together.
 (The shortest path by summed scores, right for unigram models, is not what a BPE model encodes.)
+Short words are relaxed all at once, a position a step; a long word by itself, in windows of its characters, in linear time.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BACK, BASE, BYTE, U64, mix, pieces, plus, powers
+from .common import U64, equal_bytes, mix, pieces, plus, word_hashes
 from .suffix_sort import sort_suffixes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SLICE = 1 << 20  # bytes of text that are indexed at once
-CACHED_WORDS = 1_000_000  # of a task's earlier batches; older ones are encoded again when they come again
+# what a task keeps of earlier batches; beyond it starts anew, and what comes again is encoded again
+CACHED_WORDS, CACHED_BYTES, CACHED_PAIRS = 1_000_000, 32 << 20, 4_000_000
+LONG_WORD = 512  # bytes from which a word is relaxed by itself
+WINDOW = 1 << 16  # characters of a long word whose pieces are looked up at once
 
 
 class PieceModel:
@@ -60,13 +64,20 @@ class PieceModel:
         width = 8 * -(-int(self.find_len.max()) // 8)
         self.keys = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in self.find), ">u8").reshape(len(self.find), -1).astype(U64)
         self.find = np.array(self.find, np.int64)
-        self.pairs, self.n_pairs = np.full(1 << 16, -1, np.int64), 0  # a hash table of 2 * pair + (whether they stay apart)
         self.cache: dict = {}
         self.clear()
+        self.clear_pairs()
 
     def clear(self) -> None:
+        """Forgets all words: their hashes in order, and for each its ids (in pool) and its bytes (in seen)."""
         self.word_hash, self.word_at, self.word_n = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.seen_at, self.seen_n, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         self.pool = np.zeros(0, np.int32)
+        self.cache.clear()
+
+    def clear_pairs(self) -> None:
+        self.pairs, self.n_pairs = np.full(1 << 16, -1, np.int64), 0  # a hash table of 2 * pair + (whether they stay apart)
+        self.known_pairs: dict[int, bool] = {}  # the same for long words
 
     def merge(self, text: str) -> list:
         """BPE by its definition: of all neighbours that join to a piece, the best score first, the leftmost of equal ones."""
@@ -103,18 +114,21 @@ class PieceModel:
         found = self._seek(key)
         new = np.unique(key[found < 0])
         if len(new):
-            names = self.names
-            ok = [self.merge(names[k >> 32] + names[k & 0xFFFFFFFF]) == [k >> 32, k & 0xFFFFFFFF] for k in new.tolist()]
-            have = self.pairs[self.pairs >= 0]
-            while 3 * (self.n_pairs + len(new)) > len(self.pairs):
-                self.pairs = np.full(2 * len(self.pairs), -1, np.int64)
-                self.n_pairs = 0
-            if not self.n_pairs:
+            ok = [self.stay(k) for k in new.tolist()]
+            if 3 * (self.n_pairs + len(new)) > len(self.pairs):
+                have, room = self.pairs[self.pairs >= 0], len(self.pairs)
+                while 3 * (len(have) + len(new)) > room:
+                    room *= 2
+                self.pairs, self.n_pairs = np.full(room, -1, np.int64), 0
                 self._put(have)
             self._put(2 * new + np.array(ok, np.int64))
             found = self._seek(key)
         return (found & 1).astype(bool)
 
+    def stay(self, pair: int) -> bool:
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        return self.merge(self.names[a] + self.names[b]) == [a, b]
+
     def _slots(self, key: np.ndarray) -> np.ndarray:
         return (mix(key.astype(U64)) & U64(len(self.pairs) - 1)).astype(np.int64)
 
@@ -242,6 +256,61 @@ def encode_words(model: PieceModel, text: np.ndarray, begin: np.ndarray) -> tupl
     return ids.astype(np.int32), np.bincount(gw, minlength=len(n_char))
 
 
+def encode_long(model: PieceModel, text: np.ndarray) -> list[int]:
+    """Ids of one long word: edges are relaxed by where they begin, so that a window of characters needs nothing of those behind it."""
+    opens = np.r_[np.flatnonzero((text & 0xC0) != 0x80), len(text)]
+    n, most = len(opens) - 1, int(model.find_len.max())
+    last, back, known = [-2] * (n + 1), [0] * (n + 1), model.known_pairs
+    for a in range(0, n, WINDOW):
+        b = min(n, a + WINDOW)
+        part = text[opens[a] : opens[b] + most]
+        place, piece = occurrences(model, part, opens[a:b] - opens[a])
+        end = place + opens[a] + model.find_len[piece]
+        place, piece, end = place[end <= len(text)], piece[end <= len(text)], end[end <= len(text)]
+        c, e = np.searchsorted(opens, place + opens[a]), np.searchsorted(opens, end)
+        alone = np.setdiff1d(np.arange(a, b), c[e - c == 1])  # characters outside the vocabulary
+        c, e, ident = np.r_[c, alone], np.r_[e, alone + 1], np.r_[model.find[piece], np.full(len(alone), -1)]
+        by = np.argsort(c, kind="stable")
+        for i, j, t2 in zip(c[by].tolist(), e[by].tolist(), ident[by].tolist(), strict=True):
+            t1 = last[i]
+            if i and t1 != -1 and t2 != -1:
+                if t1 < 0:
+                    continue
+                pair = (t1 << 32) + t2
+                ok = known.get(pair)
+                if ok is None:
+                    ok = known[pair] = model.stay(pair)
+                if not ok:
+                    continue
+            last[j], back[j] = t2, i
+    out, e = [], n
+    while e:
+        if last[e] == -2:
+            raise ValueError("a word has no encoding")
+        out += [last[e]] if last[e] >= 0 else model.byte_id[text[opens[back[e]] : opens[e]]][::-1].tolist()
+        e = back[e]
+    return out[::-1]
+
+
+def _encode_new(model: PieceModel, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """encode_words, with the long words by themselves."""
+    size = np.diff(begin)
+    long = np.flatnonzero(size >= LONG_WORD)
+    if not len(long):
+        return encode_words(model, text, begin)
+    short = np.flatnonzero(size < LONG_WORD)
+    n = size[short]
+    src = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[short], n)
+    ids, count = encode_words(model, text[src], np.r_[0, np.cumsum(n)])
+    own = np.split(ids, np.cumsum(count)[:-1]) if len(count) else []
+    out: list = [None] * len(size)
+    for i, x in zip(short.tolist(), own, strict=True):
+        out[i] = x
+    for i in long.tolist():
+        out[i] = np.array(encode_long(model, text[begin[i] : begin[i + 1]]), np.int32)
+    return np.concatenate(out), np.array([len(x) for x in out])
+
+
 def encode_texts(model: PieceModel, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts laid end to end, and the n + 1 offsets."""
     n = len(off) - 1
@@ -252,8 +321,24 @@ def encode_texts(model: PieceModel, data: np.ndarray, off: np.ndarray) -> tuple[
     mine = [b" " + t if t else t for t in mine]  # the dummy prefix
     data = np.frombuffer(b"".join(mine), np.uint8)
     off = np.r_[0, np.cumsum([len(t) for t in mine])].astype(np.int64)
+    if len(data) <= 2 * SLICE:
+        return _encode_prefixed(model, data, off)
+    # a very long text is encoded in parts, cut before spaces, where no piece goes on
+    out, total = [np.zeros(0, np.int32)], [0]
+    for i in range(n):
+        text = data[off[i] : off[i + 1]]
+        gap = text == 0x20
+        cuts = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+        cuts = np.unique(cuts[np.minimum(np.searchsorted(cuts, np.arange(SLICE, len(text), SLICE)), len(cuts) - 1)]) if len(cuts) else cuts
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)], strict=True):
+            out.append(_encode_prefixed(model, text[a:b], np.array([0, b - a]))[0])
+        total.append(sum(map(len, out)))
+    return np.concatenate(out), np.array(total, np.int64)
+
+
+def _encode_prefixed(model: PieceModel, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
-        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
     gap = data == 0x20
     start = gap.copy()
     start[1:] &= ~gap[:-1]
@@ -266,36 +351,47 @@ def encode_texts(model: PieceModel, data: np.ndarray, off: np.ndarray) -> tuple[
     run = body - w0
     core = np.where(body < w1, body - (run > 0), w1)  # one space goes with the word
     size = w1 - core
-    total = np.empty(len(data) + 1, U64)
-    total[0] = 0
-    np.cumsum(BYTE[data] * powers(len(data), BASE, "up"), out=total[1:])
-    h = mix((total[w1] - total[core]) * np.r_[powers(len(data), BACK, "down"), U64(0)][core] + size.astype(U64))
-    kind, first, which = np.unique(h, return_index=True, return_inverse=True)
-    if len(model.word_hash) > CACHED_WORDS:
+    kind, first, which = np.unique(word_hashes(data, core, size), return_index=True, return_inverse=True)
+    if len(model.word_hash) > CACHED_WORDS or len(model.seen) > CACHED_BYTES:
         model.clear()
+    if max(model.n_pairs, len(model.known_pairs)) > CACHED_PAIRS:
+        model.clear_pairs()
+
+    def encoded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n_b = size[rows]
+        begin = np.r_[0, np.cumsum(n_b)]
+        text = data[np.arange(int(begin[-1])) - np.repeat(begin[:-1], n_b) + np.repeat(core[rows], n_b)]
+        return text, begin, *_encode_new(model, text, begin)
+
     have = model.word_hash
     new = kind[have[np.minimum(np.searchsorted(have, kind), len(have) - 1)] != kind] if len(have) else kind
     if len(new):
-        f = first[np.searchsorted(kind, new)]
-        n_b = size[f]
-        begin = np.r_[0, np.cumsum(n_b)]
-        src = np.arange(int(begin[-1])) - np.repeat(begin[:-1], n_b) + np.repeat(core[f], n_b)
-        ids, count = encode_words(model, data[src], begin)
+        text, begin, ids, count = encoded(first[np.searchsorted(kind, new)])
         into = np.searchsorted(have, new)
         model.word_hash = np.insert(have, into, new)
         model.word_at = np.insert(model.word_at, into, np.cumsum(count) - count + len(model.pool))
         model.word_n = np.insert(model.word_n, into, count)
-        model.pool = np.concatenate([model.pool, ids])
+        model.seen_at = np.insert(model.seen_at, into, begin[:-1] + len(model.seen))
+        model.seen_n = np.insert(model.seen_n, into, np.diff(begin))
+        model.pool, model.seen = np.concatenate([model.pool, ids]), np.concatenate([model.seen, text])
     row = np.searchsorted(model.word_hash, kind)[which]
-    w_at, w_n = model.word_at[row].copy(), model.word_n[row].copy()
+    w_at, w_n, pool = model.word_at[row], model.word_n[row], model.pool
+    # a word is the one that its hash names if it has the same bytes; any other is encoded for itself
+    own = model.seen_n[row] == size
+    own[own] = equal_bytes(data, core[own], model.seen, model.seen_at[row[own]], size[own])
+    other = np.flatnonzero(~own)
+    if len(other):
+        _, _, ids, w_n[other] = encoded(other)
+        w_at[other] = np.cumsum(w_n[other]) - w_n[other] + len(pool)
+        pool = np.concatenate([pool, ids])
     extra = np.where(body < w1, np.maximum(run - 1, 0), run)
     lone = np.flatnonzero((extra > 0) & (body < w1))
-    lone = lone[model.pool[w_at[lone]] == model.space]  # the word's own space stayed alone: it belongs to the run
+    lone = lone[pool[w_at[lone]] == model.space]  # the word's own space stayed alone: it belongs to the run
     extra[lone] += 1
     w_at[lone] += 1
     w_n[lone] -= 1
     runs = {r: model.spaces(r) for r in np.unique(extra[extra > 0]).tolist()}
-    pool, s_at, s_n = model.pool, np.zeros(len(extra), np.int64), np.zeros(len(extra), np.int64)
+    s_at, s_n = np.zeros(len(extra), np.int64), np.zeros(len(extra), np.int64)
     for r, ids in runs.items():
         x = extra == r
         s_at[x], s_n[x] = len(pool), len(ids)
@@ -332,7 +428,8 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
 
     Null and empty texts have no ids. A literal U+2581 is the same as a space to the model, in the text it decodes to as well;
     apart from that every text comes back byte by byte. The model (fixed, under 1 MB) goes to every task. Repeated rows are encoded
-    one by one; an empty table gives an empty table; columns named ids or round_trip are replaced.
+    one by one; an empty table gives an empty table; columns named ids or round_trip are replaced. Very long texts are encoded in parts and
+    very long words in linear time: a million letters without a space take some seconds.
     """
     df = df.drop("ids", "round_trip")
     with open(model, "rb") as f:

@@ -23,7 +23,8 @@ def assign_shards(df: DataFrame, key: str, size: Column, limit: int, round_bits:
     A bucket is a prefix of the key's hash; one whose bytes are over `limit` splits on the next bit, so a row's depth is the
     first at which its bucket fits. shard_id is the prefix with a leading 1 bit. A bucket that holds a single hash value (one key,
     however often repeated) can't split: it stays and is marked oversized when over the limit. Null sizes count as 0, null keys
-    as the empty key; an empty table gives an empty result. Each round settles `round_bits` levels from one histogram of
+    as the empty key; repeated rows are rows of one key; very long texts make one large row; other columns, whatever their names, are
+    ignored; an empty table gives an empty result. Each round settles `round_bits` levels from one histogram of
     prefixes, whose rows are bounded by 2**round_bits times the buckets that are still too large.
     """
     rows = stored(df.select(F.col(f"`{key}`").alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes"), key_hash(F.col(f"`{key}`")).alias("h")))
@@ -43,14 +44,23 @@ def assign_shards(df: DataFrame, key: str, size: Column, limit: int, round_bits:
         rest = found.filter("s is null").select("key", "n_bytes", "h")
         if high == BITS or rest.isEmpty():
             break
-        rows, low = stored(rest), high + 1
+        rows, low = stored(rest), high + 1  # the tables before stay, as their placed rows are still to be read
     out = reduce(DataFrame.unionByName, done)
     return out.withColumn("oversized", F.col("shard_bytes") > limit)
 
 
 def write_shards(df: DataFrame, key: str, size: Column, limit: int, path: str) -> DataFrame:
-    """Writes the rows below path/shard_id=.../ and returns the directory: one row per shard with depth, rows and bytes."""
+    """Writes the rows below path/shard_id=.../ and returns the directory: one row per shard with depth, rows and bytes.
+
+    A column of df named shard_id is replaced by the shard's. Rows with a null key are those of the empty key. A shard over the limit,
+    whose rows share one key, is written by as many tasks as it has limits of bytes. An empty table writes no shard.
+    """
     shards = assign_shards(df, key, size, limit)
-    named = shards.select(F.col("key").alias("__key"), "shard_id").distinct()
-    df.join(named, df[key].eqNullSafe(named["__key"])).drop("__key").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    named = shards.groupBy(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("__key")).agg(F.first("shard_id").alias("__shard"), F.first("shard_bytes").alias("__bytes"))
+    names = [c for c in df.columns if c != "shard_id"]
+    rows = df.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    tasks = F.greatest(F.lit(1), F.ceil(F.col("__bytes") / limit))
+    dealt = rows.join(named, "__key").withColumn("__task", F.pmod(F.xxhash64("__row"), tasks)).repartition("__shard", "__task")
+    out = dealt.select(*[F.col(f"__row.`{c}`").alias(c) for c in names], F.col("__shard").alias("shard_id"))
+    out.write.partitionBy("shard_id").parquet(path)
     return shards.groupBy("shard_id", "depth", "shard_bytes", "oversized").agg(F.count("*").alias("n_rows"))

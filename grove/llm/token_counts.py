@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,9 @@ from .common import stored
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the public pre-tokenization pattern of this vocabulary (fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A run of the pattern's white space so long that it is cut out; as a whole it would overflow the tokenizer's stack.
+LONG_RUN = 10_000
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 _encodings: dict = {}
 
 
@@ -28,15 +32,30 @@ def _encoding(ranks: bytes, pattern: str):
     return _encodings[key]
 
 
+def _length(encoding, text: str, cut: bool) -> int:
+    """Tokens of a text. By the pattern, a run of white space is one piece, but for its last character if another character follows."""
+    n, at = 0, 0
+    for m in _RUN.finditer(text) if cut and len(text) >= LONG_RUN else ():
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._core_bpe.encode_single_piece(text[m.start() : end].encode()))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:]))
+
+
 def encoded_lengths(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """One row per row of df: n_tokens of its whole text (0 for null and empty). The vocabulary (fixed, under 2 MB) goes to every task."""
+    """One row per row of df: n_tokens of its whole text (0 for null and empty). The vocabulary (fixed, under 2 MB) goes to every task.
+
+    Repeated rows are counted each; an empty table gives none; other columns, whatever their names, are ignored. Very long words and, with
+    the default pattern, very long runs of white space are encoded as they are; a text is held whole in one task. `vocabulary` is a file of
+    the driver's: lines of a token in base 64 and its rank.
+    """
     with open(vocabulary, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(shared.value, pattern).encode_ordinary
+        encoding, cut = _encoding(shared.value, pattern), pattern == PATTERN
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(x.as_py())) if x.is_valid else 0 for x in b.column(0)], pa.int64())], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([_length(encoding, x, cut) if x else 0 for x in b.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
 
     return df.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(count, "n_tokens long")
 

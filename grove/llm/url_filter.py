@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import plus
 
-#: Rules beyond so many characters are joined to the urls instead of being sent to every task.
-MOST_RULE_CHARS = 32 << 20
+#: Rules whose trie would hold more bytes than this are joined to the urls instead of being sent to every task; the verdicts are the same.
+MOST_TRIE_BYTES = 128 << 20
 
 
 def split_rule(rule: str) -> tuple[str, str]:
@@ -20,20 +21,33 @@ def split_rule(rule: str) -> tuple[str, str]:
 
 
 class UrlTrie:
-    """Host labels from the right, then whole path segments; the last segment of a rule is a prefix, kept at its node by length."""
+    """Host labels from the right, then whole path segments; the last segment of a rule is a prefix, kept at its node by length.
 
-    def __init__(self, rules: Iterable[tuple[str, str]]):
-        self.root: dict = {}
+    Of rules for one host and path the greatest (rule, verdict) counts, in whatever order they come. `size` is about its bytes.
+    """
+
+    def __init__(self, rules: Iterable[tuple[str, str]], most: float = float("inf")):
+        self.root, self.size = {}, 0
         for verdict, rule in rules:
             host, path = split_rule(rule)
             node = self.root
             for label in reversed(host.split(".")):
-                node = node.setdefault("hosts", {}).setdefault(label, {})
-            node = node.setdefault("paths", {})
+                node = self._step(self._step(node, "hosts"), label)
+            node = self._step(node, "paths")
             *whole, last = path.split("/")
             for segment in whole:
-                node = node.setdefault("next", {}).setdefault(segment, {})
-            node.setdefault("ends", {}).setdefault(len(last), {})[last] = (len(host) + len(path), rule, verdict)
+                node = self._step(self._step(node, "next"), segment)
+            ends, new = self._step(self._step(node, "ends"), len(last)), (len(host) + len(path), rule, verdict)
+            self.size += 0 if last in ends else 150 + sys.getsizeof(last) + sys.getsizeof(rule)
+            ends[last] = max(new, ends.get(last, new))
+            if self.size > most:
+                return
+
+    def _step(self, node: dict, key: str | int) -> dict:
+        if key not in node:
+            self.size += 250 + sys.getsizeof(key)
+            node[key] = {}
+        return node[key]
 
     def find(self, host: str, path: str) -> tuple[int, str, str] | None:
         best, node, segments = None, self.root, path.split("/")
@@ -65,17 +79,19 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", de
     """Adds host, path, rule and verdict to each row.
 
     rules: (verdict, "host/path") pairs; a rule fits its host and all subdomains when the url's path starts with the rule's.
-    The longest rule text wins; of equal texts, the greater verdict by name ("block"). Null, empty or odd urls have an empty
-    host and path, match nothing and get `default`. Repeated rows are judged one by one; an empty table gives an empty table.
-    Columns of the input named host, path, rule or verdict are replaced. Rules over MOST_RULE_CHARS are joined, not broadcast.
+    The longest host and path wins; of equal ones, the greater rule text, then the greater verdict by name ("block"). Null, empty or odd
+    urls have an empty host and path, match nothing and get `default`; very long ones are judged whole. Repeated rows are judged one by
+    one; an empty table gives an empty table. Columns of the input named host, path, rule or verdict are replaced. Rules whose trie
+    would be over MOST_TRIE_BYTES are joined, not broadcast.
     """
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{url}`").cast("string").alias("__url"))
     host, path = host_and_path(F.col("__url"))
     df = df.select("*", host.alias("host"), path.alias("path")).drop("__url")
-    if sum(len(r) for _, r in rules) > MOST_RULE_CHARS:
+    trie = UrlTrie(rules, MOST_TRIE_BYTES)
+    if trie.size > MOST_TRIE_BYTES:
         return _joined(df, rules, default)
-    shared = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))
+    shared = df.sparkSession.sparkContext.broadcast(trie)
     h, p = df.columns.index("host"), df.columns.index("path")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

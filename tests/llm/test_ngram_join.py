@@ -93,3 +93,44 @@ def test_query_on_sf(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in op4_ngram_join(spark, sf).collect()} == brute(rows)
+
+
+def test_words_of_one_pattern_are_not_alike(spark):
+    """Thue-Morse words and their complements: sums of powers modulo 2 ** 64 can't tell them apart."""
+    word = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    other = str.maketrans("ab", "ba")
+    rows = [(2 * i + j, word(n).translate(other) if j else word(n)) for i, n in enumerate((1024, 2048, 4096)) for j in (0, 1)] + [(9, word(1024))]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 1), 9: (0, 1), **{i: (i, 0) for i in range(1, 6)}}
+
+
+def test_chains_of_parts_are_chains_of_all():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(1, 60))
+        gram, size, ids = rng.integers(0, 4, n).astype(np.uint64), rng.integers(1, 300, n), rng.permutation(1000)[:n]
+        part = rng.integers(0, 4, n)
+        edges, tops = [], []
+        for p in range(4):
+            x = part == p
+            held, a, b = ngram_join.chain(gram[x], size[x], size[x], ids[x], 85)
+            edges += list(zip(a.tolist(), b.tolist()))
+            tops.append(held)
+        _, a, b = ngram_join.chain(*(np.concatenate(v) for v in zip(*tops)), 85)
+        edges += list(zip(a.tolist(), b.tolist()))
+        want = []
+        for g in range(4):
+            own = sorted((s, i) for s, i in zip(size[gram == g].tolist(), ids[gram == g].tolist()))
+            want += [(x[1], y[1]) for x, y in zip(own, own[1:]) if x[0] * 100 >= 85 * y[0]]
+
+        def groups(pairs):
+            top = {i: i for i in ids.tolist()}
+            find = lambda i: i if top[i] == i else find(top[i])
+            for x, y in pairs:
+                x, y = find(x), find(y)
+                top[max(x, y)] = min(x, y)
+            return {i: find(i) for i in top}
+
+        assert groups(edges) == groups(want)

@@ -28,6 +28,40 @@ def test_same_as_library_and_back(spark, library):
         assert r.decoded == (r.text or "").replace("▁", " ") and r.round_trip
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_and_texts(spark, library, monkeypatch):
+    """Words of one pattern and their complements, words beyond a window, and texts that are encoded in parts."""
+    rng = random.Random(8)
+    other = str.maketrans("ab", "ba")
+    texts = [f"{thue_morse(n)} {thue_morse(n).translate(other)}" for n in (64, 500, 1024, 2048, 4096)]
+    texts += ["".join(rng.choice("etaoinshré日") for _ in range(n)) for n in (511, 512, 3000, 70_000)] + ["a" * 70_000]
+    texts += ["".join(rng.choice(["the ", "  ", "thing", "é", " a", "▁", "\n"]) for _ in range(700_000))]
+    for r in codec.encode(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        assert r.ids == library.encode(r.text) and r.round_trip
+
+
+def test_a_million_letters_in_seconds():
+    import time
+
+    model = codec._model(open(codec.MODEL, "rb").read())
+    rng = random.Random(9)
+    began = time.time()
+    ids, _ = codec.encode_texts(model, codec.np.frombuffer("".join(rng.choice("etaoinshr") for _ in range(1_000_000)).encode(), codec.np.uint8), codec.np.array([0, 1_000_000]))
+    assert len(ids) > 100_000 and time.time() - began < 60
+
+
+def test_words_with_one_hash(library, monkeypatch):
+    """Were two words to have one hash, each would still be encoded by its bytes."""
+    monkeypatch.setattr(codec, "word_hashes", lambda data, start, size: codec.np.full(len(start), 7, codec.np.uint64))
+    model = codec.PieceModel(open(codec.MODEL, "rb").read())
+    for text in ("one word and another one", "quite other words"):
+        raw = codec.np.frombuffer(text.encode(), codec.np.uint8)
+        assert codec.encode_texts(model, raw, codec.np.array([0, len(raw)]))[0].tolist() == library.encode(text)
+
+
 def test_query_on_sf(spark, library):
     from grove.llm.queries import op9_sentencepiece
 

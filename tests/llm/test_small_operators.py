@@ -63,6 +63,17 @@ def test_shards_are_written(spark, tmp_path):
     assert {r.shard_id: r.b for r in back} == sizes and sum(sizes.values()) == 10_000 and max(sizes.values()) <= 1000
 
 
+def test_written_shards_with_clashing_columns_and_one_hot_key(spark, tmp_path):
+    rows = [(None, "n" * 10, 7), ("", "e" * 10, 7)] + [("hot", f"{i:04d}" * 25, 7) for i in range(60)] + [(f"k{i}", "x" * 90, 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, text string, shard_id int")
+    directory = {r.shard_id: (r.shard_bytes, r.n_rows, r.oversized) for r in sharding.write_shards(df, "key", F.length("text"), 1000, str(tmp_path / "s")).collect()}
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.columns == ["key", "text", "shard_id"] and back.count() == len(rows)
+    assert {r.shard_id: (r.b, r.n) for r in back.groupBy("shard_id").agg(F.sum(F.length("text")).alias("b"), F.count("*").alias("n")).collect()} == {k: v[:2] for k, v in directory.items()}
+    hot = back.filter("key = 'hot'").first().shard_id
+    assert directory[hot][2]
+
+
 # chat formatting
 
 
@@ -106,6 +117,31 @@ def test_suffix_sums_answer_every_limit(spark):
     assert token_counts.suffix_sums(token_counts.length_histogram(lengths.filter("false"))).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "a", "a" + "\n" * 1_500_000, "a  " + " " * 20_000 + "\t" * 3 + "b" + " " * 10_000 + "\u3000x", "a" * 3_000_000, " " * 1_000_000])
+def test_long_runs_are_counted(spark, text):
+    """Runs that the tokenizer itself can't split are counted as it splits shorter ones."""
+    got = token_counts.encoded_lengths(spark.createDataFrame([(text,)], "text string")).first().n_tokens
+    enc = token_counts._encoding(open(token_counts.VOCABULARY, "rb").read(), token_counts.PATTERN)
+    if len(text) < 100_000 or text.startswith("aa"):
+        assert got == len(enc.encode_ordinary(text))
+    else:
+        run = max((len(m) for m in text.split("a")), default=0)  # one piece of white space, and what is left
+        piece = text.strip("a")[: run - text.endswith("a")]
+        assert got == len(enc._encode_single_piece(piece.encode())) + len(enc.encode_ordinary(text.replace(piece, "", 1)))
+
+
+def test_cut_runs_count_like_whole_ones(monkeypatch):
+    enc = token_counts._encoding(open(token_counts.VOCABULARY, "rb").read(), token_counts.PATTERN)
+    import re
+
+    monkeypatch.setattr(token_counts, "LONG_RUN", 3)
+    monkeypatch.setattr(token_counts, "_RUN", re.compile(token_counts._RUN.pattern.replace("10000", "3")))
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", " ", "  ", "\n", "\t", "\u3000", "\x1c", "a", "1", "!", "'s", "é"]) for _ in range(rng.randint(0, 30)))
+        assert token_counts._length(enc, text, True) == len(enc.encode_ordinary(text)), repr(text)
+
+
 def test_token_query_counts_all_documents(spark):
     rows = queries.op6_token_counts(spark, SF).collect()
     assert sum(r.n_docs for r in rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
@@ -119,16 +155,45 @@ def test_tree_finds_the_best(kind):
     rng = np.random.default_rng(1)
     x = {"spread": rng.integers(-60, 60, (2500, 12)), "grouped": rng.integers(-5, 5, (2500, 12)) + rng.integers(-300, 300, (20, 12))[rng.integers(0, 20, 2500)], "equal": np.tile(rng.integers(-9, 9, (3, 12)), (900, 1))[:2500]}[kind].astype(float)
     ids = rng.permutation(5000)[:2500].astype(np.int64)
-    tree = topk_search.MTree(ids, x, float((x * x).sum(1).max()))
-    for i in range(0, 2500, 97):
+    tree = topk_search.MTree(ids, x)
+    asked = np.arange(0, 2500, 97)
+    row, got_ids, got_s = tree.search(x[asked], ids[asked], 5)
+    blurred = topk_search.MTree(ids, x).search(x[asked], ids[asked], 5, (x, x[asked]))  # scores made of whole numbers
+    for n, i in enumerate(asked):
         s = x @ x[i]
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:5]
-        got_ids, got_s = tree.search(x[i], int(ids[i]), 5)
-        assert got_ids.tolist() == ids[order].tolist() and got_s.tolist() == s[order].tolist()
+        assert got_ids[row == n].tolist() == ids[order].tolist() and got_s[row == n].tolist() == s[order].tolist()
+        assert blurred[1][blurred[0] == n].tolist() == ids[order].tolist()
     if kind == "grouped":
         assert tree.computed < 0.8 * 2500 * 26  # stored distances spare some
 
 
+def test_many_parts_and_chunks(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(-9, 9, (300, 8)) * s for s in (1, 5, 30)] + [np.tile(rng.integers(-9, 9, (1, 8)), (300, 1))]).astype(float) / 256
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = topk_search.search_top_k(df, df.filter("vec_id % 50 = 0"), part_rows=(16, 60), query_rows=7).orderBy("query_id", "rank").collect()
+    w = np.floor(x * 256)
+    want = []
+    for i in range(0, len(x), 50):
+        s = w @ w[i]
+        want += [(i, n + 1, j, int(s[j])) for n, j in enumerate([j for j in np.lexsort((np.arange(len(x)), -s)) if j != i][:5])]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == want
+
+
+def test_components_beyond_doubles(spark):
+    """Whole numbers that no double product holds are still ranked exactly; scores beyond a long are told as the nearest long."""
+    rows = [(0, [2.0**40, 1.0]), (50, [1e300, -1e300]), (1, [2.0**40, 3.0]), (2, [2.0**40, 2.0]), (3, [-(2.0**40), 9.0]), (4, [1e300, 1.0]), (5, [1.7e308, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(c * 256) for c in v] for i, v in rows if i != 5}  # 5 is not finite once scaled
+    want = []
+    for q in (0, 50):
+        score = {i: sum(a * b for a, b in zip(v, whole[q])) for i, v in whole.items() if i != q}
+        want += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, score[i]))) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5])]
+    got = topk_search.search_top_k(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == want
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (50, [1.0, None]), (100, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [0.25]), (6, [1.0, 0.5]), (6, [1.0, 0.5]), (7, []), (None, [1.0, 1.0]), (150, [0.5, 0.5])]
@@ -155,7 +220,7 @@ def plain_verdict(url, rules):
     best = None
     for verdict, rule in rules:
         h, _, p = rule.partition("/")
-        p = rule[len(h) :]
+        h, p = h.lower(), rule[len(h) :]
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or (len(rule), rule, verdict) > best):
             best = (len(rule), rule, verdict)
     return host, path, best and best[1], best[2] if best else "allow"
@@ -163,11 +228,12 @@ def plain_verdict(url, rules):
 
 @pytest.mark.parametrize("most", [1 << 20, 0])
 def test_verdicts(spark, monkeypatch, most):
-    monkeypatch.setattr(url_filter, "MOST_RULE_CHARS", most)
+    monkeypatch.setattr(url_filter, "MOST_TRIE_BYTES", most)
     rng = random.Random(6)
     part = lambda seq, n, sep: sep.join(rng.choice(seq) for _ in range(n))
     rules = [*queries.RULES, *[(rng.choice(["allow", "block"]), part(["a", "b", "com"], rng.randint(1, 3), ".") + rng.choice(["", "/", "/x", "/x/", "/x/y"])) for _ in range(20)]]
-    urls = URLS + [f"http://{part(['a', 'b', 'com'], rng.randint(1, 4), '.')}/{part(['x', 'y', 'xy', ''], rng.randint(0, 3), '/')}" for _ in range(300)]
+    rules += [(v, r) for v in ("block", "allow") for r in ("twice.com/a", "Twice.com/b", "twice.com/b")] + [("block", "a.com/x"), ("allow", "a.com/x")]
+    urls = URLS + ["http://twice.com/a1", "http://twice.com/b", "http://a.com/x", "http://com/" + "x/" * 50_000] + [f"http://{part(['a', 'b', 'com'], rng.randint(1, 4), '.')}/{part(['x', 'y', 'xy', ''], rng.randint(0, 3), '/')}" for _ in range(300)]
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)] * 2, "page_id long, url string, verdict string")
     got = url_filter.judge_urls(df, rules).collect()
     assert len(got) == 2 * len(urls)
