@@ -143,8 +143,31 @@ def test_shorter_documents_match_brute_force(spark, seed):
 
 
 def test_far_fingerprints_at_the_threshold(spark):
-    for x in (1958, 6286, 6820, 7440):  # of similarity 0.8, and 21 bits apart
+    for x in (2627, 9189, 24377):  # of similarity 0.8, and 21 bits apart
         item = [f"i{x}w{y}" for y in range(40)]
         doc = [*item[:36], "other", *item[37:]]
         got = decontaminate.find_leaks(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")).collect()
         assert [(r.similarity, r.distance) for r in got] == [(0.8, 21)]
+
+
+def test_long_text_that_repeats_an_item():
+    """Every window of it is a candidate: they are looked at some at a time, in bounded memory."""
+    import pyarrow as pa
+
+    from grove.llm.common import texts
+
+    item = [f"w{x}" for x in range(400)]
+    other = " ".join(item).replace("w7 ", "zz ")
+    b = decontaminate.Benchmark([1, 2], [" ".join(item), other], 5, 80, 23)
+    found = b.leaks(*texts(pa.array([None, " ".join(item[200:] + item * 500), "w1 w2"])))
+    assert [(t, i, at, n) for t, i, at, n, _, _ in found] == [(1, 1, 200, 400), (1, 2, 200, 400)]
+    assert found[0][4] == 1 and found[1][4] == pytest.approx(391 / 401)
+
+
+def test_patterned_words_are_no_leak(spark):
+    word = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    other = str.maketrans("ab", "ba")
+    text = " ".join(f"{word(n)} one {word(n + 7)} two {word(n + 1)}" for n in (1024, 2048, 4096))
+    docs = spark.createDataFrame([(1, text.translate(other)), (2, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, text)], "item_id long, text string")
+    assert [(r.doc_id, r.similarity) for r in decontaminate.find_leaks(docs, items).collect()] == [(2, 1.0)]
