@@ -11,8 +11,9 @@ from .common import read
 #: The verdicts and rules that the url query holds (fixed values).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 SHARD_BYTES = 1 << 20
-#: Texts whose probability of any toxic grade reaches this are rejected; chosen on held-out labels.
-REJECT = 0.15
+#: Texts whose probability of any toxic grade reaches this are rejected: the greatest tenth that loses no toxic text on the part of the
+#: labels of sf0.1 that is kept for choosing (tests/llm/test_toxicity.py); that part also chose the penalty of the fit.
+REJECT = 0.3
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
