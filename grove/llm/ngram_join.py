@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from .common import U64, forget, mix, pieces, shingles, spread, stored, texts, width, words
 from .components import components
-from .suffix_dedup import BUCKET_BYTES, CHUNK_BYTES, split_key
+from .suffix_dedup import sizes as chunk_sizes
+from .suffix_dedup import split_key
 
 SLICE = 4096  # texts whose n-grams are made at once
 LEAF, FAN = 32, 8
@@ -376,21 +377,19 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     all_docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     told = stored(describe_sets(all_docs, k))
     docs = all_docs.filter("doc_id is not null")
-    parts = width(spark)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks, buckets = max(4 * parts, -(-total // CHUNK_BYTES)), max(parts, -(-total // BUCKET_BYTES))
+    parts, n_chunks, buckets = chunk_sizes(spark, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     classes = stored(told.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")))
     # an id that comes with several texts stands for all their sets
     reps = stored(classes.groupBy(F.col("rep_id").alias("doc_id")).agg(F.sum("copies").alias("copies"), F.sum("n").alias("n")))
     chunk = spread(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)))
     dealt = docs.withColumn("chunk", chunk).repartition(parts, "chunk")
     of_chunk = reps.select("doc_id", chunk.alias("chunk")).groupBy("chunk").agg(F.collect_list("doc_id").alias("reps"))  # ids of a chunk of texts
-    place = spread(F.col("bucket"))  # one bucket a task
+    to_bucket = lambda df: df.withColumn("place", spread(F.col("bucket"))).groupBy("place")  # noqa: E731, so many buckets in each task
     named = dealt.groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInArrow(lambda t, r: _names(t, r, k, buckets), NAMES)
-    often = named.groupBy(place).applyInArrow(_frequent, "chunk int, bucket int, keys binary, grades binary")
+    often = to_bucket(named).applyInArrow(_frequent, "chunk int, bucket int, keys binary, grades binary")
     answers = often.withColumn("reps", F.lit(None).cast("array<long>")).unionByName(of_chunk, allowMissingColumns=True)
     posted = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _post(t, a, k, per_100, buckets), POSTINGS)
-    near = stored(posted.groupBy(place).applyInArrow(lambda t: _chain(t, per_100), "a long, b long"))
+    near = stored(to_bucket(posted).applyInArrow(lambda t: _chain(t, per_100), "a long, b long"))
     groups = components(near)
     # a group of many members or bytes is dealt into sub-blocks, and each pair of them is a task; small groups share tasks
     members = groups.withColumnRenamed("id", "doc_id").join(reps, "doc_id")
@@ -398,7 +397,7 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     by_count = F.when(F.col("m") <= 32 * SUB, F.ceil(F.col("m") / SUB)).otherwise(32)
     sizes = stored(sizes.select("comp", "bytes", F.greatest(by_count, F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("q")))
     shared = sizes.filter("q = 1").agg(F.sum("bytes")).first()[0] or 0
-    tasks = max(parts, -(-shared // TASK_BYTES))
+    tasks = max(width(spark), -(-shared // TASK_BYTES))
     member = members.join(sizes.select("comp", "q"), "comp").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("q")).cast("int"))
     member = stored(member.select("doc_id", "comp", "q", "own", "copies"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BACK, BASE, BYTE, U64, equal_bytes, mix, plus, powers, spread, texts, width, word_hashes
@@ -343,6 +343,12 @@ def _cut(t: pa.Table, answers: pa.Table, names: list[str], schema: pa.Schema, wh
     return pa.table(out)
 
 
+def sizes(spark: SparkSession, total: int) -> tuple[int, int, int]:
+    """Partitions, chunks and buckets for so many bytes of text: chunks of CHUNK_BYTES or less, equally many in each partition, some two of them."""
+    parts = max(width(spark), -(-total // (2 * CHUNK_BYTES)))
+    return parts, parts * max(1, -(-total // (parts * CHUNK_BYTES))), max(width(spark), -(-total // BUCKET_BYTES))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, whole_characters: bool = False) -> DataFrame:
     """The rows of docs with two more columns: spans (removed byte ranges of the UTF-8 text) and kept (the bytes left).
 
@@ -358,18 +364,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.drop("spans", "kept")
     names = docs.columns
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    parts = width(spark)
-    n_chunks = max(4 * parts, -(-total // CHUNK_BYTES))
-    buckets = max(parts, -(-total // BUCKET_BYTES))
+    parts, n_chunks, buckets = sizes(spark, total)
     own = F.col(f"`{doc_id}`").cast("long")
     dealt = docs.select("*", own.alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"), spread(F.pmod(F.xxhash64(own), F.lit(n_chunks))).alias("__chunk"))
     dealt = dealt.repartition(parts, "__chunk")
     slim = dealt
     named = slim.groupBy("__chunk").applyInArrow(lambda t: _names(t, length, buckets), "bucket int, chunk int, one int, keys binary")
-    place = spread(F.col("bucket"))  # one bucket a task
-    repeated = named.groupBy(place).applyInArrow(_repeated, "chunk int, bucket int, keys binary, hot binary")
+    to_bucket = lambda df: df.withColumn("place", spread(F.col("bucket"))).groupBy("place")  # noqa: E731, so many buckets in each task
+    repeated = to_bucket(named).applyInArrow(_repeated, "chunk int, bucket int, keys binary, hot binary")
     sent = slim.groupBy("__chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(lambda t, a: _send(t, a, length, buckets), PIECES)
-    spans = sent.groupBy(place).applyInArrow(lambda t: _resolve(t, length), "chunk int, spans binary")
+    spans = to_bucket(sent).applyInArrow(lambda t: _resolve(t, length), "chunk int, spans binary")
     schema = plus(docs, f"spans {SPAN}, kept binary")
     arrow = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     return slim.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names, arrow, whole_characters), schema)
