@@ -151,3 +151,18 @@ def request_bytes(base: str, **params: Column) -> Column:
     """Bytes of a request target whose parameters are percent-encoded (a space as +)."""
     parts = [F.concat(F.lit(f"{k}="), F.url_encode(v)) for k, v in params.items()]
     return F.octet_length(F.concat(F.lit(base + "?"), F.concat_ws("&", *parts)))
+
+
+def without(c: Column, text: str) -> Column:
+    """A value without a piece of text that labels it, trimmed."""
+    return trimmed(F.replace(trimmed(c), F.lit(text)))
+
+
+def rewritten(url: Column, old: str, new: str) -> Column:
+    """A path with one of its parts in place of another."""
+    return F.replace(url, F.lit(old), F.lit(new))
+
+
+def base_name(path: Column) -> Column:
+    """What stands behind the last slash."""
+    return F.substring_index(path, "/", -1)

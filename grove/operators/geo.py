@@ -141,3 +141,30 @@ def group_examples(rows: DataFrame, group: str, order: str, k: int = 3) -> DataF
     sizes = rows.groupBy(group).agg(F.count("*").alias("group_size"))
     ranked = rows.withColumn("nth", F.row_number().over(W.partitionBy(group).orderBy(order))).filter(F.col("nth") <= k)
     return ranked.join(sizes, group)
+
+
+#: the ellipsoid and scale of universal transverse Mercator coordinates (fixed values)
+AXIS, FLATTENING, SCALE, EASTING = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
+
+
+def utm_series() -> tuple[float, list[float], list[float]]:
+    """Metres of the meridian's arc a radian, and the coefficients of Krüger's series from the plane to the sphere and on to the ellipsoid."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    return radius, [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480], [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+
+
+def from_utm(x: Column, y: Column, zone: Column | int) -> tuple[Column, Column]:
+    """(longitude, latitude) in degrees of a place on the northern half of a UTM zone, to fractions of a millimetre; JVM only."""
+    radius, plane, sphere = utm_series()
+    xi, eta = y / (SCALE * radius), (x - EASTING) / (SCALE * radius)
+    up, side = xi, eta
+    for j, b in enumerate(plane, 1):
+        up = up - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        side = side - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(up) / F.cosh(side))
+    lat = chi
+    for j, d in enumerate(sphere, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    middle = (F.lit(zone) if isinstance(zone, int) else zone) * 6 - 183
+    return middle + F.degrees(F.atan2(F.sinh(side), F.cos(up))), F.degrees(lat)

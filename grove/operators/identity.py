@@ -84,15 +84,20 @@ def mapping_entities(targets: DataFrame) -> DataFrame:
 
 
 class MappingRejected(ValueError):
-    """A mapping with issues is rejected as a whole; the message lists them all."""
+    """A mapping with issues is rejected as a whole: `issues` is the frame of all of them, and the message lists every one."""
 
+    def __init__(self, issues: DataFrame):
+        self.issues = issues
+        lines = issues.orderBy("line").toLocalIterator()
+        super().__init__("\n".join(f"- {r.code}: line {r.line}, {r.botanic}, {r.qid}" for r in lines))
 
-def build_mapping(rows: DataFrame, most_listed: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(targets, entities, warnings), or MappingRejected with the issues (the message shows up to most_listed of them)."""
+
+def build_mapping(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(targets, entities, warnings), or MappingRejected with the issues."""
     classified = classify_mapping(rows)
-    issues = mapping_issues(classified).orderBy("line").limit(most_listed).collect()
-    if issues:
-        raise MappingRejected("\n".join(f"- {r.code}: line {r.line}, {r.botanic}, {r.qid}" for r in issues))
+    issues = mapping_issues(classified)
+    if not issues.limit(1).isEmpty():
+        raise MappingRejected(issues)
     targets = mapping_targets(classified)
     return targets, mapping_entities(targets), mapping_warnings(classified)
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.strings import valid_entity_id
+from ..sources.scratch import stored
+from ..sources.tables import rewrite_scope, upsert
 from .attributes import attribute_defs, attribute_key_issues, datatype_warnings, with_attribute_names
 from .identity import canonical, classify_mapping, distinct_species, mapping_issues, mapping_targets, match_species
 
@@ -60,7 +65,8 @@ def classify_values(review: DataFrame, config: DataFrame, targets: DataFrame, sp
         F.when(F.col("mapped").isNull(), "missing_mapping").when(F.col("planted").isNull(), "no_cadastre_tree_type")
         .when(~F.coalesce("importable", F.lit(False)), "property_not_importable").when(F.col("attribute").isNull(), "missing_attribute_name")
     )
-    rows = rows.withColumn("reason", reason)
+    # a table, as it is read for the first rows and for all rows
+    rows = stored(rows.select("line", "botanic", "property_id", "value", "key", "attribute", reason.alias("reason")))
     first = rows.filter("reason is null").groupBy("key", "attribute", "value").agg(F.min("line").alias("line")).select("line", F.lit(True).alias("first"))
     rows = rows.join(first, "line", "left")
     again = F.when(F.col("reason").isNull() & F.col("first").isNull(), "duplicate_value").otherwise(F.col("reason"))
@@ -71,35 +77,106 @@ def skip_counts(classified: DataFrame) -> DataFrame:
     return classified.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def build(config: DataFrame, mapping: DataFrame, review: DataFrame, cadastre: DataFrame) -> dict[str, DataFrame]:
-    """The whole plan as named, lazy frames; nothing is written and nothing runs until one is asked for."""
-    classified = classify_mapping(mapping)
-    targets, species = mapping_targets(classified), distinct_species(cadastre)
-    checked, defs = check_identity(review, targets), attribute_defs(config, review)
-    matched, lone_species, lone_targets = match_species(species, targets)
-    return {
-        "targets": targets, "species": species, "matched": matched, "unmatched_species": lone_species, "unmatched_mapping": lone_targets,
-        "mapping_issues": mapping_issues(classified), "mapping_warnings": classified.filter("code = 'blank_mapping_qid'").select("code", "line"),
-        "identity_issues": identity_issues(checked), "identity_warnings": identity_warnings(checked), "drift": attribute_drift(review, config),
-        "attributes": defs, "key_issues": attribute_key_issues(defs), "type_warnings": datatype_warnings(defs), "values": classify_values(review, config, targets, species),
-    }
+class Plan(Mapping):
+    """Named frames, each made when it is first asked for. Those that others are made from are stored then, so that no two make them anew."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]], shared: tuple[str, ...]):
+        self._makers, self._shared, self._made = makers, shared, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            made = self._makers[name]()
+            self._made[name] = stored(made) if name in self._shared else made
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def build(config: DataFrame, mapping: DataFrame, review: DataFrame, cadastre: DataFrame) -> Plan:
+    """The whole plan; nothing runs until a frame of it is asked for, and no table of the import is written."""
+    p = Plan(
+        {
+            "classified": lambda: classify_mapping(mapping), "targets": lambda: mapping_targets(p["classified"]), "species": lambda: distinct_species(cadastre),
+            "matched": lambda: match_species(p["species"], p["targets"])[0], "unmatched_species": lambda: match_species(p["species"], p["targets"])[1],
+            "unmatched_mapping": lambda: match_species(p["species"], p["targets"])[2],
+            "mapping_issues": lambda: mapping_issues(p["classified"]), "mapping_warnings": lambda: p["classified"].filter("code = 'blank_mapping_qid'").select("code", "line"),
+            "checked": lambda: check_identity(review, p["targets"]), "identity_issues": lambda: identity_issues(p["checked"]), "identity_warnings": lambda: identity_warnings(p["checked"]),
+            "drift": lambda: attribute_drift(review, config), "attributes": lambda: attribute_defs(config, review), "key_issues": lambda: attribute_key_issues(p["attributes"]),
+            "type_warnings": lambda: datatype_warnings(p["attributes"]), "values": lambda: classify_values(review, config, p["targets"], p["species"]),
+        },
+        ("classified", "targets", "species", "attributes", "values"),
+    )
+    return p
 
 
 class PlanRejected(ValueError):
-    """A plan with issues; the message counts them by code."""
+    """A plan with issues: `issues` is the frame of all of them; the message lists every one, by code."""
+
+    def __init__(self, issues: DataFrame):
+        self.issues = issues
+        lines = issues.orderBy("code", "line", "subject").select(F.format_string("- %s: %s", "code", "text").alias("text")).toLocalIterator()
+        super().__init__("\n".join(r.text for r in lines))
 
 
-def gate(plan: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def issues(plan: Plan) -> DataFrame:
+    """Every issue of a plan: those of the mapping, of the review's identities, of its attribute names and of attribute keys.
+
+    code, line (the first one where several rows say the same), subject (what it is about) and text.
+    """
+    row = lambda df, code, line, subject, text: df.select(code.alias("code"), line.cast("long").alias("line"), subject.alias("subject"), text.alias("text"))
+    code, line, say = F.col("code"), F.col("line"), lambda form, *c: F.format_string(form, *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c])
+    drift = plan["drift"].withColumn("code", F.lit("config_review_attribute_mismatch"))
+    keys = plan["key_issues"].select(F.lit("duplicate_attribute_key").alias("code"), F.lit(None).alias("line"), "attribute_name", F.array_join("property_ids", ", ").alias("ids"))
+    parts = [
+        row(plan["mapping_issues"], code, line, F.col("botanic"), say("line %s, %s, %s", "line", "botanic", "qid")),
+        row(plan["identity_issues"], code, line, F.col("botanic"), say("line %s, %s, %s", "line", "botanic", "qid")),
+        row(drift, code, line, F.col("property_id"), say("line %s, %s, %s, %s", "line", "property_id", "configured", "attribute_name")),
+        row(keys, code, line, F.col("attribute_name"), say("%s, %s", "attribute_name", "ids")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gate(plan: Plan) -> Plan:
     """The plan, if it has no issue."""
-    codes = plan["mapping_issues"].select("code").unionByName(plan["identity_issues"].select("code"))
-    codes = codes.unionByName(plan["drift"].select(F.lit("config_review_attribute_mismatch").alias("code"))).unionByName(plan["key_issues"].select(F.lit("duplicate_attribute_key").alias("code")))
-    found = codes.groupBy("code").count().orderBy("code").collect()  # one row a code
-    if found:
-        raise PlanRejected("\n".join(f"- {r['code']}: {r['count']}" for r in found))
+    found = issues(plan)
+    if not found.limit(1).isEmpty():
+        raise PlanRejected(found)
     return plan
 
 
-def summary(plan: dict[str, DataFrame]) -> DataFrame:
+def outcome(plan: Plan, tree_types: DataFrame, attributes: DataFrame, values: DataFrame) -> dict[str, DataFrame]:
+    """What the three tables hold once the plan is carried out; a dry run is to stop at the plan.
+
+    tree_types (name_botanic, name, wikidata_id) and attributes (name, datatype, wikidata_id) are upserted by their first column. Of values
+    (name_botanic, attribute, value) those of the plan's species and attributes are replaced by the plan's, those of others stay.
+    """
+    matched = plan["matched"].select("botanic", "qid")
+    types = plan["species"].join(matched, "botanic", "left").select(F.col("botanic").alias("name_botanic"), F.col("common").alias("name"), F.col("qid").alias("wikidata_id"))
+    defs = plan["attributes"].select(F.col("attribute_name").alias("name"), F.col("vocabulary").alias("datatype"), F.col("property_id").alias("wikidata_id"))
+    accepted = plan["values"].filter("reason is null").withColumn("key", canonical())
+    named = accepted.join(plan["species"].select("key", F.col("botanic").alias("name_botanic")), "key").join(plan["attributes"].select("property_id", F.col("attribute_name").alias("attribute")), "property_id")
+    scopes = types.select("name_botanic"), defs.select(F.col("name").alias("attribute"))
+    return {
+        "tree_types": upsert(tree_types, types, ["name_botanic"]),
+        "attributes": upsert(attributes, defs, ["name"]),
+        "values": rewrite_scope(values, named.select("name_botanic", "attribute", "value"), *scopes),
+    }
+
+
+def run(plan: Plan, tables: dict[str, DataFrame], write: Callable[[str, DataFrame], None] | None = None, dry_run: bool = False) -> DataFrame:
+    """The summary, with dry_run. Issues reject the plan in either mode; unless it is a dry run, each table's outcome is handed to `write`."""
+    gate(plan)
+    if not dry_run:
+        for name, rows in outcome(plan, **tables).items():
+            write(name, rows)
+    return summary(plan).withColumn("dry_run", F.lit(dry_run))
+
+
+def summary(plan: Plan) -> DataFrame:
     """One row of the seven counts."""
     values = plan["values"].groupBy(F.when(F.col("reason").isNull(), "n_values").otherwise("skipped_values").alias("name")).agg(F.count("*").alias("n"))
     for name, part in (("tree_types", "species"), ("matched", "matched"), ("unmatched_species", "unmatched_species"), ("unmatched_mapping", "unmatched_mapping"), ("attributes", "attributes")):
@@ -108,7 +185,7 @@ def summary(plan: dict[str, DataFrame]) -> DataFrame:
     return values.agg(*[F.coalesce(F.sum(F.when(F.col("name") == x, F.col("n"))), F.lit(0)).alias(x) for x in names])
 
 
-def warning_counts(plan: dict[str, DataFrame]) -> DataFrame:
+def warning_counts(plan: Plan) -> DataFrame:
     parts = [plan["mapping_warnings"].select("code"), plan["identity_warnings"].select("code"), plan["type_warnings"].select(F.lit("unknown_datatype").alias("code")), plan["unmatched_mapping"].select(F.lit("unmatched_mapping").alias("code"))]
     rows = parts[0]
     for p in parts[1:]:
@@ -116,7 +193,7 @@ def warning_counts(plan: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("code").agg(F.count("*").alias("n"))
 
 
-def species_details(plan: dict[str, DataFrame]) -> DataFrame:
+def species_details(plan: Plan) -> DataFrame:
     """Each species with its match and its counts of values and of skips by reason; counts go by the review's own spelling."""
     by = plan["values"].groupBy("botanic", "reason").agg(F.count("*").alias("n"))
     values = by.filter("reason is null").select("botanic", F.col("n").alias("value_count"))
@@ -127,7 +204,7 @@ def species_details(plan: dict[str, DataFrame]) -> DataFrame:
     return out.select("botanic", F.when(F.col("qid").isNotNull(), "matched").otherwise("unmatched").alias("status"), "qid", F.coalesce("value_count", F.lit(0)).alias("value_count"), F.coalesce("skips", none).alias("skips"))
 
 
-def attribute_details(plan: dict[str, DataFrame]) -> DataFrame:
+def attribute_details(plan: Plan) -> DataFrame:
     used = plan["values"].filter("reason is null").groupBy("property_id").agg(F.count("*").alias("value_count"))
     return plan["attributes"].select("property_id", "attribute_name", "vocabulary").join(used, "property_id", "left").withColumn("value_count", F.coalesce("value_count", F.lit(0)))
 
@@ -139,7 +216,8 @@ def chunks(rows: DataFrame, order: str, size: int) -> DataFrame:
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+    # the ranges are sampled once: from here on each row's range stands in a table
+    dealt = stored(rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
     local = dealt.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(order)))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -147,6 +225,12 @@ def chunks(rows: DataFrame, order: str, size: int) -> DataFrame:
     return out.withColumn("chunk", F.floor((F.col("__before") + F.col("__n") - 1) / size).cast("long")).drop("__part", "__n", "__before")
 
 
-def chunk_pairs(n_types: int, n_attributes: int, types: int = 100, attributes: int = 40) -> list[tuple[int, int]]:
-    """Pairs of chunks for a delete by both keys: every chunk of types with every chunk of attributes."""
-    return [(i, j) for i in range(-(-n_types // types)) for j in range(-(-n_attributes // attributes))]
+def chunk_pairs(types: DataFrame, attributes: DataFrame, type_id: str, attribute_id: str, n_types: int = 100, n_attributes: int = 40) -> DataFrame:
+    """The requests of a delete by both keys: every chunk of types with every chunk of attributes, as type_chunk, attribute_chunk and the ids
+    of each in order (at most n_types and n_attributes of them)."""
+    listed = lambda df, key, size, name: chunks(df.select(key).distinct(), key, size).groupBy(F.col("chunk").alias(f"{name}_chunk")).agg(F.sort_array(F.collect_list(key)).alias(f"{name}_ids"))
+    left, right = listed(types, type_id, n_types, "type"), listed(attributes, attribute_id, n_attributes, "attribute")
+    last = attributes.select(F.count_distinct(attribute_id)).first()[0] - 1  # every pair is a request of its own, so each type chunk meets all others
+    if last < 0:
+        return left.join(right, F.lit(False))
+    return left.withColumn("attribute_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last // n_attributes).cast("long")))).join(right, "attribute_chunk")

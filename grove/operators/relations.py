@@ -48,3 +48,10 @@ def sorted_concat(frames: dict[str, DataFrame], source: str = "source") -> DataF
 def repeats(df: DataFrame) -> DataFrame:
     """(n_rows, n_distinct) of a frame."""
     return df.groupBy(*df.columns).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct"))
+
+
+def existing(rows: DataFrame, path: str, listing: DataFrame, name: str = "name") -> DataFrame:
+    """rows with `exists`: whether the last part of the path is listed; a null path is not."""
+    there = listing.select(F.col(name).alias("__name")).distinct().withColumn("__there", F.lit(True))
+    out = rows.join(there, F.substring_index(path, "/", -1) == F.col("__name"), "left")
+    return out.select(*rows.columns, F.coalesce("__there", F.lit(False)).alias("exists"))

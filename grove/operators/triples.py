@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as st
+from ..sources.scratch import stored
 
 WD = "http://www.wikidata.org/entity/"
 WDT = "http://www.wikidata.org/prop/direct/"
@@ -48,27 +49,42 @@ def preferred_labels(raw: DataFrame, chain: str, predicate: str = LABEL, keys: t
     return best.select(*keys, F.col("b.o_value").alias("label"), F.col("b.o_lang").alias("label_lang"))
 
 
-def inline_labels(kept: DataFrame, raw: DataFrame, config: DataFrame) -> DataFrame:
-    """For inlined properties, the object's label as a fact of its own; the link goes unless it is kept or has no label."""
+def inline_hits(kept: DataFrame, raw: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts that inlining leaves alone, links of inlined properties with inline_target, keep_source, label and label_lang).
+
+    Only the second, a table, has met the labels: the rest of the facts takes part in no shuffle.
+    """
     inline = config.filter("inline_target is not null").select("property_id", "inline_target", "keep_source")
-    facts = kept.withColumn("property_id", F.when((F.col("s") == subject()) & F.startswith("p", F.lit(WDT)), property_id()))
-    facts = facts.join(inline, "property_id", "left")
+    own_property = F.when((F.col("s") == subject()) & F.startswith("p", F.lit(WDT)), property_id())
+    facts = kept.withColumn("property_id", own_property).join(inline, "property_id", "left")
+    link = F.col("inline_target").isNotNull() & (F.col("o_kind") == "iri")
     labels = preferred_labels(raw, "inline").withColumnRenamed("s", "o_value")
-    facts = facts.join(labels, ["entity", "o_value"], "left")
-    found = F.col("inline_target").isNotNull() & (F.col("o_kind") == "iri") & F.col("label").isNotNull()
-    row = lambda p, kind, value, lang: F.struct(p.alias("p"), kind.alias("o_kind"), value.alias("o_value"), lang.alias("o_lang"))
-    same = row(F.col("p"), F.col("o_kind"), F.col("o_value"), F.col("o_lang"))
-    new = row(F.concat(F.lit(NS), "inline_target"), F.lit("literal"), F.col("label"), F.col("label_lang"))
-    made = F.when(~F.coalesce(found, F.lit(False)), F.array(same)).when(F.col("keep_source"), F.array(same, new)).otherwise(F.array(new))
-    out = facts.select("entity", "s", F.explode(made).alias("f")).select("entity", "s", "f.*")
-    own_namespace = F.startswith("p", F.lit(NS))  # only these can repeat: two links may have the same label
-    return out.filter(~own_namespace).unionByName(out.filter(own_namespace).distinct())
+    hits = stored(facts.filter(link).join(labels, ["entity", "o_value"], "left").select(*COLUMNS, "inline_target", "keep_source", "label", "label_lang"))
+    return facts.filter(~link).select(*COLUMNS), hits
+
+
+def inlined_facts(hits: DataFrame) -> DataFrame:
+    """The labels as facts of their own; two links may have the same one, so these, and only these, are made distinct."""
+    named = hits.filter("label is not null").select("entity", "s", F.concat(F.lit(NS), "inline_target").alias("p"), F.lit("literal").alias("o_kind"), F.col("label").alias("o_value"), F.col("label_lang").alias("o_lang"))
+    return named.distinct()
+
+
+DROPPED = "label is not null and not keep_source"
+
+
+def inline_labels(kept: DataFrame, raw: DataFrame, config: DataFrame) -> DataFrame:
+    """For inlined properties, the object's label as a fact of its own; the link goes unless it is kept or has no label."""
+    rest, hits = inline_hits(kept, raw, config)
+    return rest.unionByName(hits.filter(f"not ({DROPPED})").select(*COLUMNS)).unionByName(inlined_facts(hits))
+
+
+def links_to_entities(kept: DataFrame) -> DataFrame:
+    return kept.filter((F.col("o_kind") == "iri") & F.startswith("o_value", F.lit(WD))).select("entity", F.col("o_value").alias("s"))
 
 
 def with_secondary(kept: DataFrame, raw: DataFrame) -> DataFrame:
     """Adds all raw facts of entities that kept facts point to: one hop."""
-    linked = kept.filter((F.col("o_kind") == "iri") & F.startswith("o_value", F.lit(WD))).select("entity", F.col("o_value").alias("s"))
-    return kept.unionByName(raw.join(linked, ["entity", "s"], "left_semi").select(*COLUMNS)).distinct()
+    return kept.unionByName(raw.join(links_to_entities(kept), ["entity", "s"], "left_semi").select(*COLUMNS)).distinct()
 
 
 def german_or_english(facts: DataFrame) -> DataFrame:
@@ -76,9 +92,20 @@ def german_or_english(facts: DataFrame) -> DataFrame:
 
 
 def process(raw: DataFrame, config: DataFrame) -> DataFrame:
-    """Own facts, inlined, with what they point to, in German, English or no language; in this order."""
-    own = main_facts(raw, config.filter("action = 'ignore'"))
-    return german_or_english(with_secondary(inline_labels(own, raw, config), raw))
+    """Own facts, inlined, with what they point to, in German, English or no language; in this order.
+
+    raw is a set, so a fact can only come twice where an entity points to itself. Such a one brings in its facts that are not among its own
+    ones and the links that inlining dropped; what others point to is never an own fact. So nothing needs to be made distinct here.
+    """
+    ignored = config.filter("action = 'ignore'")
+    rest, hits = inline_hits(main_facts(raw, ignored), raw, config)
+    kept = rest.unionByName(hits.filter(f"not ({DROPPED})").select(*COLUMNS))
+    linked = links_to_entities(kept)
+    others = raw.join(ignored.select("property_id", F.lit(True).alias("ignored")), property_id() == F.col("property_id"), "left")
+    mine = (F.col("s") == subject()) & ((F.col("p") == LABEL) | (F.startswith("p", F.lit(WDT)) & F.col("ignored").isNull()))
+    second = german_or_english(others.filter(~mine).select(*COLUMNS)).unionByName(german_or_english(hits.filter(DROPPED).select(*COLUMNS)))
+    out = german_or_english(kept).unionByName(german_or_english(inlined_facts(hits)))
+    return out.unionByName(second.join(linked, ["entity", "s"], "left_semi").select(*COLUMNS))
 
 
 def resolved_literals(literals: DataFrame, keys: list[str]) -> DataFrame:

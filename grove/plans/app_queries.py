@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import activity as act
+from ..operators import geo
 from ..operators import relations as rel
 from ..sources import delimited, geojson, markup
 from ..sources.scratch import shared_path
@@ -239,3 +240,45 @@ def _stream(s, d, kind):
 Q["stream_toggle"] = lambda s, d: live.run_adopted(_stream(s, d, "click").select((F.col("event_id") % 40).alias("tree"), "user_id"), s)
 O["stream_toggle"] = sql("adopt", ADOPTED)
 Q["stream_windows"] = lambda s, d: live.run_windows(_stream(s, d, "purchase").select((F.col("event_id") % 200).alias("tree"), F.col("value").cast("decimal(12,2)").alias("amount"), F.col("ts").alias("created_at")), s)
+
+
+def gridded(s, d):
+    """Pages with tables: two that count, an empty one between them, and one with a table in a cell."""
+    key = F.col("page_id").cast("string")
+    text = F.concat(F.lit("<p>x<table><tr><th>Typ</th><td> a &amp; "), key, F.lit("</td></tr><tr><td>b</td></tr></table><table></table><table><tr><td>c<table><tr><td>in "), key, F.lit("</td></tr></table></td></tr></table>"))
+    return t(s, d, "pages").select("page_id", "url", text.alias("html"))
+
+
+Q["html_named_tables"] = lambda s, d: markup.named_tables(gridded(s, d), "page_id", "url").select("page_id", "category", "row", F.array_join("cells", "|").alias("cells"), "source")
+O["html_named_tables"] = """SELECT page_id, category, CAST(r AS INTEGER) AS row, cells, url AS source FROM pages, (SELECT 'Klimabedingungen' AS category, 0 AS r UNION ALL SELECT 'Klimabedingungen', 1
+  UNION ALL SELECT 'Bodenbedingungen', 0 UNION ALL SELECT 'Natürliche Verbreitung', 0) x, LATERAL (SELECT CASE WHEN category = 'Klimabedingungen' AND r = 0 THEN 'Typ|a & ' || page_id WHEN r = 1 THEN 'b' WHEN category = 'Bodenbedingungen' THEN 'c' ELSE 'in ' || page_id END AS cells) y"""
+
+
+def plane_collections(s, d):
+    """A collection a part, in metres of zone 32 but for every fourth, which is in degrees, and every ninth, in an unknown system."""
+    system = F.when(F.col("p_partkey") % 9 == 0, "EPSG:31468").when(F.col("p_partkey") % 4 == 0, "urn:ogc:def:crs:OGC:1.3:CRS84").otherwise("urn:ogc:def:crs:EPSG::25832")
+    plane = [F.lit(400000.0) + F.col("p_partkey") * 9.5, F.lit(5700000.0) + F.col("p_size") * 1000.25]
+    xy = [F.when(F.col("p_partkey") % 4 == 0, v).otherwise(c).cast("string") for v, c in zip((8.5, 52.25), plane, strict=True)]
+    text = F.concat(F.lit('{"crs": {"type": "name", "properties": {"name": "'), system, F.lit('"}}, "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": ['), xy[0], F.lit(", "), xy[1], F.lit("]}}]}"))
+    return t(s, d, "part").select("p_partkey", geojson.parse_collections(text).alias("c"))
+
+
+Q["src_geojson_crs"] = lambda s, d: geojson.feature_rows(plane_collections(s, d).filter("c.code is null").select("p_partkey", "c.features", "c.utm_zone")).select("p_partkey", F.round("lng", 8).alias("lng"), F.round("lat", 8).alias("lat"))
+Q["src_geojson_crs_errors"] = lambda s, d: plane_collections(s, d).select("p_partkey", F.col("c.code").alias("code"))
+O["src_geojson_crs_errors"] = "SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'unknown_crs' END AS code FROM part"
+
+
+def _utm_sql() -> str:
+    radius, plane, sphere = geo.utm_series()
+    up = "xi" + "".join(f" - {b!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(plane, 1))
+    side = "eta" + "".join(f" - {b!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(plane, 1))
+    lat = "chi" + "".join(f" + {b!r} * sin({2 * j} * chi)" for j, b in enumerate(sphere, 1))
+    k = geo.SCALE * radius
+    return f"""WITH p AS (SELECT p_partkey, (400000e0 + p_partkey * 9.5e0 - {geo.EASTING!r}) / {k!r} AS eta, (5700000e0 + p_size * 1000.25e0) / {k!r} AS xi FROM part WHERE p_partkey % 9 > 0),
+  q AS (SELECT p_partkey, {up} AS up, {side} AS side FROM p), r AS (SELECT *, asin(sin(up) / cosh(side)) AS chi FROM q)
+  SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 8.5e0 ELSE round(9 + degrees(atan2(sinh(side), cos(up))), 8) END AS lng, CASE WHEN p_partkey % 4 = 0 THEN 52.25e0 ELSE round(degrees({lat}), 8) END AS lat FROM r"""
+
+
+O["src_geojson_crs"] = _utm_sql()
+Q["src_existing"] = lambda s, d: rel.existing(t(s, d, "part").select("p_partkey", F.concat(F.lit("trees/"), "p_brand", F.lit("/"), "p_name").alias("path")), "path", t(s, d, "part").filter("p_size > 45").select(F.col("p_name").alias("name")))
+O["src_existing"] = "SELECT p_partkey, 'trees/' || p_brand || '/' || p_name AS path, p_name IN (SELECT p_name FROM part WHERE p_size > 45) AS exists FROM part"

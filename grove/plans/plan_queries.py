@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import planner
@@ -71,6 +73,31 @@ has("plan_details", """SELECT s.botanic, CASE WHEN t.qid IS NULL THEN 'unmatched
 Q["plan_attribute_details"] = lambda s, d: planner.attribute_details(plan(s, d))
 has("plan_attribute_details", "SELECT property_id, attribute_name, vocabulary, coalesce(n, 0) AS value_count FROM defs LEFT JOIN (SELECT property_id, count(*) AS n FROM vals WHERE reason IS NULL GROUP BY 1) USING (property_id)")
 
+Q["plan_gate"] = lambda s, d: planner.issues(plan(s, d)).select("code", "line", "subject")
+has("plan_gate", """SELECT code, CAST(line AS BIGINT) AS line, botanic AS subject FROM classified WHERE code IS NOT NULL AND code <> 'blank_mapping_qid'
+  UNION ALL SELECT code, min(line), botanic FROM checked WHERE code IN ('invalid_qid', 'mapping_review_qid_mismatch') GROUP BY code, botanic, qid, CASE WHEN code <> 'invalid_qid' THEN mapping_qid END
+  UNION ALL SELECT 'config_review_attribute_mismatch', min(r.line), property_id FROM rev r JOIN named c USING (property_id) WHERE importable AND c.attribute_name <> r.attribute_name GROUP BY property_id, c.attribute_name, r.attribute_name
+  UNION ALL SELECT 'duplicate_attribute_key', NULL, attribute_name FROM defs GROUP BY attribute_name HAVING count(*) > 1""")
+
+
+def imported(s, d):
+    """What a plan leaves in tables that hold other rows as well."""
+    part = frame(s, d, "part")
+    before = part.select(F.col("p_name").alias("name_botanic"), F.lit("old").alias("name"), F.lit(None).cast("string").alias("wikidata_id")).distinct()
+    defs = part.select(F.concat(F.lit("t"), F.col("p_size").cast("string")).alias("name"), F.lit("old").alias("datatype"), F.lit("P0").alias("wikidata_id")).distinct()
+    held = part.select(F.col("p_name").alias("name_botanic"), F.concat(F.lit("t"), (F.col("p_size") % 9).cast("string")).alias("attribute"), F.col("p_brand").alias("value"))
+    out = planner.outcome(plan(s, d), before, defs, held)
+    return reduce(lambda a, b: a.unionByName(b), [out[t].toDF("a", "b", "c").withColumn("tab", F.lit(t)) for t in ("tree_types", "attributes", "values")])
+
+
+Q["plan_import"] = imported
+has("plan_import", """SELECT s.botanic AS a, s.common AS b, t.qid AS c, 'tree_types' AS tab FROM species s LEFT JOIN targets t USING (key)
+  UNION ALL SELECT DISTINCT p_name, 'old', NULL, 'tree_types' FROM part WHERE p_name NOT IN (SELECT botanic FROM species)
+  UNION ALL SELECT attribute_name, vocabulary, property_id, 'attributes' FROM defs
+  UNION ALL SELECT DISTINCT 't' || p_size, 'old', 'P0', 'attributes' FROM part WHERE 't' || p_size NOT IN (SELECT attribute_name FROM defs)
+  UNION ALL SELECT s.botanic, f.attribute_name, v.value, 'values' FROM vals v JOIN (SELECT line, key FROM reasoned) r USING (line) JOIN species s USING (key) JOIN defs f USING (property_id) WHERE v.reason IS NULL
+  UNION ALL SELECT p_name, 't' || (p_size % 9), p_brand, 'values' FROM part WHERE NOT (p_name IN (SELECT botanic FROM species) AND 't' || (p_size % 9) IN (SELECT attribute_name FROM defs))""")
+
 CUST = lambda s, d: frame(s, d, "customer")
 
 
@@ -99,6 +126,9 @@ Q["up_delete_types"] = lambda s, d: _rewrite(s, d, CUST(s, d).filter("c_mktsegme
 O["up_delete_types"] = f"SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') UNION ALL {FRESH}"
 Q["up_chunks"] = lambda s, d: planner.chunks(frame(s, d, "orders").select("o_orderkey"), "o_orderkey", 500)
 O["up_chunks"] = "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS BIGINT) AS chunk FROM orders"
+Q["up_chunk_pairs"] = lambda s, d: planner.chunk_pairs(CUST(s, d), frame(s, d, "supplier"), "c_custkey", "s_suppkey")
+LISTED = "SELECT n // {n} AS {x}_chunk, list(k ORDER BY k) AS {x}_ids FROM (SELECT {k} AS k, row_number() OVER (ORDER BY {k}) - 1 AS n FROM {t}) GROUP BY 1"
+O["up_chunk_pairs"] = f"SELECT * FROM ({LISTED.format(n=100, x='type', k='c_custkey', t='customer')}), ({LISTED.format(n=40, x='attribute', k='s_suppkey', t='supplier')})"
 Q["up_constraints"] = lambda s, d: tab.violations(frame(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"), "l_tax"), ["l_orderkey", "l_linenumber"], ["l_tax"], (frame(s, d, "supplier").filter("s_acctbal > 0").select("s_suppkey"), "s_suppkey"))
 O["up_constraints"] = "SELECT 'unique' AS rule, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'not_null:l_tax', count(*) FROM lineitem WHERE l_tax IS NULL UNION ALL SELECT 'reference:s_suppkey', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"
 Q["up_foreign_keys"] = lambda s, d: tab.set_null(tab.cascade(frame(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), CUST(s, d).filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey"), s.createDataFrame([("5-LOW",)], "o_orderpriority string"), "o_orderpriority")

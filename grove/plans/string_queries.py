@@ -132,3 +132,12 @@ Q["csv_escape"] = lambda s, d: frame(s, d, "documents").select("doc_id", st.csv_
 O["csv_escape"] = "SELECT doc_id, CASE WHEN contains(text, ';') OR contains(text, '\"') OR contains(text, chr(10)) THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS field FROM documents"
 Q["up_request_bytes"] = lambda s, d: frame(s, d, "customer").select("c_custkey", st.request_bytes("/rest/v1/values", name=F.col("c_name"), segment=F.concat("c_mktsegment", F.lit(" é,"))).cast("long").alias("n_bytes"))
 O["up_request_bytes"] = "SELECT c_custkey, CAST(octet_length(encode('/rest/v1/values?name=' || replace(c_name, '#', '%23') || '&segment=' || c_mktsegment || '+%C3%A9%2C')) AS BIGINT) AS n_bytes FROM customer"
+
+Q["str_paths"] = lambda s, d: frame(s, d, "part").select(
+    "p_partkey",
+    st.without(F.concat(F.lit(" Sorte: "), "p_name", F.lit(" ")), "Sorte: ").alias("strain"),
+    st.rewritten(F.concat(F.lit("img/640/"), "p_brand", F.lit("/a.jpg")), "/640/", "/1024/").alias("large"),
+    st.base_name(F.concat(F.lit("img/640/"), "p_brand", F.lit(".jpg"))).alias("file"),
+    st.base_name(F.col("p_type")).alias("bare"),
+)
+O["str_paths"] = "SELECT p_partkey, p_name AS strain, 'img/1024/' || p_brand || '/a.jpg' AS large, p_brand || '.jpg' AS file, string_split(p_type, '/')[-1] AS bare FROM part"

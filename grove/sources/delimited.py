@@ -39,7 +39,8 @@ def scan(spark: SparkSession, path: str, columns: list[str], sep: str = ",", hea
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(csv.reader(io.StringIO((text or "").removeprefix("﻿"), newline=""), delimiter=sep))
+                csv.field_size_limit(max(csv.field_size_limit(), len(text or "")))  # a field may be as long as its file
+                rows = csv.reader(io.StringIO((text or "").removeprefix("﻿"), newline=""), delimiter=sep)
                 line, fields, first = [], [], True
                 for i, r in enumerate((r for r in rows if r), 1):
                     if header and first:
@@ -51,6 +52,9 @@ def scan(spark: SparkSession, path: str, columns: list[str], sep: str = ",", hea
                         raise SourceError(f"invalid_row_format: {name}, line {i}")
                     line.append(i)
                     fields.append((r + [""] * n)[:n])
+                    if len(line) == 10_000:  # some rows at a time: the file's text is held whole, its rows are not
+                        yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(fields, pa.list_(pa.string()))], names=["line", "f"])
+                        line, fields = [], []
                 yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(fields, pa.list_(pa.string()))], names=["line", "f"])
 
     rows = files.mapInArrow(parse, "line long, f array<string>")

@@ -15,34 +15,47 @@ PROPERTIES = {
     "Bezirk_Nr": ("long", "district_number"), "Bezirk_Bez": ("string", "district"), "Objekt_Nr": ("long", "object_number"), "Objekt_Bez": ("string", "object"), "Baumart_bo": ("string", "botanic"),
     "Baumart_de": ("string", "common"), "Baumart_ku": ("string", "short"), "PflE_Art_N": ("long", "care_number"), "PflE_Art_B": ("string", "care"), "Stammradiu": ("double", "trunk_radius"), "Kronenradi": ("double", "crown_radius"),
 }
-SCHEMA = "features array<struct<type: string, properties: struct<" + ", ".join(f"{k}: {t}" for k, (t, _) in PROPERTIES.items()) + ">, geometry: struct<type: string, coordinates: array<double>>>>"
+SCHEMA = "crs struct<properties: struct<name: string>>, features array<struct<type: string, properties: struct<" + ", ".join(f"{k}: {t}" for k, (t, _) in PROPERTIES.items()) + ">, geometry: struct<type: string, coordinates: array<double>>>>"
 
 
 def feature_rows(collections: DataFrame) -> DataFrame:
-    """One row per feature of rows with `features`: pos (place in its collection), the properties, lng, lat and wkt."""
+    """One row per feature of rows with `features`: pos (place in its collection), the properties, lng, lat and wkt.
+
+    With a column utm_zone (see parse_collections), coordinates of collections that have one are brought to degrees.
+    """
     rows = collections.select(*[c for c in collections.columns if c != "features"], F.posexplode("features").alias("pos", "f"))
-    xy = F.col("f.geometry.coordinates")
-    point = F.concat(F.lit("POINT("), F.get(xy, F.lit(0)).cast("string"), F.lit(" "), F.get(xy, F.lit(1)).cast("string"), F.lit(")"))
-    return rows.select(*[c for c in rows.columns if c != "f"], *[F.col(f"f.properties.{k}").alias(c) for k, (_, c) in PROPERTIES.items()], F.get(xy, F.lit(0)).alias("lng"), F.get(xy, F.lit(1)).alias("lat"), point.alias("wkt"))
+    xy = [F.get(F.col("f.geometry.coordinates"), F.lit(i)) for i in (0, 1)]
+    if "utm_zone" in rows.columns:
+        plane = F.col("utm_zone").isNotNull()
+        xy = [F.when(plane, there).otherwise(here) for there, here in zip(geo.from_utm(*xy, F.col("utm_zone")), xy, strict=True)]
+    rows = rows.select(*[c for c in rows.columns if c not in ("f", "utm_zone")], *[F.col(f"f.properties.{k}").alias(c) for k, (_, c) in PROPERTIES.items()], xy[0].alias("lng"), xy[1].alias("lat"))
+    return rows.withColumn("wkt", F.concat(F.lit("POINT("), F.col("lng").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")")))
 
 
 def parse_collections(text: Column) -> Column:
-    """(features, code) of GeoJSON texts; code: invalid_json, missing_features or null."""
+    """(features, code, utm_zone) of GeoJSON texts; code: invalid_json, missing_features, unknown_crs or null.
+
+    Coordinates are degrees (EPSG:4326, CRS84, or no system named) or metres of a northern UTM zone (EPSG:258zz, 326zz), which is told.
+    """
     parsed = F.from_json(text, SCHEMA)
     json = F.try_parse_json(text)
+    system = F.upper(parsed["crs"]["properties"]["name"])
+    zone = F.regexp_extract(system, r"EPSG:+(?:258|326)(\d\d)$", 1)
+    known = system.isNull() | system.rlike("(EPSG:+4326|CRS84)$") | zone.between("01", "60")
     code = F.when(json.isNull(), "invalid_json").when(~F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(json, "$.features", "variant")), F.lit("ARRAY")), F.lit(False)), "missing_features")
-    return F.struct(F.when(code.isNull(), parsed["features"]).alias("features"), code.alias("code"))
+    code = code.when(~known, "unknown_crs")
+    return F.struct(F.when(code.isNull(), parsed["features"]).alias("features"), code.alias("code"), F.when(zone != "", zone).cast("int").alias("utm_zone"))
 
 
 def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of the file(s) at path as rows; a missing file, broken JSON and a lack of features are errors of their own."""
+    """Features of the file(s) at path as rows; a missing file, broken JSON, a lack of features and an unknown system of coordinates are errors of their own."""
     if not _exists(spark, path):
         raise SourceError(f"file_not_found: {path}")
     files = spark.read.text(path, wholetext=True).select(parse_collections(F.col("value")).alias("c"))
     bad = files.filter("c.code is not null").select("c.code").limit(1).collect()
     if bad:
         raise SourceError(f"{bad[0].code}: {path}")
-    return feature_rows(files.select("c.features"))
+    return feature_rows(files.select("c.features", "c.utm_zone"))
 
 
 def write_segments(points: DataFrame, path: str, properties: list[str], n: int = 10) -> DataFrame:
@@ -61,7 +74,7 @@ def write_segments(points: DataFrame, path: str, properties: list[str], n: int =
 def read_segments(spark: SparkSession, path: str, cells: DataFrame | None = None) -> DataFrame:
     """Features of the segments (of the given cells only: their folders are pruned by the join)."""
     rows = spark.read.text(path)
-    if cells is not None:
-        rows = rows.join(F.broadcast(cells.select("cell_x", "cell_y")), ["cell_x", "cell_y"])  # n * n rows at most
+    if cells is not None:  # small enough to prune folders with only if Spark finds it so
+        rows = rows.join(cells.select("cell_x", "cell_y").distinct(), ["cell_x", "cell_y"])
     f = F.from_json("value", "struct<properties: map<string, string>, geometry: struct<coordinates: array<double>>>")
     return rows.select("cell_x", "cell_y", f.alias("f")).select("cell_x", "cell_y", "f.properties", F.get("f.geometry.coordinates", F.lit(0)).alias("lng"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"))

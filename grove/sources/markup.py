@@ -64,6 +64,61 @@ def table_attributes(pages: DataFrame, key: str, html: str = "html") -> DataFram
     return pages.select(key, html).mapInArrow(parse, f"`{key}` {kind}, pos int, group_name string, attribute string, description string")
 
 
+#: what the tables of a page are about, in their order (fixed values)
+CATEGORIES = ["Klimabedingungen", "Bodenbedingungen", "Natürliche Verbreitung", "Habitus", "Blatt", "Blüte", "Frucht", "Gefährdung", "Beeinträchtigungen"]
+
+
+class _Grids(HTMLParser):
+    """The rows of cell texts of each table; a table inside a cell is one of its own."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables, self.open = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.tables.append([])
+            self.open.append((self.tables[-1], [False]))
+        elif self.open and tag == "tr":
+            self.open[-1][0].append([])
+            self.open[-1][1][0] = False
+        elif self.open and tag in ("td", "th") and self.open[-1][0]:
+            self.open[-1][0][-1].append("")
+            self.open[-1][1][0] = True
+
+    def handle_data(self, data):
+        if self.open and self.open[-1][1][0]:
+            self.open[-1][0][-1][-1] += data
+
+    def handle_endtag(self, tag):
+        if self.open and tag in ("td", "th"):
+            self.open[-1][1][0] = False
+        elif self.open and tag == "table":
+            self.open.pop()
+
+
+def named_tables(pages: DataFrame, key: str, source: str, html: str = "html", names: list[str] = CATEGORIES) -> DataFrame:
+    """(key, category, row, cells, source) of each row of the page's tables, which get the names in order.
+
+    Tables without a cell don't count, and tables beyond the names go; `source` is the column that says where the page is from.
+    """
+    kinds = dict(pages.dtypes)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                p = _Grids()
+                p.feed(text or "")
+                full = [rows for rows in ([r for r in t if r] for t in p.tables) if rows]
+                out += [(i, name, n, [" ".join(c.split()) for c in r]) for name, rows in zip(names, full, strict=False) for n, r in enumerate(rows)]
+            at = pa.array([o[0] for o in out], pa.int64())
+            new = [pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *new, b.column(1).take(at)], names=[key, "category", "row", "cells", "source"])
+
+    return pages.select(key, F.col(source).alias("source"), html).mapInArrow(parse, f"`{key}` {kinds[key]}, category string, row int, cells array<string>, source {kinds[source]}")
+
+
 def first_descriptions(cells: DataFrame, key: str) -> DataFrame:
     """The first description that each attribute has."""
     order = F.struct(key, "pos")

@@ -98,8 +98,49 @@ def test_values_meet_every_outcome(spark):
     assert [(r.attribute_name, r.property_ids) for r in plan["key_issues"].collect()] == [("hoehe", ["P1", "P4"])]
     assert {r.property_id: r.vocabulary for r in plan["attributes"].collect()} == {"P1": "number", "P4": "string"}
     assert {(r.line, r.code) for r in plan["identity_issues"].collect()} == {(5, "mapping_review_qid_mismatch")}
-    with pytest.raises(planner.PlanRejected, match="duplicate_attribute_key: 1"):
+    with pytest.raises(planner.PlanRejected, match="duplicate_attribute_key: hoehe, P1, P4") as told:
         planner.gate(plan)
+    assert len(str(told.value).splitlines()) == told.value.issues.count() == 4  # every issue is listed
+    wrote = {}
+    for dry in (True, False):
+        with pytest.raises(planner.PlanRejected):
+            planner.run(plan, {}, wrote.__setitem__, dry)
+    assert not wrote
+
+
+def test_one_plan_is_reported_or_carried_out(spark):
+    cfg = [(2, "P1", "String", "", "", "Höhe", ""), (3, "P4", "Quantity", "", "", "Alter", "")]
+    review = [(2, "ACER a", "P1", "v"), (3, "Acer  a", "P4", "7"), (4, "Acer a", "P1", "v")]
+    names = {"P1": "hoehe", "P4": "alter"}
+    plan = planner.build(
+        parse_config(spark.createDataFrame(cfg, CFG)),
+        spark.createDataFrame([(2, "Acer a", "Ahorn", "Q1")], MAP),
+        spark.createDataFrame([(line, b, "Ahorn", "Q1", p, names[p], v) for line, b, p, v in review], "line long, botanic string, common string, qid string, property_id string, attribute_name string, value string"),
+        spark.createDataFrame([(1, "acer a", "Ahorn"), (2, "Rosa", "Rose")], "pos long, botanic string, common string"),
+    )
+    tables = {
+        "tree_types": spark.createDataFrame([("acer a", "old", None), ("Ulmus", "Ulme", "Q9")], "name_botanic string, name string, wikidata_id string"),
+        "attributes": spark.createDataFrame([("alter", "string", "P0"), ("own", "string", None)], "name string, datatype string, wikidata_id string"),
+        "values": spark.createDataFrame([("acer a", "alter", "5"), ("acer a", "own", "x"), ("Ulmus", "alter", "8")], "name_botanic string, attribute string, value string"),
+    }
+    wrote = {}
+    keep = lambda name, rows: wrote.__setitem__(name, {tuple(r) for r in rows.collect()})
+    dry = planner.run(plan, tables, keep, dry_run=True).first().asDict()
+    assert dry.pop("dry_run") and not wrote
+    real = planner.run(plan, tables, keep).first().asDict()
+    assert not real.pop("dry_run") and dry == real == {"n_values": 2, "skipped_values": 1, "tree_types": 2, "matched": 1, "unmatched_species": 1, "unmatched_mapping": 0, "attributes": 2}
+    assert wrote == {
+        "tree_types": {("acer a", "Ahorn", "Q1"), ("Rosa", "Rose", None), ("Ulmus", "Ulme", "Q9")},
+        "attributes": {("hoehe", "string", "P1"), ("alter", "number", "P4"), ("own", "string", None)},
+        "values": {("acer a", "hoehe", "v"), ("acer a", "alter", "7"), ("acer a", "own", "x"), ("Ulmus", "alter", "8")},
+    }
+
+
+def test_all_issues_of_a_mapping_are_listed(spark):
+    rows = spark.range(2500).selectExpr("id + 2 as line", "concat('Acer ', id) as botanic", "'x' as common", "'Q0' as qid")
+    with pytest.raises(idn.MappingRejected) as told:
+        idn.build_mapping(rows)
+    assert len(str(told.value).splitlines()) == 2500
 
 
 def test_config_json_is_checked(spark):
@@ -113,7 +154,10 @@ def test_chunks_and_cache(spark):
     rows = spark.range(1234).withColumnRenamed("id", "x")
     got = {r.x: r.chunk for r in planner.chunks(rows, "x", 100).collect()}
     assert got == {i: i // 100 for i in range(1234)}
-    assert len(planner.chunk_pairs(401, 72)) == 10
+    pairs = planner.chunk_pairs(spark.range(401).toDF("t"), spark.range(72).toDF("a"), "t", "a").collect()
+    assert len(pairs) == 10 and all(len(p.type_ids) <= 100 and len(p.attribute_ids) <= 40 for p in pairs)
+    assert sorted((x, y) for p in pairs for x in p.type_ids for y in p.attribute_ids) == [(x, y) for x in range(401) for y in range(72)]
+    assert planner.chunk_pairs(spark.range(5).toDF("t"), spark.range(0).toDF("a"), "t", "a").count() == 0
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "k long")
     for mode, read, fetch in (("auto", {2}, {1}), ("skip", {2}, set()), ("force", set(), {1, 2})):
         parts = relations.split_cached(ids(1, 2), ids(2, 3, 4), ids(1, 2, 3), "k", mode)
