@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import stored
+
 EARTH_M = 6_371_000
 RADII = (0.0015, 0.005, 0.01)
 
@@ -116,14 +118,38 @@ def unloaded_cells(cells: DataFrame, loaded: DataFrame) -> DataFrame:
     return cells.join(loaded, "file_name", "left_anti")
 
 
+def quantiles(stacked: DataFrame, at: dict[str, float]) -> DataFrame:
+    """column and the exact quantiles, between two neighbouring values in proportion, of rows (column, v).
+
+    Values are counted, and the distinct ones dealt by ranges: the ranges' sums tell in which of them a rank lies, and only there
+    values are summed up one by one. No task holds more than a range.
+    """
+    spark = stacked.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = stacked.groupBy("column", "v").agg(F.count("*").alias("n"))
+    dealt = stored(counted.repartitionByRange(parts, "column", "v").withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("column", "part").agg(F.sum("n").alias("s"))  # a row for each column and range
+    own = W.partitionBy("column")
+    sums = sums.select("column", "part", "s", F.sum("s").over(own).alias("all"), F.coalesce(F.sum("s").over(own.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = lambda q: F.lit(q) * (F.col("all") - 1)
+    ranks = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), side_of(place(q)).cast("long").alias("rank"), (place(q) - F.floor(place(q))).alias("share")) for name, q in at.items() for side, side_of in (("low", F.floor), ("high", F.ceil))]
+    wanted = sums.select("column", "part", "s", "before", F.explode(F.array(*ranks)).alias("r")).filter((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("s")))
+    wanted = wanted.select("column", "part", "r.name", "r.side", "r.share", (F.col("r.rank") - F.col("before")).alias("rank"))  # two rows a quantile
+    up_to = F.sum("n").over(W.partitionBy("column", "part").orderBy("v"))
+    local = dealt.join(F.broadcast(wanted.select("column", "part").distinct()), ["column", "part"]).withColumn("to", up_to)
+    found = local.join(F.broadcast(wanted), ["column", "part"]).filter((F.col("rank") < F.col("to")) & (F.col("rank") >= F.col("to") - F.col("n")))
+    value = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v")))
+    share = lambda name: F.max(F.when(F.col("name") == name, F.col("share")))
+    return found.groupBy("column").agg(*[((1 - share(x)) * value(x, "low") + share(x) * value(x, "high")).alias(x) for x in at])
+
+
 def describe(points: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max of each column, rounded to 6 places, one row a column."""
     stacked = points.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column", "v").filter("v is not null")
     r = lambda c: F.round(c, 6)
-    return stacked.groupBy("column").agg(
-        F.count("v").alias("n"), r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("std"), r(F.min("v")).alias("least"),
-        *[r(F.percentile("v", F.lit(q))).alias(name) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], r(F.max("v")).alias("most"),
-    )
+    sums = stacked.groupBy("column").agg(F.count("v").alias("n"), r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("std"), r(F.min("v")).alias("least"), r(F.max("v")).alias("most"))
+    quartiles = quantiles(stacked, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return sums.join(quartiles, "column").select("column", "n", "mean", "std", "least", *[r(F.col(p)).alias(p) for p in ("p25", "p50", "p75")], "most")
 
 
 def species_share(rows: DataFrame, species: str = "species") -> DataFrame:

@@ -30,8 +30,11 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_the_rest_works_without_the_optional_part(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_the_rest_works_without_the_optional_part(tmp_path, gone):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+    if "corpus_pipeline.py" not in gone:
+        (tmp_path / "repo" / "grove" / "llm" / "__pycache__").mkdir(parents=True)  # what deleting sources may leave
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') or k == 'pipeline' for k in e.queries()))"], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, check=True).stdout
     assert said.split() == [str(len(catalogue.queries())), "False"]
     for path in (ROOT / "grove").rglob("*.py"):
