@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as st
+from ..sources.scratch import stored
 from .identity import first_rows
 
 #: order of the levels in reports (fixed values)
@@ -16,9 +15,10 @@ LEVELS = ["existing", "exact", "author_stripped", "normalized", "hybrid_agnostic
 
 def lookups(ref: DataFrame) -> DataFrame:
     """Reference rows by kind and key: exact names (the last row wins), normalized and hybrid-free ones (the first wins); blank ids stay in."""
-    hit = F.struct(F.col("qid"), F.col("botanic").alias("name"))
-    keyed = {"exact": (F.col("botanic"), F.max_by), "normalized": (st.normalize(F.col("botanic")), F.min_by), "no_hybrid": (st.remove_hybrid(F.col("botanic")), F.min_by)}
-    return reduce(DataFrame.unionByName, [ref.groupBy(k.alias("key")).agg(pick(hit, F.col("pos")).alias("hit")).select(F.lit(n).alias("kind"), "key", "hit") for n, (k, pick) in keyed.items()])
+    hit = F.struct(F.col("qid"), F.col("botanic").alias("name")).alias("hit")
+    kinds = [("exact", F.col("botanic"), -F.col("pos")), ("normalized", st.normalize(F.col("botanic")), F.col("pos")), ("no_hybrid", st.remove_hybrid(F.col("botanic")), F.col("pos"))]
+    keys = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key"), order.alias("order")) for kind, key, order in kinds])).alias("k")
+    return ref.select(hit, keys).groupBy("k.kind", "k.key").agg(F.min_by("hit", "k.order").alias("hit"))
 
 
 def key_of(order: int | Column, kind: str, level: str, key: Column, name: Column | None = None) -> Column:
@@ -53,10 +53,10 @@ def reconcile(ext: DataFrame, ref: DataFrame, synonyms: DataFrame, manual: DataF
     order that hits is one aggregate.
     """
     name = F.col("botanic")
-    table = lookups(ref)
+    table = stored(lookups(ref))  # read for the synonyms' targets and for the names
     by_hand = manual.groupBy(F.col("botanic").alias("key")).agg(F.max("qid").alias("q")).select(F.lit("manual").alias("kind"), "key", F.struct(F.col("q").alias("qid"), F.lit(None).cast("string").alias("name")).alias("hit"))
     everything = table.unionByName(resolved_synonyms(synonyms, table)).unionByName(by_hand)
-    names = ext.select("botanic").distinct().withColumn("bare", st.strip_authors(name))
+    names = stored(ext.select("botanic").distinct().withColumn("bare", st.strip_authors(name)))  # many keys are made of the bare name
     bare = F.col("bare")
     forms = [name, bare, st.drop_infraspecific(bare), st.strip_cultivar(name)]
     fixed = [
