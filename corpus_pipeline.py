@@ -18,11 +18,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(named: DataFrame) -> DataFrame | None:
-    """(n, row) of each row where ids repeat, stored: numbers in the order of ids, then of texts' hashes. None where no id repeats."""
+    """(n, row) of each row where ids repeat, stored: numbers in the order of ids, then of texts' hashes, then of all columns'. None where no id repeats."""
     if named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).isEmpty():
         return None
     rows = named.select(F.struct(*named.columns).alias("row"))
-    dealt = rows.repartitionByRange(width(named.sparkSession), "row.doc_id").sortWithinPartitions("row.doc_id", F.xxhash64("row.text"))
+    dealt = rows.repartitionByRange(width(named.sparkSession), "row.doc_id").sortWithinPartitions("row.doc_id", F.xxhash64("row.text"), F.xxhash64("row"))
     return stored(dealt.select(F.monotonically_increasing_id().alias("n"), "row"))
 
 

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 QUOTES = "ʽ‘’`"
 #: tokens after which an epithet follows (fixed values)
 MARKERS = ["subsp.", "ssp.", "var.", "f.", "×", "x"]
+#: what a hybrid sign, a cultivar, an aggregate, a rank with its epithet, an abbreviated genus and the two words of a binomial look like (fixed values)
+CROSS, LONE_X = r"×\s*", r"(?<=\S)\s+x\s+(?=\S)"
+CULTIVAR, AGGREGATE, VARIETY = r"\s+'.*'$", r"(?i)\s+aggregat$", r"(?i)\s+(f\.|var\.)\s+\S+"
+RANK = r"(?i)\s+(subsp\.|ssp\.|var\.|f\.)\s+\S+"
+ABBREVIATED = r"^[A-Z]\.\s*"
+GENUS, EPITHET = "^[A-Z][a-zA-ZäöüÄÖÜß]+$", "^([a-zäöüß]+|×|x)$"
 SPACE = r"\p{IsWhite_Space}"
 
 
@@ -31,18 +37,18 @@ def normalize(c: Column) -> Column:
 
 
 def remove_hybrid(c: Column) -> Column:
-    bare = F.regexp_replace(normalize(c), r"×\s*", "")
-    return trimmed(collapsed(F.regexp_replace(bare, r"(?<=\S)\s+x\s+(?=\S)", " ")))
+    bare = F.regexp_replace(normalize(c), CROSS, "")
+    return trimmed(collapsed(F.regexp_replace(bare, LONE_X, " ")))
 
 
 def strip_cultivar(c: Column) -> Column:
-    bare = F.regexp_replace(normalize_quotes(c), r"\s+'.*'$", "")
-    bare = F.regexp_replace(bare, r"(?i)\s+aggregat$", "")
-    return trimmed(F.regexp_replace(bare, r"(?i)\s+(f\.|var\.)\s+\S+", ""))
+    bare = F.regexp_replace(normalize_quotes(c), CULTIVAR, "")
+    bare = F.regexp_replace(bare, AGGREGATE, "")
+    return trimmed(F.regexp_replace(bare, VARIETY, ""))
 
 
 def drop_infraspecific(c: Column) -> Column:
-    return trimmed(F.regexp_replace(c, r"(?i)\s+(subsp\.|ssp\.|var\.|f\.)\s+\S+", ""))
+    return trimmed(F.regexp_replace(c, RANK, ""))
 
 
 def tokens(c: Column) -> Column:
@@ -88,13 +94,12 @@ def top_level_parens(c: Column) -> Column:
 
 def expand_genus(bracket: Column, genus: Column) -> Column:
     """`A. alba` with genus Abies: `Abies alba`."""
-    abbreviated = r"^[A-Z]\.\s*"
-    return F.when(bracket.rlike(abbreviated), F.concat(genus, F.lit(" "), F.regexp_replace(bracket, abbreviated, ""))).otherwise(bracket)
+    return F.when(bracket.rlike(ABBREVIATED), F.concat(genus, F.lit(" "), F.regexp_replace(bracket, ABBREVIATED, ""))).otherwise(bracket)
 
 
 def binomial_like(c: Column) -> Column:
     parts = tokens(c)
-    both = F.get(parts, F.lit(0)).rlike("^[A-Z][a-zA-ZäöüÄÖÜß]+$") & F.get(parts, F.lit(1)).rlike("^([a-zäöüß]+|×|x)$")
+    both = F.get(parts, F.lit(0)).rlike(GENUS) & F.get(parts, F.lit(1)).rlike(EPITHET)
     return F.coalesce(both, F.lit(False))
 
 
