@@ -24,30 +24,27 @@ def format_chats(df: DataFrame, target_role: str = "assistant") -> DataFrame:
     mask: loss_chars code points of `formatted` from loss_start on (counted from 1). Turns after the last target form one more
     example with loss_chars 0, so the output holds every turn. Turns are ordered by turn, then role and text (repeated rows and
     ties stay, in that order); null roles and texts are empty texts, null turns come first, a null conv_id is a conversation
-    of its own. An empty table gives none. Other columns are ignored.
+    of its own. An empty table gives none. Other columns, whatever their names, are ignored. A conversation's turns are one row, so a
+    very long one, or a very long text, is held whole by one task; each of its examples is as long as what it holds.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    parts = F.transform("turns", lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT), escape(t["text"]), F.lit(END)))
-    chats = chats.select("conv_id", "turns", parts.alias("parts"))
-    last = F.size("turns")
-    ends = F.filter(F.sequence(F.lit(1), last), lambda i: (F.element_at("turns", i)["role"] == target_role) | (i == last))
-    rows = chats.select("conv_id", "turns", "parts", F.explode(ends).alias("target"))
-    own = F.element_at("turns", F.col("target"))
+    part = lambda t: F.struct(F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("head"), escape(t["text"]).alias("said"), (t["role"] == target_role).alias("trained"))
+    parts = chats.select("conv_id", F.transform("turns", part).alias("parts"))
+    # an exploded row carries the conversation's text once, and the lengths of its parts
+    size = lambda p, i: F.struct((i + 1).alias("target"), F.char_length(p["head"]).alias("head"), F.char_length(p["said"]).alias("said"), p["trained"].alias("trained"))
+    laid = parts.select("conv_id", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["said"], F.lit(END))), "").alias("all"), F.transform("parts", size).alias("sizes"))
+    last = F.size("sizes")
+    rows = laid.select("conv_id", "all", F.transform("sizes", lambda s: s["head"] + s["said"] + len(END)).alias("chars"), F.explode(F.filter("sizes", lambda s: s["trained"] | (s["target"] == last))).alias("s"))
+    context = F.aggregate(F.slice("chars", F.lit(1), F.col("s.target") - 1), F.lit(0), lambda a, x: a + x)
+    rows = rows.select("conv_id", "all", "s", context.alias("context"))
     return rows.select(
         "conv_id",
-        "target",
-        F.array_join(F.slice("parts", F.lit(1), F.col("target") - 1), "").alias("context"),
-        F.concat(F.lit(TURN), escape(own["role"]), F.lit(TEXT)).alias("head"),
-        escape(own["text"]).alias("said"),
-        (own["role"] == target_role).alias("trained"),
-    ).select(
-        "conv_id",
-        "target",
-        F.concat("context", "head", "said", F.lit(END)).alias("formatted"),
-        (F.char_length("context") + F.char_length("head") + 1).alias("loss_start"),
-        F.when(F.col("trained"), F.char_length("said")).otherwise(0).alias("loss_chars"),
-        "trained",
+        F.col("s.target").alias("target"),
+        F.substr("all", F.lit(1), F.col("context") + F.col("s.head") + F.col("s.said") + len(END)).alias("formatted"),
+        (F.col("context") + F.col("s.head") + 1).alias("loss_start"),
+        F.when(F.col("s.trained"), F.col("s.said")).otherwise(0).alias("loss_chars"),
+        F.col("s.trained").alias("trained"),
     )
 
 
