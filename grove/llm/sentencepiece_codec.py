@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import U64, equal_bytes, mix, pieces, plus, word_hashes
 from .suffix_sort import sort_suffixes

@@ -55,7 +55,7 @@ def encoded_lengths(df: DataFrame, text: str = "text", vocabulary: str = VOCABUL
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, cut = _encoding(shared.value, pattern), pattern == PATTERN
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_length(encoding, x, cut) if x else 0 for x in b.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([_length(encoding, x.as_py() or "", cut) for x in b.column(0)], pa.int64())], names=["n_tokens"])
 
     return df.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(count, "n_tokens long")
 
