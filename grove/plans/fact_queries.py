@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars
 from ..operators import attributes as att
 from ..operators import triples as tri
 from ..sources.scratch import stored

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from grove.operators import geo
 
 
@@ -74,3 +76,15 @@ def test_all_points_are_ranked(spark):
     got = [(r.metres, r.id) for r in catalogue.queries()["geo_all_ranked"](spark, sf).collect()]
     every = [(r.metres, r.id) for r in catalogue.queries()["geo_distance_m"](spark, sf).collect()]
     assert got == sorted(every) and len(got) > 1000
+
+
+def test_quantiles_are_exact(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    for values in ([5.0], [1.0, 2.0], [rng.choice([0.0, 0.0, 0.0, 1.5, rng.random()]) for _ in range(999)], [float(rng.randrange(50)) for _ in range(400)]):
+        row = geo.describe(spark.createDataFrame([(v, v * 2) for v in values], "a double, b double"), ["a", "b"]).filter("column = 'a'").first()
+        cut = statistics.quantiles(values, n=4, method="inclusive") if len(values) > 1 else values * 3
+        assert [row.p25, row.p50, row.p75] == [pytest.approx(round(c, 6)) for c in cut] and row.n == len(values)
+    assert geo.describe(spark.createDataFrame([], "a double"), ["a"]).count() == 0

@@ -49,6 +49,43 @@ def test_geojson_contract(spark, tmp_path):
         geojson.scan_geojson(spark, str(tmp_path / "none"))
 
 
+def test_long_fields_and_many_rows(spark, tmp_path):
+    """A field may be longer than the parser's usual limit, and a file's rows come in several batches."""
+    long = "x" * 300_000 + '""' + "y" * 100
+    text = "baumart_bo,baumart_de,wikidata_id\n" + f'Acer,"{long}",Q1\n' + "".join(f"Rosa {i},Rose,Q2\n" for i in range(25_000))
+    rows = delimited.scan_mapping(spark, write(tmp_path / "long.csv", text)).orderBy("line").collect()
+    assert rows[0].baumart_de == long.replace('""', '"') and [r.line for r in rows] == list(range(2, 25_003))
+
+
+def test_coordinates_are_brought_to_degrees(spark, tmp_path):
+    """Metres of a UTM zone: the middle meridian at 45 degrees, and a well-known tower in zone 31."""
+    def collection(system, xy):
+        crs = {"crs": {"type": "name", "properties": {"name": system}}} if system else {}
+        return json.dumps(crs | {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": xy}}]})
+
+    def place(system, xy):
+        return geojson.scan_geojson(spark, write(tmp_path / "c.geojson", collection(system, xy))).first()
+
+    r = place("urn:ogc:def:crs:EPSG::25832", [500000.0, 0.9996 * 4984944.3779])
+    assert r.lng == pytest.approx(9, abs=1e-9) and r.lat == pytest.approx(45, abs=1e-8) and r.wkt == f"POINT({r.lng} {r.lat})"
+    r = place("EPSG:32631", [448251.8, 5411932.7])
+    assert r.lng == pytest.approx(2.2945, abs=2e-5) and r.lat == pytest.approx(48.8582, abs=2e-5)
+    for system in (None, "EPSG:4326", "urn:ogc:def:crs:OGC:1.3:CRS84"):
+        r = place(system, [8.5, 52.0])
+        assert (r.lng, r.lat) == (8.5, 52.0)
+    with pytest.raises(SourceError, match="unknown_crs"):
+        place("EPSG:31468", [4400000.0, 5700000.0])
+
+
+def test_named_tables(spark):
+    """Tables get names in their order; those without cells don't count, those beyond the names go."""
+    grid = "".join(f"<table><tr><th>k{i}</th><td> v <b>{i}</b></td></tr><tr></tr></table>" for i in range(11))
+    pages = spark.createDataFrame([(1, "a.html", "<table></table>" + grid), (2, "b.html", None), (3, "c.html", "<td>no table</td>"), (4, "d.html", "<table><tr><td>open")], "id long, file string, html string")
+    rows = markup.named_tables(pages, "id", "file").collect()
+    got = [(r.id, r.category, r.row, r.cells, r.source) for r in rows]
+    assert got == [(1, c, 0, [f"k{i}", f"v {i}"], "a.html") for i, c in enumerate(markup.CATEGORIES)] + [(4, markup.CATEGORIES[0], 0, ["open"], "d.html")]
+
+
 def test_turtle(spark):
     text = """@prefix wd: <http://e/> . PREFIX r: <http://r#>
 # a comment
