@@ -29,24 +29,32 @@ from .common import LOWER, NOT_WORD, U64, forget, mix, pieces, stored, texts, wo
 BLOCKS, BLOCK_BITS = 8, 8
 #: Characters of items that go to every task at once; more items are searched for in further passes.
 MOST_ITEM_CHARS = 4 << 20
-REACH = 1 << 15  # places of a text whose windows are fingerprinted at once
+REACH = 1 << 13  # places of a text whose windows are fingerprinted at once
 CELLS = 1 << 18  # shingles of windows that are laid out at once
 
 
 def simhashes(g: np.ndarray, s: np.ndarray, m: int) -> np.ndarray:
     """64-bit SimHash of each window of m shingle hashes g[s : s + m], for rising s; a shingle weighs as often as it comes.
 
-    Bits are summed along the text, so that windows that overlap share the work; REACH places at a time.
+    REACH places at a time: where windows lie close, bits are summed along the text, so that those that overlap share the work;
+    where they are few, each is summed by itself.
     """
     out = np.empty(len(s), U64)
+    pack = lambda ones: np.packbits(2 * ones > m, axis=1).view(U64).ravel()
+    bits = lambda part: np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(*part.shape, 8), axis=-1)
     x = 0
     while x < len(s):
         y = int(np.searchsorted(s, s[x] + REACH))
-        part = np.ascontiguousarray(g[s[x] : s[y - 1] + m])
-        total = np.zeros((len(part) + 1, 64), np.int32)
-        np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int32, out=total[1:])
-        at = s[x:y] - s[x]
-        out[x:y] = np.packbits(2 * (total[at + m] - total[at]) > m, axis=1).view(U64).ravel()
+        if (y - x) * m < s[y - 1] + m - s[x]:
+            for z in range(x, y, max(1, CELLS // m)):
+                at = s[z : min(y, z + max(1, CELLS // m))]
+                out[z : z + len(at)] = pack(bits(g[at[:, None] + np.arange(m)[None, :]]).sum(1, dtype=np.int32))
+        else:
+            part = g[s[x] : s[y - 1] + m]
+            total = np.zeros((len(part) + 1, 64), np.int32)
+            np.cumsum(bits(part), axis=0, dtype=np.int32, out=total[1:])
+            at = s[x:y] - s[x]
+            out[x:y] = pack(total[at + m] - total[at])
         x = y
     return out
 
