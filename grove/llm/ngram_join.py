@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc  # not part of pyarrow until it is imported
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,7 +177,7 @@ def _post(t: pa.Table, answers: pa.Table, k: int, per_100: int, buckets: int) ->
     """Step 2 of a chunk: the n-grams by which a set must meet any set it is alike to, and edges between the chunk's own sets."""
     rows: dict = {c.split()[0]: [] for c in POSTINGS.split(", ")}
     schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in list(rows)[1:]]])
-    reps, answers = answers.filter(pa.compute.is_null(answers.column("bucket"))), answers.filter(pa.compute.is_valid(answers.column("bucket")))
+    reps, answers = answers.filter(pc.is_null(answers.column("bucket"))), answers.filter(pc.is_valid(answers.column("bucket")))
     if not t.num_rows or not answers.num_rows or not reps.num_rows:
         return pa.table(rows, schema)
     ids, grams, first = _chunk(t, reps, k)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc  # not part of pyarrow until it is imported
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -278,7 +279,7 @@ def _resolve(t: pa.Table, length: int) -> pa.Table:
     expand = zstandard.ZstdDecompressor()
     chunks, blobs = [], []
     sent = [r for r in t.to_pylist() if r["kind"] == 0]
-    for r in t.filter(pa.compute.equal(t.column("kind"), 1)).to_pylist() if t.num_rows > len(sent) else ():
+    for r in t.filter(pc.equal(t.column("kind"), 1)).to_pylist() if t.num_rows > len(sent) else ():
         chunks.append(r["chunk"])
         blobs.append(r["text"])
     if sent:

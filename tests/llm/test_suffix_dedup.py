@@ -115,13 +115,14 @@ def test_hot_anchors_are_split_without_a_loss(spark, seed, monkeypatch):
     text = lambda n: " ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(n))
     rows = [(i, text(rng.randint(0, 12)) + line[rng.randint(0, 9) : rng.randint(40, len(line))] + text(rng.randint(0, 12))) for i in rng.sample(range(500), 90)]
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def join(often):  # the steps by themselves, so that the bound of chunks can be set
         monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", often)
         chunk = lambda c: pa.table({"__id": pa.array([r[0] for r in rows if r[0] % 6 == c]), "__text": [r[1] for r in rows if r[0] % 6 == c], "__chunk": pa.array([c] * sum(r[0] % 6 == c for r in rows), pa.int32())})
         tables = [chunk(c) for c in range(6)]
         named = pa.concat_tables([suffix_dedup._names(t, 50, 3) for t in tables])
-        by = lambda t, c, v: t.filter(pa.compute.equal(t.column(c), v))
+        by = lambda t, c, v: t.filter(pc.equal(t.column(c), v))
         told = pa.concat_tables([suffix_dedup._repeated(by(named, "bucket", b)) for b in range(3)])
         sent = pa.concat_tables([suffix_dedup._send(t, by(told, "chunk", c), 50, 3) for c, t in enumerate(tables)])
         spans = pa.concat_tables([suffix_dedup._resolve(by(sent, "bucket", b), 50) for b in range(3)])
