@@ -106,3 +106,41 @@ b AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared DESC, s) AS k FROM m WHERE 100 * shared >= 80 * (2 * (n - 4) - shared))
 SELECT doc_id, item_id, s AS first_word, n AS n_words, CAST(shared AS DOUBLE) / CAST(2 * (n - 4) - shared AS DOUBLE) AS similarity FROM b WHERE k = 1
 """
+
+ORACLE["op11_merkle_manifest"] = """
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents),
+f AS (
+  SELECT *, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text, lowered], lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')) AS v FROM d),
+l AS (
+  SELECT doc_id, source, sha256(array_to_string(v[:5], '')) AS leaf, CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(array_to_string(v[:4], '') || v[6]) END AS tampered FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+t AS (
+  SELECT source, 0 AS h, i, leaf AS d FROM p
+  UNION ALL SELECT source, h + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY source) AS c FROM t) WHERE c > 1 GROUP BY source, h, i // 16),
+o AS (SELECT source, d AS subroot FROM t QUALIFY row_number() OVER (PARTITION BY source ORDER BY h DESC) = 1),
+s AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM o),
+u AS (
+  SELECT 0 AS h, i, subroot AS d FROM s
+  UNION ALL SELECT h + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY h, i // 16),
+a AS (
+  SELECT p.doc_id, p.source, t.h, coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (t.i < p.i >> (4 * t.h)), '') AS before, coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (t.i > p.i >> (4 * t.h)), '') AS after
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source AND t.i >> 4 = p.i >> (4 * t.h + 4) GROUP BY p.doc_id, p.source, t.h
+  UNION ALL
+  SELECT p.doc_id, p.source, 100 + u.h, coalesce(string_agg(u.d, '' ORDER BY u.i) FILTER (u.i < s.i >> (4 * u.h)), ''), coalesce(string_agg(u.d, '' ORDER BY u.i) FILTER (u.i > s.i >> (4 * u.h)), '')
+  FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN u ON u.i >> 4 = s.i >> (4 * u.h + 4) GROUP BY p.doc_id, p.source, u.h),
+top AS (SELECT source, max(h) AS h FROM t GROUP BY source),
+q AS (
+  SELECT a.*, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.h) AS k FROM a JOIN top ON a.source IS NOT DISTINCT FROM top.source
+  WHERE a.h < top.h OR a.h >= 100 AND a.h < 100 + (SELECT max(h) FROM u)),
+z AS (
+  SELECT doc_id, 0 AS k, coalesce(tampered, leaf) AS d FROM p
+  UNION ALL SELECT z.doc_id, z.k + 1, sha256(q.before || z.d || q.after) FROM z JOIN q ON q.doc_id = z.doc_id AND q.k = z.k + 1),
+e AS (SELECT doc_id, d AS folded_root FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+g AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY k)) AS proof FROM q GROUP BY doc_id),
+r AS (SELECT d AS root FROM u ORDER BY h DESC LIMIT 1)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(g.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
+FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN e USING (doc_id) LEFT JOIN g USING (doc_id), r
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, ngram_join, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
+from . import chat_format, decontaminate, merkle, ngram_join, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 from .common import read
 
 #: The verdicts and rules that the url query holds (fixed values).
@@ -78,4 +78,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_ngram_join, op5_chat_formatting, op6_token_counts, op7_topk_search, op8_suffix_dedup, op9_sentencepiece, op10_url_filters)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = lambda text: merkle.row_digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.manifest(docs, "doc_id", "source", fields(F.col("text")), F.when(hit, fields(lowered)))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_ngram_join, op5_chat_formatting, op6_token_counts, op7_topk_search, op8_suffix_dedup, op9_sentencepiece, op10_url_filters, op11_merkle_manifest)}
