@@ -144,3 +144,27 @@ r AS (SELECT d AS root FROM u ORDER BY h DESC LIMIT 1)
 SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(g.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
 FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN e USING (doc_id) LEFT JOIN g USING (doc_id), r
 """
+
+ORACLE["op13_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (
+  SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(coalesce(c.n, 0) + 2 AS HUGEINT) * 1000000000 // CAST(coalesce(t.n, 0) + 2 * v.v AS HUGEINT) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (
+  SELECT lang, term, 1 + CAST(l.n + 2 AS HUGEINT) * 1000000000 // CAST(m.n + 2 * v.v AS HUGEINT) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) AS l JOIN (SELECT lang, sum(n) AS n FROM c GROUP BY lang) AS m USING (lang) JOIN v USING (lang)),
+e AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(e.value, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN e ON e.lang = a.lang AND e.source = a.source AND e.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
