@@ -27,6 +27,21 @@ def plus(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(ddl).fields])
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(names: list[str]) -> Column:
+    """The columns `names` as one struct `row`, so that none can clash with what an operator adds, nor its name matter."""
+    return F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)).alias(c) for c in names]).alias("row")
+
+
+def unboxed(names: list[str], own: dict[str, Column]) -> list[Column]:
+    """The columns `names` again, from the struct `row` or as `own` has them."""
+    return [(own[c] if c in own else F.col("row." + quoted(c))).alias(c) for c in names]
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

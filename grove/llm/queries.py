@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, divergence, merkle, ngram_join, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
+from . import chat_format, decontaminate, divergence, language_id, merkle, ngram_join, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 from .common import read
 
 #: The verdicts and rules that the url query holds (fixed values).
@@ -86,8 +86,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, "doc_id", "source", fields(F.col("text")), F.when(hit, fields(lowered)))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.train_languages(docs.filter(~held_out))
+    return language_id.predict_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_ngram_join, op5_chat_formatting, op6_token_counts, op7_topk_search, op8_suffix_dedup, op9_sentencepiece, op10_url_filters, op11_merkle_manifest, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_ngram_join, op5_chat_formatting, op6_token_counts, op7_topk_search, op8_suffix_dedup, op9_sentencepiece, op10_url_filters, op11_merkle_manifest, op12_language_id, op13_source_divergence)}
