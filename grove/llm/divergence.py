@@ -24,7 +24,7 @@ from .common import forget, spread, stored, width
 SLICE_BYTES = 8 << 20
 FLUSH_ROWS = 1 << 20
 SHARD_BYTES = 512 << 20  # of text for each cell of terms, where the session has no more partitions anyway
-KEPT_ROWS = 1 << 20  # rows of kept counts for each cell of the second step
+KEPT_ROWS = 1 << 17  # rows of kept counts for each cell of the second step; more where languages have more pairs of sources
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 BILLION = 1_000_000_000
 
@@ -108,14 +108,14 @@ SHARE = f"""
 CREATE TABLE g AS SELECT source, {_P.format(n="0", total="total", v="v")} AS zero, total, v, lang_total FROM sizes;
 CREATE TABLE c AS SELECT term, source, n, {_P.format(n="n", total="total", v="v")} AS p FROM shard JOIN g USING (source);
 """
-#: x: terms that a has, beside all other sources; y: those that only a has, so that they are no term of (b, a) in x
+#: Each pair once, as both its sources have the same sum. x: terms that a has, beside all other sources; y: those that only a has, so that they are no term of (b, a) in x
 PAIRS = f"""
 WITH x AS (
   SELECT a.source AS a, b.source AS b, sum({_F.format(p="a.p", q="coalesce(c.p, b.zero)")}) AS f,
          sum({_F.format(p="a.p", q="b.zero")}) FILTER (c.p IS NULL) AS y, count(*) AS n, count(*) FILTER (c.p IS NULL) AS m
   FROM c AS a JOIN g AS b ON a.source <> b.source LEFT JOIN c ON c.term = a.term AND c.source = b.source GROUP BY ALL),
 k AS (SELECT count(DISTINCT term) AS terms FROM c),
-p AS (SELECT a.source AS a, b.source AS b, {_F.format(p="a.zero", q="b.zero")} AS zero FROM g AS a JOIN g AS b ON a.source <> b.source)
+p AS (SELECT a.source AS a, b.source AS b, {_F.format(p="a.zero", q="b.zero")} AS zero FROM g AS a JOIN g AS b ON a.source < b.source)
 SELECT p.a, p.b, CAST(coalesce(x.f, 0) + coalesce(z.y, 0) + (k.terms - coalesce(x.n, 0) - coalesce(z.m, 0)) * p.zero AS BIGINT) AS value
 FROM p LEFT JOIN x ON x.a = p.a AND x.b = p.b LEFT JOIN x AS z ON z.a = p.b AND z.b = p.a, k
 """
@@ -128,7 +128,7 @@ PARTIAL = "lang string, source string, part string, item string, value long"
 
 
 def compare_sources(shard: pa.Table, sizes: pa.Table, top: int) -> pa.Table:
-    """Step 3 of a shard: its share of each pair's sum, and its best terms of each source."""
+    """Step 3 of a shard: its share of the sum of each pair (of the smaller source and the greater), and its best terms of each source."""
     if not shard.num_rows:
         return pa.table({c: pa.array([], pa.int64() if c == "value" else pa.string()) for c in ("lang", "source", "part", "item", "value")})
     con = connect()
@@ -172,15 +172,18 @@ def audit_sources(docs: DataFrame, lang: str = "lang", source: str = "source", t
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum(F.col("head").cast("long")).alias("heads"))
     of_lang = totals.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("heads").alias("v"))
     sizes = stored(occurring.join(totals.drop("heads"), ["lang", "source"], "left").join(of_lang, "lang").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "v", "lang_total"))
-    cells = max(1, min(cells, max(width(spark), -(-kept.count() // KEPT_ROWS))))
+    # so many cells that all their sums of pairs are no more rows than the counts
+    n_pairs = occurring.groupBy("lang").agg(F.count("*").alias("s")).agg(F.sum(F.col("s") * (F.col("s") - 1) / 2)).first()[0] or 0
+    cells = max(1, -(-kept.count() // max(KEPT_ROWS, int(n_pairs))))
     own = kept.withColumn("cell", _cell(F.col("term"), cells)).repartition(cells, "cell").select("cell", "lang", "source", "term", "n")
     # each shard gets its language's sizes: as many rows as it makes sums for each source
     places = kept.select(_cell(F.col("term"), cells).alias("at"), F.col("lang").alias("of")).distinct()
     everywhere = sizes.join(places, F.col("lang") == F.col("of"))
     partial = stored(own.groupBy("cell", "lang").cogroup(everywhere.groupBy("at", "of")).applyInArrow(lambda t, s: compare_sources(t, s, top), PARTIAL))
     sums = partial.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    both = sums.select("lang", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("p"), "value").select("lang", "p.*", "value")
     others = occurring.select("lang", F.col("source").alias("item"))
-    pairs = occurring.join(others, "lang").filter("source <> item").join(sums, ["lang", "source", "item"], "left")
+    pairs = occurring.join(others, "lang").filter("source <> item").join(both, ["lang", "source", "item"], "left")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = partial.filter("part = 'term'").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
