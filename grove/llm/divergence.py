@@ -73,13 +73,13 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = 0
     for part in slices(batches):
         con.register("slice", part)
-        rows += con.execute(COUNT).fetchone()[0]
+        rows += con.execute(COUNT).fetchall()[0][0]
         con.unregister("slice")
         if rows > 2 * FLUSH_ROWS:
             con.execute(f"CREATE TABLE added AS {ADDED}")
             con.execute("DROP TABLE counts")
             con.execute("ALTER TABLE added RENAME TO counts")
-            rows = con.execute("SELECT count(*) FROM counts").fetchone()[0]
+            rows = con.execute("SELECT count(*) FROM counts").fetchall()[0][0]
             if rows > FLUSH_ROWS:
                 yield from con.sql("FROM counts").to_arrow_table().to_batches(1 << 16)
                 con.execute(make)
