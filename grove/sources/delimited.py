@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import csv_field, trimmed
+from . import ranges
 
 MAPPING = ["baumart_bo", "baumart_de", "wikidata_id"]  # header of a mapping file (fixed values)
 REVIEW = ["wikidata_id", "baumart_bo", "baumart_de", "property_id", "attribute_name", "value", "group"]  # of a review file (fixed values)
@@ -26,38 +30,195 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: a quoted field from within, up to the quote that closes it
+_CLOSE = re.compile(r'[^"]*+(?:""[^"]*+)*+"')
+
+
+def after(line: str, sep: str, quoted: bool) -> tuple[bool, int]:
+    """Whether a quoted field is open where a line ends, and how many rows (blank ones aside) end in it; quoted: one is open where it begins."""
+    line = line.removesuffix("\r")
+    if '"' not in line and "\r" not in line:
+        return quoted, int(not quoted and line != "")
+    ended, begin, some, at = 0, 0, quoted, 0
+    mark = re.compile(re.escape(sep) + '"|\r')
+    if not quoted and line.startswith('"'):
+        quoted, at = True, 1
+    while True:
+        if quoted:
+            closed = _CLOSE.match(line, at)
+            if closed is None:
+                return True, ended
+            at, some = closed.end(), True
+        found = mark.search(line, at)
+        if found is None:
+            return False, ended + int(some or len(line) > begin)
+        at, quoted = found.end(), found[0] != "\r"
+        if not quoted:  # a carriage return of its own ends a row as well
+            ended += int(some or found.start() > begin)
+            begin, some = at, False
+            if line.startswith('"', at):
+                quoted, at = True, at + 1
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a range stands in its file: whether a quoted field is open at its beginning and at its end, the rows that ended before, and the range
+    in which the lines that hold the open field began."""
+
+    quoted: bool = False
+    open: bool = False
+    before: int = 0
+    owner: int = 0
+
+
+def _first(start: int, lines: Iterator[str]) -> Iterator[str]:
+    """The lines of a range, without the byte order mark of a file."""
+    for i, line in enumerate(lines):
+        yield line.removeprefix("\ufeff") if i == 0 and start == 0 else line
+
+
+def _effects(batches: Iterator[pa.RecordBatch], sep: str) -> Iterator[pa.RecordBatch]:
+    """First pass: whether a range ends in quotes and how many rows end in it, for either state it may begin in; and whether any
+    line ends out of quotes if it begins in them."""
+    for (path, start), lines in ranges.by_range(batches):
+        ends, rows, closed = [False, True], [0, 0], False
+        for line in _first(start, lines):
+            if ends[0] == ends[1]:
+                quoted, n = after(line, sep, ends[0])
+                ends, rows = [quoted, quoted], [rows[0] + n, rows[1] + n]
+            else:
+                for k in (0, 1):
+                    ends[k], n = after(line, sep, ends[k])
+                    rows[k] += n
+            closed |= not ends[1]
+        yield pa.RecordBatch.from_pylist([{"path": path, "start": start, "end0": ends[0], "end1": ends[1], "n0": rows[0], "n1": rows[1], "closed": closed}])
+
+
+def _places(pieces: DataFrame, sep: str) -> dict[ranges.Key, Place]:
+    """What comes before each range, composed along each file."""
+    told = pieces.mapInArrow(lambda batches: _effects(batches, sep), "path string, start long, end0 boolean, end1 boolean, n0 long, n1 long, closed boolean").toArrow().to_pylist()
+    out: dict[ranges.Key, Place] = {}
+    for path, own in groupby(sorted(told, key=lambda r: (r["path"], r["start"])), lambda r: r["path"]):
+        quoted, before, owner = False, 0, 0
+        for r in own:
+            end, n = (r["end1"], r["n1"]) if quoted else (r["end0"], r["n0"])
+            out[path, r["start"]] = Place(quoted, end, before, owner)
+            if not quoted or r["closed"]:  # what is open at the end began here
+                owner = r["start"]
+            quoted, before = end, before + n
+    return out
+
+
+def _split(lines: Iterator[str], sep: str, place: Place) -> Iterator[tuple[str, list[str], int]]:
+    """The lines of a range: (`head`, those of a row that began before), (`rows`, lines of whole rows) one row at a time, (`tail`, of a row that
+    is open at its end). The number is that of the rows that ended before."""
+    quoted, held, before, ended = place.quoted, [], place.before, 0
+    kind = "head" if quoted else "rows"
+    for line in lines:
+        held.append(line)
+        quoted, n = after(line, sep, quoted)
+        ended += n
+        if not quoted:
+            yield kind, held, before
+            kind, held, before = "rows", [], place.before + ended
+    if held:
+        yield ("head" if kind == "head" else "tail"), held, before
+
+
+ROWS = "line long, f array<string>"
+
+
+@dataclass(frozen=True)
+class Contract:
+    """What a delimited file has to hold."""
+
+    columns: tuple[str, ...]
+    sep: str
+    header: bool
+    ragged: bool
+
+    def rows(self, name: str, lines: Iterator[str], before: int) -> Iterator[pa.RecordBatch]:
+        """Fields of the rows in some lines, with their numbers, some thousand at a time."""
+        n, line, fields = len(self.columns), [], []
+        schema = pa.schema([("line", pa.int64()), ("f", pa.list_(pa.string()))])
+        csv.field_size_limit(1 << 62)  # a field may be as long as its file
+        for i, r in enumerate((r for r in csv.reader(lines, delimiter=self.sep) if r), before + 1):
+            if self.header and i == 1:
+                if r != list(self.columns):
+                    raise SourceError(f"invalid_header: {name}: {r}")
+                continue
+            if len(r) < n and not self.ragged:
+                raise SourceError(f"invalid_row_format: {name}, line {i}")
+            line.append(i)
+            fields.append((r + [""] * n)[:n])
+            if len(line) == 10_000:
+                yield pa.record_batch([line, fields], schema=schema)
+                line, fields = [], []
+        if line:
+            yield pa.record_batch([line, fields], schema=schema)
+
+
+def _text(lines: list[str], last: bool = False) -> Iterator[str]:
+    """Lines as the parser wants them: with their breaks, those inside a line kept apart. last: a field that the file's end leaves open
+    ends without a break."""
+    if last or any("\r" in x for x in lines):
+        return iter(io.StringIO("\n".join(lines) + ("" if last else "\n"), newline=""))
+    return (x + "\n" for x in lines)
+
+
 def scan(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = True, ragged: bool = False, untrimmed: tuple[str, ...] = ()) -> DataFrame:
     """The rows of the file(s) at path with `line`, the ordinal of the row in its file (the header is 1, the first row 2).
 
     The header must be `columns` exactly; a row needs at least as many fields, unless ragged, where missing ones are empty.
-    Blank lines are skipped. Files are parsed whole, one task a file, since quoted fields may hold line breaks; many files run side
-    by side. Fields are trimmed of Unicode white space but for those in untrimmed. A byte order mark is dropped.
+    Blank lines are skipped. Fields are trimmed of Unicode white space but for those in untrimmed. A byte order mark is dropped.
+
+    A file is read by ranges of its bytes, as many tasks as Spark makes of it, although quoted fields may hold line breaks: a first pass (left out for
+    small files) tells of each range whether it ends in quotes, and how many rows end in it, for both states it may begin in. A row that crosses into
+    further ranges is put together from its parts. A field may be as long as its file; a task holds one row's text at a time. Of a field that the end of
+    its file leaves open, a last line break is not kept.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    n = len(columns)
+    pieces = ranges.scan_pieces(spark, path)
+    contract = Contract(tuple(columns), sep, header, ragged)
+    places = {} if ranges.whole_files(spark, path) else _places(pieces, sep)
+    shared = spark.sparkContext.broadcast(places)  # one small row a range
+    crossing = any(p.quoted or p.open for p in places.values())
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                csv.field_size_limit(max(csv.field_size_limit(), len(text or "")))  # a field may be as long as its file
-                rows = csv.reader(io.StringIO((text or "").removeprefix("﻿"), newline=""), delimiter=sep)
-                line, fields, first = [], [], True
-                for i, r in enumerate((r for r in rows if r), 1):
-                    if header and first:
-                        first = False
-                        if r != columns:
-                            raise SourceError(f"invalid_header: {name}: {r}")
-                        continue
-                    if len(r) < n and not ragged:
-                        raise SourceError(f"invalid_row_format: {name}, line {i}")
-                    line.append(i)
-                    fields.append((r + [""] * n)[:n])
-                    if len(line) == 10_000:  # some rows at a time: the file's text is held whole, its rows are not
-                        yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(fields, pa.list_(pa.string()))], names=["line", "f"])
-                        line, fields = [], []
-                yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(fields, pa.list_(pa.string()))], names=["line", "f"])
-
-    rows = files.mapInArrow(parse, "line long, f array<string>")
+        for (name, start), lines in ranges.by_range(batches):
+            place = shared.value.get((name, start), Place())
+            begun: list[int] = []
+
+            def own(lines: Iterator[str], place: Place, begun: list[int], name: str = name, start: int = start) -> Iterator[str]:
+                for kind, held, before in _split(_first(start, lines), sep, place):
+                    if kind == "rows" or kind == "tail" and not shared.value:
+                        begun[:] = begun or [before]
+                        yield from _text(held, kind == "tail")
+
+            texts = own(lines, place, begun)
+            first = next(texts, None)
+            if first is not None:
+                yield from contract.rows(name, chain([first], texts), begun[0])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Second pass: the parts of rows that cross ranges, to the range they began in."""
+        for (name, start), lines in ranges.by_range(batches):
+            place = shared.value[name, start]
+            if place.quoted or place.open:
+                for kind, held, before in _split(_first(start, lines), sep, place):
+                    if kind != "rows":
+                        owner = place.owner if kind == "head" else start
+                        yield pa.RecordBatch.from_pylist([{"path": name, "owner": owner, "start": start, "before": before, "text": "\n".join(held)}])
+
+    def join(t: pa.Table) -> pa.Table:
+        t = t.sort_by("start")
+        lines = "\n".join(t.column("text").to_pylist()).split("\n")
+        open_still = after("\n".join(lines), sep, False)[0]
+        batches = list(contract.rows(t.column("path")[0].as_py(), _text(lines, open_still), t.column("before")[0].as_py()))
+        return pa.Table.from_batches(batches, pa.schema([("line", pa.int64()), ("f", pa.list_(pa.string()))]))
+
+    rows = pieces.mapInArrow(parse, ROWS)
+    if crossing:
+        rows = rows.unionByName(pieces.mapInArrow(parts, "path string, owner long, start long, before long, text string").groupBy("path", "owner").applyInArrow(join, ROWS))
     cell = lambda i, c: F.get("f", F.lit(i)) if c in untrimmed else trimmed(F.get("f", F.lit(i)))
     return rows.select("line", *[cell(i, c).alias(c) for i, c in enumerate(columns)])
 
