@@ -7,6 +7,7 @@ import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain, groupby
 
 import pyarrow as pa
@@ -34,13 +35,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 _CLOSE = re.compile(r'[^"]*+(?:""[^"]*+)*+"')
 
 
+@cache
+def _mark(sep: str) -> re.Pattern[str]:
+    """Where a quoted field begins after another field, or a row ends within a line."""
+    return re.compile(re.escape(sep) + '"|\r')
+
+
 def after(line: str, sep: str, quoted: bool) -> tuple[bool, int]:
     """Whether a quoted field is open where a line ends, and how many rows (blank ones aside) end in it; quoted: one is open where it begins."""
     line = line.removesuffix("\r")
     if '"' not in line and "\r" not in line:
         return quoted, int(not quoted and line != "")
     ended, begin, some, at = 0, 0, quoted, 0
-    mark = re.compile(re.escape(sep) + '"|\r')
+    mark = _mark(sep)
     if not quoted and line.startswith('"'):
         quoted, at = True, 1
     while True:
