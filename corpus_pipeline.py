@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm import decontaminate, ngram_join, sentencepiece_codec, suffix_dedup, toxicity
-from grove.llm.common import forget, read, stored, width
+from grove.llm.common import boxed, forget, quoted, read, stored, unboxed, width
 from grove.llm.queries import REJECT
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of any toxic grade is under REJECT; the model is fitted on labels of documents that are left."""
     model = toxicity.train_toxicity(docs, read(spark, sf_dir, "labels"))
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # so that no column of docs can clash
-    return toxicity.score_toxicity(rows, model).filter(F.col("p_toxic") < REJECT).select("row.*")
+    rows = docs.select("text", boxed([c for c in docs.columns if c != "text"]))  # so that no column of docs can clash
+    return toxicity.score_toxicity(rows, model).filter(F.col("p_toxic") < REJECT).select(*unboxed(docs.columns, {"text": F.col("text")}))
 
 
 def _numbered(named: DataFrame) -> DataFrame | None:
     """(n, row) of each row where ids repeat, stored: numbers in the order of ids, then of texts' hashes, then of all columns'. None where no id repeats."""
     if named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).isEmpty():
         return None
-    rows = named.select(F.struct(*named.columns).alias("row"))
-    dealt = rows.repartitionByRange(width(named.sparkSession), "row.doc_id").sortWithinPartitions("row.doc_id", F.xxhash64("row.text"), F.xxhash64("row"))
+    rows = named.select(F.struct(*[F.col(quoted(c)).alias(c) for c in named.columns]).alias("row"))
+    told = [f"row.{quoted(c)}" for c in named.columns if not any(x in named.schema[c].dataType.simpleString() for x in ("map<", "variant"))]  # Spark hashes no maps
+    dealt = rows.repartitionByRange(width(named.sparkSession), "row.doc_id").sortWithinPartitions("row.doc_id", F.xxhash64("row.text"), F.xxhash64(*told))
     return stored(dealt.select(F.monotonically_increasing_id().alias("n"), "row"))
 
 
@@ -53,16 +54,16 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows that share an id are documents of their own, in the order of their texts' hashes.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").alias("n"), "doc_id", "text", F.struct(*rest).alias("row"))
+    rows = docs.select(F.col("doc_id").alias("n"), "doc_id", "text", boxed(rest))
     numbered = _numbered(docs.filter("doc_id is not null"))
     if numbered is not None:  # spans are found by id and place, so each row needs an id of its own
-        own_ids = numbered.select("n", "row.doc_id", "row.text", F.struct(*[F.col(f"row.`{c}`").alias(c) for c in rest]).alias("row"))
+        own_ids = numbered.select("n", "row.doc_id", "row.text", F.struct(F.lit(0).alias("_"), *[F.col(f"row.{quoted(c)}").alias(c) for c in rest]).alias("row"))
         rows = own_ids.unionByName(rows.filter("doc_id is null"))
     cut = suffix_dedup.remove_repeats(rows, doc_id="n", length=50, whole_characters=True)
     cut = cut.filter((F.octet_length("kept") > 0) | (F.size("spans") == 0))
     text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
     own = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.char_length(text).cast("long")}
-    return cut.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return cut.select(*[own.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

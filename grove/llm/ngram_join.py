@@ -32,6 +32,7 @@ SLICE = 4096  # texts whose n-grams are made at once
 LEAF, FAN = 32, 8
 SUB = 96  # members of a sub-block of a large group, which has 32 sub-blocks or, if these held more bytes of sets, sub-blocks of BLOCK_BYTES
 BLOCK_BYTES = 16 << 20
+SIDE = 31  # bits of a sub-block's number in the number of a pair
 TASK_BYTES = 4 << 20  # of sets of small groups that share a task
 
 
@@ -354,7 +355,7 @@ def _join_block(t: pa.Table, per_100: int) -> pa.Table:
     a, b, n = [], [], []
     for x, y in zip(edge, np.r_[edge[1:], len(by)], strict=True):
         rows = by[x:y]
-        cross = (part[rows[0]] >> 20) != (part[rows[0]] & ((1 << 20) - 1))
+        cross = (part[rows[0]] >> SIDE) != (part[rows[0]] & ((1 << SIDE) - 1))
         found, degree = link([grams[first[r] : first[r + 1]] for r in rows], side[rows], bool(cross), copies[rows], per_100)
         some = np.flatnonzero(degree)
         a += [int(ids[rows[i]]) for i, _ in found] + ids[rows[some]].tolist()
@@ -408,7 +409,7 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         "comp",
         "copies",
         "grams",
-        (F.col("p.i") * F.lit(1 << 20) + F.col("p.j")).alias("part"),
+        (F.shiftleft(F.col("p.i").cast("long"), SIDE) + F.col("p.j")).alias("part"),
         ((F.col("own") == F.col("p.j")) & (F.col("p.i") < F.col("p.j"))).cast("int").alias("side"),
         F.when(F.col("q") > 1, F.xxhash64("comp", "p.i", "p.j")).otherwise(spread(F.pmod(F.xxhash64("comp"), F.lit(tasks)))).alias("task"),
     )

@@ -59,8 +59,9 @@ def write_shards(df: DataFrame, key: str, size: Column, limit: int, path: str) -
     named = shards.groupBy(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("__key")).agg(F.first("shard_id").alias("__shard"), F.first("shard_bytes").alias("__bytes"))
     names = [c for c in df.columns if c != "shard_id"]
     rows = df.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    told = ["__key", *[f"__row.`{c}`" for c in names if not any(x in df.schema[c].dataType.simpleString() for x in ("map<", "variant"))]]  # Spark hashes no maps
     tasks = F.greatest(F.lit(1), F.ceil(F.col("__bytes") / limit))
-    dealt = rows.join(named, "__key").withColumn("__task", F.pmod(F.xxhash64("__row"), tasks)).repartition("__shard", "__task")
+    dealt = rows.join(named, "__key").withColumn("__task", F.pmod(F.xxhash64(*told), tasks)).repartition("__shard", "__task")
     out = dealt.select(*[F.col(f"__row.`{c}`").alias(c) for c in names], F.col("__shard").alias("shard_id"))
     out.write.partitionBy("shard_id").parquet(path)
     return shards.groupBy("shard_id", "depth", "shard_bytes", "oversized").agg(F.count("*").alias("n_rows"))

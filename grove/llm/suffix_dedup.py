@@ -19,8 +19,9 @@ import pyarrow.compute as pc  # not part of pyarrow until it is imported
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BACK, BASE, BYTE, U64, equal_bytes, mix, plus, powers, spread, texts, width, word_hashes
+from .common import BACK, BASE, BYTE, U64, boxed, equal_bytes, mix, plus, powers, quoted, spread, texts, unboxed, width, word_hashes
 from .suffix_sort import equal_runs
 
 KGRAM = 26
@@ -28,6 +29,7 @@ STEP = 1 << 18
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 24 << 20
 BLOCK_WINDOWS = 1 << 18
+MOST_LENGTH = 1000  # of the strings that are compared; a block's sort holds that many bytes a window
 HOT_CHUNKS = 32  # an anchor that stands in so many chunks is split by the bytes around it
 SPAN = "array<struct<start:long,end:long>>"
 
@@ -288,7 +290,7 @@ def _resolve(t: pa.Table, length: int) -> pa.Table:
         text = np.frombuffer(b"".join(expand.decompress(r["text"]) for r in sent), np.uint8)
         chunk = np.repeat([r["chunk"] for r in sent], [len(k) for k in keys])
         keys, doc, row, low, n, lead = (np.concatenate(v) for v in (keys, doc, row, low, n, lead))
-        row, low, n = (v.astype(np.int64) for v in (row, low, n))
+        row, low, n, lead = (v.astype(np.int64) for v in (row, low, n, lead))
         piece, a, b = copied_windows(text, np.cumsum(n) - n, n, lead, keys, doc, length)
         by = np.lexsort((low[piece] + a, row[piece], chunk[piece]))
         piece, a, b = piece[by], a[by], b[by]
@@ -358,23 +360,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null). Rows with the same id are parts of one document for each other, so they remove nothing from each other, and each loses what
     documents with smaller ids hold, whether their texts are equal or not. Very long texts are read whole, as a chunk of their own size, in
     one task: some 40 bytes of memory a byte of text. Rows without an id take no part and stay whole. An empty table gives an
-    empty table. Columns named spans or kept are replaced. With whole_characters, a character that a span holds in part stays,
+    empty table. A length over MOST_LENGTH is an error. Columns named spans or kept are replaced. With whole_characters, a character that a span holds in part stays,
     so that kept is UTF-8 again.
     """
+    if not 1 <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be 1 to {MOST_LENGTH}")
     spark = docs.sparkSession
     docs = docs.drop("spans", "kept")
     names = docs.columns
-    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(F.col(quoted(text)).cast("string")))).first()[0] or 0
     parts, n_chunks, buckets = sizes(spark, total)
-    own = F.col(f"`{doc_id}`").cast("long")
-    dealt = docs.select("*", own.alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"), spread(F.pmod(F.xxhash64(own), F.lit(n_chunks))).alias("__chunk"))
-    dealt = dealt.repartition(parts, "__chunk")
-    slim = dealt
+    own = F.col(quoted(doc_id)).cast("long")
+    # the text travels once, the other columns as one struct, whatever their names
+    apart = {text: F.col("__text")} if docs.schema[text].dataType == T.StringType() else {}
+    dealt = docs.select(boxed([c for c in names if c not in apart]), own.alias("__id"), F.col(quoted(text)).cast("string").alias("__text"), spread(F.pmod(F.xxhash64(own), F.lit(n_chunks))).alias("__chunk"))
+    slim = dealt.repartition(parts, "__chunk")
     named = slim.groupBy("__chunk").applyInArrow(lambda t: _names(t, length, buckets), "bucket int, chunk int, one int, keys binary")
     to_bucket = lambda df: df.withColumn("place", spread(F.col("bucket"))).groupBy("place")  # noqa: E731, so many buckets in each task
     repeated = to_bucket(named).applyInArrow(_repeated, "chunk int, bucket int, keys binary, hot binary")
     sent = slim.groupBy("__chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(lambda t, a: _send(t, a, length, buckets), PIECES)
     spans = to_bucket(sent).applyInArrow(lambda t: _resolve(t, length), "chunk int, spans binary")
-    schema = plus(docs, f"spans {SPAN}, kept binary")
+    schema = plus(dealt.select("row", "__text"), f"spans {SPAN}, kept binary")
     arrow = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-    return slim.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names, arrow, whole_characters), schema)
+    out = slim.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, ["row", "__text"], arrow, whole_characters), schema)
+    return out.select(*unboxed(names, apart), "spans", "kept")

@@ -19,11 +19,11 @@ SHIFT = np.array([[next(k for k in range(V) if _in[(a + k) % V] and _in[(b + k)
 
 
 class Words:
-    """Big-endian 8-byte words at any position of a text, which is padded with zeros."""
+    """Big-endian 8-byte words at any position of a text, which is padded with zeros for depths of up to 1,000 bytes."""
 
     def __init__(self, text: np.ndarray):
         self.n = len(text)
-        self.buffer = np.concatenate([text, np.zeros(2 * V + 128, np.uint8)])
+        self.buffer = np.concatenate([text, np.zeros(2 * V + 1024, np.uint8)])
         self.view = np.ndarray((len(self.buffer) - 7,), ">u8", self.buffer, strides=(1,))
 
     def at(self, pos: np.ndarray, depth: int) -> list[np.ndarray]:

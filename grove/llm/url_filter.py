@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus
+from .common import boxed, plus, quoted, unboxed
 
 #: Rules whose trie would hold more bytes than this are joined to the urls instead of being sent to every task; the verdicts are the same.
 MOST_TRIE_BYTES = 128 << 20
+#: Hosts of rules and of urls are lower-cased alike, A-Z only
+_LOWER = {x: x + 32 for x in range(65, 91)}
 
 
 def split_rule(rule: str) -> tuple[str, str]:
     host, slash, path = rule.partition("/")
-    return host.lower(), slash + path
+    return host.translate(_LOWER), slash + path
 
 
 class UrlTrie:
@@ -85,12 +87,11 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", de
     would be over MOST_TRIE_BYTES are joined, not broadcast.
     """
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{url}`").cast("string").alias("__url"))
-    host, path = host_and_path(F.col("__url"))
-    df = df.select("*", host.alias("host"), path.alias("path")).drop("__url")
+    host, path = host_and_path(F.col("url"))
+    df = df.select(boxed(keep), F.col(quoted(url)).cast("string").alias("url")).select("row", host.alias("host"), path.alias("path"))
     trie = UrlTrie(rules, MOST_TRIE_BYTES)
     if trie.size > MOST_TRIE_BYTES:
-        return _joined(df, rules, default)
+        return _joined(df, rules, default).select(*unboxed(keep, {}), "host", "path", "rule", "verdict")
     shared = df.sparkSession.sparkContext.broadcast(trie)
     h, p = df.columns.index("host"), df.columns.index("path")
 
@@ -103,7 +104,7 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", de
                 names=[*b.schema.names, "rule", "verdict"],
             )
 
-    return df.mapInArrow(judge, plus(df, "rule string, verdict string"))
+    return df.mapInArrow(judge, plus(df, "rule string, verdict string")).select(*unboxed(keep, {}), "host", "path", "rule", "verdict")
 
 
 def _joined(df: DataFrame, rules: list[tuple[str, str]], default: str) -> DataFrame:

@@ -79,3 +79,12 @@ def test_spans_of_one_text_do_not_cut_another_of_its_id(spark):
     assert out.columns == docs.columns
     got = sorted((r.doc_id or 0, r.text.strip()) for r in out.collect())
     assert got == sorted([(0, text("a")), (1, text("a")), (2, text("b")), (2, text("c") + " " + text("d")), (3, text("e"))])
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, f"some clean text of number {i} that nothing else has", {"k": i}, i) for i in (1, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` map<string, int>, `row` int")
+    for name, stage in pipeline.STAGES[:3]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {(r.doc_id, r["a.b"]["k"], r["row"]) for r in out.collect()} <= {(1, 1, 1), (2, 2, 2)}, name

@@ -240,3 +240,17 @@ def test_verdicts(spark, monkeypatch, most):
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == plain_verdict(urls[r.page_id], rules), urls[r.page_id]
     assert url_filter.judge_urls(df.filter("false"), rules).count() == 0
+
+
+def test_rule_hosts_are_lowered_like_urls(spark):
+    """A-Z only: a letter beyond ASCII stays as it is in rules and urls alike; other columns may have any name."""
+    pages = spark.createDataFrame([(1, "http://Éx.com/a", "k", {"m": 1}), (2, "http://éx.com/a", "k", None)], "page_id int, url string, `__url` string, `a.b` map<string, int>")
+    got = url_filter.judge_urls(pages, [("block", "ÉX.com/")])
+    assert got.columns == ["page_id", "url", "__url", "a.b", "host", "path", "rule", "verdict"]
+    assert [(r.page_id, r.host, r.rule, r.verdict) for r in got.orderBy("page_id").collect()] == [(1, "Éx.com", "ÉX.com/", "block"), (2, "éx.com", None, "allow")]
+
+
+def test_shards_of_rows_with_maps(spark, tmp_path):
+    df = spark.range(50).select("id", F.create_map(F.lit("k"), F.col("id")).alias("m"))
+    sharding.write_shards(df, "id", F.lit(10), 100, str(tmp_path / "s"))
+    assert sorted(r.m["k"] for r in spark.read.parquet(str(tmp_path / "s")).collect()) == list(range(50))

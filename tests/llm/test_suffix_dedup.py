@@ -138,3 +138,13 @@ def test_hot_anchors_are_split_without_a_loss(spark, seed, monkeypatch):
         got, told = join(often)
         assert got == want
         assert any(len(h) for h in told.column("hot").to_pylist()) == (often < 100)
+
+
+def test_columns_of_any_name_and_long_strings(spark):
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3_000)) * 2
+    df = spark.createDataFrame([(1, text, 5, {"a": 1}), (2, text, 6, None), (3, "x" + text, 7, None)], "doc_id long, text string, `__id` int, `a.b` map<string, int>").selectExpr("*", "doc_id as __text", "1 as __chunk")
+    got = suffix_dedup.remove_repeats(df, length=1000)
+    with pytest.raises(ValueError, match="length"):
+        suffix_dedup.remove_repeats(df, length=1001)
+    assert got.columns == ["doc_id", "text", "__id", "a.b", "__text", "__chunk", "spans", "kept"]
+    assert [(r.doc_id, r["__id"], r["a.b"], r["__text"], len(r.kept)) for r in got.orderBy("doc_id").collect()] == [(1, 5, {"a": 1}, 1, 6_000), (2, 6, None, 2, 0), (3, 7, None, 3, 1)]
