@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -49,6 +49,21 @@ def of_species(points: DataFrame, species: list[str] | None) -> DataFrame:
     return points.filter(F.coalesce("species", F.lit("")).isin(*species)) if species else points
 
 
+def register_functions(spark: SparkSession, points: DataFrame, columns: dict[str, str]) -> None:
+    """SQL table functions of the session over points: nearby_trees(lat, long) with dist_meters, and trees_in_view(min_lat, min_long, max_lat, max_long).
+
+    columns: of points, by the names that results have (`lat` and `long` among them). The optimizer puts the functions' bodies in place of the calls, so
+    filters, limits and projections around them reach the scan; arguments may be columns of a lateral join. Rows come in no order: ORDER BY dist_meters
+    (metres of the great circle, not rounded) where it matters. Trees without a place are in no view; their distance is null.
+    """
+    points.select(*[F.col(c).alias(n) for n, c in columns.items()]).createOrReplaceTempView("grove_trees")
+    fields = [(n, f.dataType.simpleString()) for n, f in zip(columns, (points.schema[c] for c in columns.values()), strict=True)]
+    shape, listed = ", ".join(f"`{n}` {t}" for n, t in fields), ", ".join(f"t.`{n}`" for n in columns)
+    a = "pow(sin(radians(t.lat - nearby_trees.lat) / 2), 2) + cos(radians(nearby_trees.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.long - nearby_trees.long) / 2), 2)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION nearby_trees(lat DOUBLE, long DOUBLE) RETURNS TABLE({shape}, dist_meters DOUBLE) RETURN SELECT {listed}, {EARTH_M} * 2 * atan2(sqrt({a}), sqrt(1 - ({a}))) FROM grove_trees t")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION trees_in_view(min_lat DOUBLE, min_long DOUBLE, max_lat DOUBLE, max_long DOUBLE) RETURNS TABLE({shape}) RETURN SELECT {listed} FROM grove_trees t WHERE t.lat BETWEEN min_lat AND max_lat AND t.long BETWEEN min_long AND max_long")
+
+
 def expanding_search(points: DataFrame, lat: float, lng: float, species: list[str] | None = None, radii: tuple[float, ...] = RADII, k: int = 5) -> DataFrame:
     """The k nearest points of the first radius whose box holds any match, in one pass.
 

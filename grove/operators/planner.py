@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -225,9 +227,102 @@ def chunks(rows: DataFrame, order: str, size: int) -> DataFrame:
     return out.withColumn("chunk", F.floor((F.col("__before") + F.col("__n") - 1) / size).cast("long")).drop("__part", "__n", "__before")
 
 
+def _jumps(sizes: np.ndarray, budget: int, most: int) -> np.ndarray:
+    """Where the next pack begins for a pack that begins at each place: a pack holds `most` ids and `budget` bytes at most, one id at least."""
+    total = np.r_[0, np.cumsum(sizes)]
+    return np.maximum(np.minimum(np.searchsorted(total, total[:-1] + budget, "right") - 1, np.arange(len(sizes)) + most), np.arange(len(sizes)) + 1)
+
+
+def _outcomes(sizes: np.ndarray, budget: int, most: int) -> tuple[list[int], list[int], list[int]]:
+    """For a first pack that begins at each of the first `most` places: the packs that begin after it in the range, and the bytes and ids of the last."""
+    n, jump = len(sizes), _jumps(sizes, budget, most)
+    packs, last = np.zeros(n, np.int64), np.arange(n)
+    for i in range(n - 1, -1, -1):
+        if jump[i] < n:
+            packs[i], last[i] = packs[jump[i]] + 1, last[jump[i]]
+    behind = np.cumsum(sizes[::-1])[::-1]
+    first = slice(0, most)
+    return packs[first].tolist(), behind[last[first]].tolist(), (n - last[first]).tolist()
+
+
+def _room(sizes: list[int], used: int, held: int, budget: int, most: int) -> int:
+    """How many of the next ids go into a pack that holds so many bytes and ids already."""
+    n = 0
+    while n < len(sizes) and held and held < most and used + sizes[n] <= budget:
+        used, held, n = used + sizes[n], held + 1, n + 1
+    return n
+
+
+def packs(ids: DataFrame, key: str, budget: int, most: int) -> DataFrame:
+    """The distinct ids of column `key` as text, in order, with `pack`: from 0, each as full as `budget` bytes (ids percent-encoded, commas between
+    them too) and `most` ids allow. Null ids, which no list can match, are left out; an id over the budget has a pack of its own.
+
+    Greedy packing looks like one task's work. But where a range of the order has its first new pack, all that follows in it is settled; and
+    that place is among its first `most` ids. So each range tells the outcome for each of these, the driver composes the outcomes (some hundred
+    numbers a range), and the ranges number their packs side by side.
+    """
+    spark = ids.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    budget += 3  # a comma for each id, so one too many
+    rows = ids.select(F.col(key).cast("string").alias("id")).filter("id is not null").distinct().withColumn("n_bytes", F.octet_length(F.url_encode("id")) + 3)
+    dealt = stored(rows.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()))
+    sized = dealt.groupBy("part")
+
+    def tell(t: pa.Table) -> pa.Table:
+        sizes = t.sort_by("id").column("n_bytes").to_numpy()
+        n, used, held = _outcomes(sizes, budget, most)
+        return pa.Table.from_pylist([{"part": t.column("part")[0].as_py(), "total": len(sizes), "sizes": sizes[:most].tolist(), "packs": n, "used": used, "held": held}], pa.schema([("part", pa.int32()), ("total", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("sizes", "packs", "used", "held")]]))
+
+    told = sized.applyInArrow(tell, "part int, total long, sizes array<long>, packs array<long>, used array<long>, held array<long>").orderBy("part").collect()
+    starts, number, used, held = {}, -1, 0, 0
+    for r in told:
+        room = _room(r.sizes, used, held, budget, most)
+        starts[r.part] = (room, number)
+        if room == r.total:  # all of it goes into the open pack
+            used, held = used + sum(r.sizes[:room]), held + room
+        else:
+            number, used, held = number + 1 + r.packs[room], r.used[room], r.held[room]
+
+    def give(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        room, number = starts[t.column("part")[0].as_py()]
+        jump = _jumps(t.column("n_bytes").to_numpy(), budget, most)
+        pack, at = np.full(t.num_rows, number, np.int64), room
+        while at < t.num_rows:
+            number += 1
+            pack[at : jump[at]] = number
+            at = jump[at]
+        return pa.table({"id": t.column("id"), "n_bytes": t.column("n_bytes"), "pack": pa.array(pack)})
+
+    return sized.applyInArrow(give, "id string, n_bytes int, pack long")
+
+
+def delete_requests(types: DataFrame, attributes: DataFrame, type_id: str, attribute_id: str, path: str, names: tuple[str, str], most_bytes: int = 7500, n_types: int = 100, n_attributes: int = 40) -> DataFrame:
+    """The requests of a delete by both keys as (type_pack, attribute_pack, type_ids, attribute_ids, n_bytes, fits): every pack of types with every pack of
+    attributes, one request each, as a scope is their product.
+
+    A request's target is path?a=in.(ids)&b=in.(ids), percent-encoded, with `names` for a and b. Half of the bytes that most_bytes leaves is for either list, so that every
+    request fits but those of an id that is itself too long: fits tells. Null ids are left out on both sides.
+    """
+    frame = len(path) + 1 + sum(len(f"{n}=in.%28%29") for n in names) + 1
+    half = (most_bytes - frame) // 2
+
+    def listed(df: DataFrame, key: str, most: int, name: str) -> DataFrame:
+        own = packs(df, key, half, most).groupBy("pack").agg(F.sort_array(F.collect_list("id")).alias(f"{name}_ids"), (F.sum("n_bytes") - 3).alias(f"{name}_bytes"))
+        return stored(own.withColumnRenamed("pack", f"{name}_pack"))
+
+    left, right = listed(types, type_id, n_types, "type"), listed(attributes, attribute_id, n_attributes, "attribute")
+    last = right.agg(F.max("attribute_pack").alias("last"))  # one row; every pair is a request of its own
+    every = left.join(F.broadcast(last)).filter("last is not null").withColumn("attribute_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).join(right, "attribute_pack")
+    size = (F.col("type_bytes") + F.col("attribute_bytes") + frame).alias("n_bytes")
+    return every.select("type_pack", "attribute_pack", "type_ids", "attribute_ids", size, (size <= most_bytes).alias("fits"))
+
+
 def chunk_pairs(types: DataFrame, attributes: DataFrame, type_id: str, attribute_id: str, n_types: int = 100, n_attributes: int = 40) -> DataFrame:
     """The requests of a delete by both keys: every chunk of types with every chunk of attributes, as type_chunk, attribute_chunk and the ids
-    of each in order (at most n_types and n_attributes of them)."""
+    of each in order (at most n_types and n_attributes of them). Null ids, which no list can match, are left out on both sides. Counting the chunks of
+    attributes is a job while the frame is made."""
+    types, attributes = types.filter(F.col(type_id).isNotNull()), attributes.filter(F.col(attribute_id).isNotNull())
     listed = lambda df, key, size, name: chunks(df.select(key).distinct(), key, size).groupBy(F.col("chunk").alias(f"{name}_chunk")).agg(F.sort_array(F.collect_list(key)).alias(f"{name}_ids"))
     left, right = listed(types, type_id, n_types, "type"), listed(attributes, attribute_id, n_attributes, "attribute")
     last = attributes.select(F.count_distinct(attribute_id)).first()[0] - 1  # every pair is a request of its own, so each type chunk meets all others

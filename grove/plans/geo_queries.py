@@ -37,6 +37,17 @@ Q["geo_all_ranked"] = lambda s, d: geo.nearest(pts(s, d), LAT, LNG, None).select
 O["geo_all_ranked"] = sql("pts", f"SELECT id, metres FROM ({DIST}) ORDER BY metres, id")
 Q["geo_bbox"] = lambda s, d: s.createDataFrame([(r, *geo.bounding_box(LAT, LNG, r).values()) for r in geo.RADII], "radius double, min_lat double, max_lat double, min_lng double, max_lng double")
 O["geo_bbox"] = "SELECT r AS radius, 52.0e0 - r AS min_lat, 52.0e0 + r AS max_lat, 8.5e0 - r AS min_lng, 8.5e0 + r AS max_lng FROM (SELECT unnest([0.0015e0, 0.005e0, 0.01e0]) AS r)"
+def _functions(s, d):
+    geo.register_functions(s, pts(s, d), {"uuid": "id", "tree_type_german": "species", "lat": "lat", "long": "lng"})
+    return s
+
+
+Q["geo_sql_nearby"] = lambda s, d: _functions(s, d).sql(f"SELECT uuid, tree_type_german, lat, long, CAST(floor(dist_meters + 0.5) AS BIGINT) AS metres FROM nearby_trees({LAT}D, {LNG}D) WHERE lat > 51.99D")
+O["geo_sql_nearby"] = sql("pts", f"SELECT id AS uuid, species AS tree_type_german, lat, lng AS long, metres FROM ({DIST}) WHERE lat > 51.99e0")
+#: ten views around the centre, joined by a call for each of their rows
+BOXES = "SELECT CAST(id AS INT) AS view, 51.9D + id / 100 AS low, 8.4D + id / 50 AS west FROM range(10)"
+Q["geo_sql_views"] = lambda s, d: _functions(s, d).sql(f"SELECT view, uuid FROM ({BOXES}) v, LATERAL trees_in_view(v.low, v.west, v.low + 0.05D, v.west + 0.04D)")
+O["geo_sql_views"] = sql("pts", "SELECT view, id AS uuid FROM (SELECT CAST(range AS INTEGER) AS view, 51.9e0 + range / 100 AS low, 8.4e0 + range / 50 AS west FROM range(10)) v JOIN pts ON lat BETWEEN low AND low + 0.05e0 AND lng BETWEEN west AND west + 0.04e0")
 Q["geo_viewport_points"] = lambda s, d: geo.viewport(pts(s, d), LAT - 0.005, LNG - 0.005, LAT + 0.005, LNG + 0.005)
 O["geo_viewport_points"] = sql("pts", "SELECT * FROM pts WHERE lat BETWEEN 52.0e0 - 0.005e0 AND 52.0e0 + 0.005e0 AND lng BETWEEN 8.5e0 - 0.005e0 AND 8.5e0 + 0.005e0")
 Q["geo_species_filter"] = lambda s, d: geo.of_species(pts(s, d), ["3", "7"]).select("id", "species")

@@ -129,6 +129,32 @@ O["up_chunks"] = "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderke
 Q["up_chunk_pairs"] = lambda s, d: planner.chunk_pairs(CUST(s, d), frame(s, d, "supplier"), "c_custkey", "s_suppkey")
 LISTED = "SELECT n // {n} AS {x}_chunk, list(k ORDER BY k) AS {x}_ids FROM (SELECT {k} AS k, row_number() OVER (ORDER BY {k}) - 1 AS n FROM {t}) GROUP BY 1"
 O["up_chunk_pairs"] = f"SELECT * FROM ({LISTED.format(n=100, x='type', k='c_custkey', t='customer')}), ({LISTED.format(n=40, x='attribute', k='s_suppkey', t='supplier')})"
+NULLED = "SELECT CASE WHEN c_custkey % 7 > 0 THEN c_custkey END AS c_custkey FROM customer"
+Q["up_chunk_nulls"] = lambda s, d: planner.chunk_pairs(CUST(s, d).select(F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey")).alias("c_custkey")), frame(s, d, "supplier").select(F.when(F.col("s_suppkey") <= 40, F.col("s_suppkey")).alias("s_suppkey")), "c_custkey", "s_suppkey")
+O["up_chunk_nulls"] = f"SELECT * FROM ({LISTED.format(n=100, x='type', k='c_custkey', t='(SELECT * FROM (' + NULLED + ') WHERE c_custkey IS NOT NULL)')}), ({LISTED.format(n=40, x='attribute', k='s_suppkey', t='(SELECT s_suppkey FROM supplier WHERE s_suppkey <= 40)')})"
+#: ids of uneven lengths, a few null
+PACKED = {"type": ("customer", "c_custkey % 50 > 0", "c_mktsegment || repeat('é#', CAST(c_custkey % 9 AS INT)) || c_custkey", 100), "attribute": ("supplier", "s_suppkey % 20 > 0", "repeat('a,', CAST(s_suppkey % 60 AS INT)) || s_suppkey", 40)}
+PATH, NAMES = "/rest/v1/tree_type_attribute_values", ("tree_type_uuid", "tree_type_attribute_uuid")
+
+
+def _requests(s, d):
+    sides = [frame(s, d, t).select(F.expr(f"CASE WHEN {keep} THEN {text} END").alias("x")) for t, keep, text, _ in PACKED.values()]
+    return planner.delete_requests(*sides, "x", "x", PATH, NAMES)
+
+
+def _packs_sql(name: str) -> str:
+    """Packs of one side: each begins where the one before it is full."""
+    table, keep, text, most = PACKED[name]
+    frame_bytes = len(PATH) + 2 + sum(len(f"{n}=in.%28%29") for n in NAMES)
+    return f"""{name}_i AS (SELECT x, b, row_number() OVER (ORDER BY encode(x)) AS n, sum(b) OVER (ORDER BY encode(x)) AS t FROM (SELECT DISTINCT {text} AS x, octet_length(encode(url_encode({text}))) + 3 AS b FROM {table} WHERE {keep})),
+  {name}_c AS (SELECT CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS pack
+    UNION ALL SELECT min(x.n), min(c.pack) + 1 FROM {name}_c c JOIN {name}_i a ON a.n = c.n JOIN {name}_i x ON x.n > c.n AND (x.t - a.t + a.b > {(7500 - frame_bytes) // 2 + 3} OR x.n >= c.n + {most}) HAVING min(x.n) IS NOT NULL),
+  {name}_p AS (SELECT pack AS {name}_pack, list(x ORDER BY n) AS {name}_ids, sum(b) - 3 AS {name}_bytes FROM (SELECT i.*, (SELECT max(c.pack) FROM {name}_c c WHERE c.n <= i.n) AS pack FROM {name}_i i) GROUP BY pack)"""
+
+
+Q["up_requests"] = _requests
+O["up_requests"] = f"""WITH RECURSIVE {_packs_sql('type')}, {_packs_sql('attribute')}
+  SELECT type_pack, attribute_pack, type_ids, attribute_ids, CAST(type_bytes + attribute_bytes + {len(PATH) + 2 + sum(len(f'{n}=in.%28%29') for n in NAMES)} AS BIGINT) AS n_bytes, true AS fits FROM type_p, attribute_p"""
 Q["up_constraints"] = lambda s, d: tab.violations(frame(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"), "l_tax"), ["l_orderkey", "l_linenumber"], ["l_tax"], (frame(s, d, "supplier").filter("s_acctbal > 0").select("s_suppkey"), "s_suppkey"))
 O["up_constraints"] = "SELECT 'unique' AS rule, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'not_null:l_tax', count(*) FROM lineitem WHERE l_tax IS NULL UNION ALL SELECT 'reference:s_suppkey', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"
 Q["up_foreign_keys"] = lambda s, d: tab.set_null(tab.cascade(frame(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), CUST(s, d).filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey"), s.createDataFrame([("5-LOW",)], "o_orderpriority string"), "o_orderpriority")

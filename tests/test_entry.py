@@ -40,3 +40,13 @@ def test_the_rest_works_without_the_optional_part(tmp_path, gone):
     for path in (ROOT / "grove").rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text(encoding="utf-8"), path
+
+
+def test_a_missing_library_of_the_optional_part_is_told_and_the_rest_works():
+    if not (ROOT / "grove" / "llm").exists():
+        pytest.skip("no optional part")
+    run = "import sys, warnings; sys.modules['zstandard'] = None; warnings.simplefilter('error'); "
+    said = subprocess.run([sys.executable, "-c", run + "import __spark_entry__"], cwd=ROOT, capture_output=True, text=True)
+    assert "zstandard" in said.stderr and said.returncode
+    said = subprocess.run([sys.executable, "-c", run.replace("'error'", "'ignore'") + "import __spark_entry__ as e; print(len(e.queries()))"], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(catalogue.queries()))]

@@ -1,4 +1,5 @@
 import random
+from urllib.parse import quote_plus
 
 import pytest
 
@@ -162,3 +163,40 @@ def test_chunks_and_cache(spark):
     for mode, read, fetch in (("auto", {2}, {1}), ("skip", {2}, set()), ("force", set(), {1, 2})):
         parts = relations.split_cached(ids(1, 2), ids(2, 3, 4), ids(1, 2, 3), "k", mode)
         assert [{r.k for r in parts[p].collect()} for p in ("read", "fetch", "stale")] == [read, fetch, {4}]
+
+
+def packed(ids, budget, most):
+    out, used = [[]], 0
+    for i in sorted(ids, key=str.encode):
+        size = len(quote_plus(i))
+        if out[-1] and (used + 3 + size > budget or len(out[-1]) == most):
+            out.append([])
+        used = size if not out[-1] else used + 3 + size
+        out[-1].append(i)
+    return out if ids else []
+
+
+@pytest.mark.parametrize(("n", "budget", "most"), [(0, 50, 5), (1, 50, 5), (300, 60, 4), (300, 200, 100), (300, 20, 7), (250, 100_000, 100), (40, 100_000, 100)])
+def test_packs_are_those_of_a_greedy_loop(spark, n, budget, most):
+    rng = random.Random(n * budget)
+    ids = sorted({"".join(rng.choice("aé# -") for _ in range(rng.randint(1, rng.choice([3, 12])))) for _ in range(n)})
+    rows = spark.createDataFrame([(i,) for i in ids * 2] + [(None,)], "k string")
+    got = {}
+    for r in planner.packs(rows, "k", budget, most).collect():
+        got.setdefault(r.pack, []).append(r.id)
+    assert [sorted(got[p], key=str.encode) for p in sorted(got)] == packed(ids, budget, most)
+    assert sorted(got) == list(range(len(got)))
+
+
+def test_requests_stay_under_their_bound(spark):
+    types, attributes = ([(f"{x}{i:08d}-0000-0000-0000-00000000{i % 10_000:04d}",) for i in range(n)] for x, n in (("1", 401), ("2", 72)))
+    make = lambda t, a, **more: planner.delete_requests(spark.createDataFrame(t, "t string"), spark.createDataFrame(a, "a string"), "t", "a", "/rest/v1/v", ("t", "a"), **more).collect()
+    got = make(types + [(None,)], attributes + [(None,)])
+    for r in got:
+        target = "/rest/v1/v?t=in." + quote_plus("(" + ",".join(r.type_ids) + ")") + "&a=in." + quote_plus("(" + ",".join(r.attribute_ids) + ")")
+        assert len(target) == r.n_bytes <= 7500 and r.fits and len(r.type_ids) <= 100 and len(r.attribute_ids) <= 40
+    assert {(t, a) for r in got for t in r.type_ids for a in r.attribute_ids} == {(t, a) for (t,) in types for (a,) in attributes}
+    assert make([], attributes[:0] + [(None,)]) == [] and make(types, [(None,)]) == []
+    assert [r.fits for r in make([("x" * 200,)], [("y",)], most_bytes=150)] == [False]
+    pairs = planner.chunk_pairs(spark.createDataFrame([(i,) for i in [None, *range(40)]], "t int"), spark.createDataFrame([(i,) for i in [None, *range(40)]], "a int"), "t", "a").collect()
+    assert [(len(r.type_ids), len(r.attribute_ids)) for r in pairs] == [(40, 40)]
