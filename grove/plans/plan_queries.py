@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import planner
 from ..sources import tables as tab
+from ..sources import versions
+from ..sources.scratch import shared_path
 from .adapters import frame, sql
 from .fact_queries import CFG, config
 from .identity_queries import IDS
@@ -129,6 +131,39 @@ O["up_chunks"] = "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderke
 Q["up_chunk_pairs"] = lambda s, d: planner.chunk_pairs(CUST(s, d), frame(s, d, "supplier"), "c_custkey", "s_suppkey")
 LISTED = "SELECT n // {n} AS {x}_chunk, list(k ORDER BY k) AS {x}_ids FROM (SELECT {k} AS k, row_number() OVER (ORDER BY {k}) - 1 AS n FROM {t}) GROUP BY 1"
 O["up_chunk_pairs"] = f"SELECT * FROM ({LISTED.format(n=100, x='type', k='c_custkey', t='customer')}), ({LISTED.format(n=40, x='attribute', k='s_suppkey', t='supplier')})"
+
+
+def _merged(s, d, times=1):
+    """Customers as a stored table, with the new rows of a few keys merged in; how many buckets were rewritten each time."""
+    path = shared_path(s)
+    versions.create(CUST(s, d).select("c_custkey", "c_name", "c_acctbal"), path, ["c_custkey"], 32)
+    few = _new(s, d).filter("c_custkey <= 90")
+    return path, [versions.merge(few, path)[1] for _ in range(times)]
+
+
+def _merge_report(s, d):
+    path, rewritten = _merged(s, d, 2)
+    return s.createDataFrame([(i, n <= 4, n > 0, versions.latest(s, path).version) for i, n in enumerate(rewritten)], "run int, few boolean, any boolean, version long")
+
+
+FEW = NEW + " WHERE s_suppkey * 30 <= 90"
+Q["up_stored_merge"] = lambda s, d: versions.read(s, _merged(s, d)[0])
+O["up_stored_merge"] = O["up_merge"].replace(NEW, FEW)
+Q["up_stored_rerun"] = _merge_report
+O["up_stored_rerun"] = "SELECT CAST(range AS INTEGER) AS run, true AS few, range = 0 AS any, CAST(1 AS BIGINT) AS version FROM range(2)"
+
+
+def _stored_rewrite(s, d):
+    path = shared_path(s)
+    orders = frame(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    versions.create(orders, path, ["o_custkey"], 32)
+    fresh = frame(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("o_orderkey"), F.lit(-1).cast("long").alias("o_custkey"), F.col("n_name").alias("o_orderpriority"))
+    versions.rewrite(fresh, [CUST(s, d).filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey")), s.createDataFrame([("5-LOW",), ("1-URGENT",)], "o_orderpriority string")], path)
+    return versions.read(s, path)
+
+
+Q["up_stored_rewrite"] = _stored_rewrite
+O["up_stored_rewrite"] = O["up_rewrite"]
 NULLED = "SELECT CASE WHEN c_custkey % 7 > 0 THEN c_custkey END AS c_custkey FROM customer"
 Q["up_chunk_nulls"] = lambda s, d: planner.chunk_pairs(CUST(s, d).select(F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey")).alias("c_custkey")), frame(s, d, "supplier").select(F.when(F.col("s_suppkey") <= 40, F.col("s_suppkey")).alias("s_suppkey")), "c_custkey", "s_suppkey")
 O["up_chunk_nulls"] = f"SELECT * FROM ({LISTED.format(n=100, x='type', k='c_custkey', t='(SELECT * FROM (' + NULLED + ') WHERE c_custkey IS NOT NULL)')}), ({LISTED.format(n=40, x='attribute', k='s_suppkey', t='(SELECT s_suppkey FROM supplier WHERE s_suppkey <= 40)')})"

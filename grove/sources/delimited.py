@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -254,7 +255,8 @@ def scan_optional(spark: SparkSession, path: str, columns: list[str], sep: str =
 def write_review(rows: DataFrame, path: str, columns: list[str] = REVIEW, order: list[str] = (), sep: str = ";") -> None:
     """Lines of fields that are quoted only where needed, below a header in every file, in a fixed order.
 
-    The order is a range partition, so files sort one after the other; Spark's committer shows none of them before all are done.
+    The order is a range partition, so files sort one after the other. They are written beside path and take its place by a rename once all are done, so a writer
+    that dies leaves what was there.
     """
     line = F.concat_ws(sep, *[csv_field(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), sep) for c in columns])
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
@@ -269,4 +271,18 @@ def write_review(rows: DataFrame, path: str, columns: list[str] = REVIEW, order:
                 yield pa.RecordBatch.from_arrays([pa.array([head])], schema=b.schema)
             yield b
 
-    lines.mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    lines.mapInArrow(with_header, "value string").write.text(beside + ".new")
+    take_place(rows.sparkSession, beside, path)
+
+
+def take_place(spark: SparkSession, beside: str, path: str) -> None:
+    """Folder beside.new becomes path. Between the two renames path is gone for a moment, but both the old and the new stand beside it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    old, new, own = place(beside + ".old"), place(beside + ".new"), place(path)
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(own) and not fs.rename(own, old):
+        raise OSError(f"can't replace {path}")
+    if not fs.rename(new, own):
+        raise OSError(f"can't write {path}")
+    fs.delete(old, True)

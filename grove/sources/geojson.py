@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geo
-from .delimited import SourceError, _exists
+from . import versions
+from .delimited import SourceError, _exists, take_place
 
 #: source property -> (type, column); the names of the cadastre (fixed values)
 PROPERTIES = {
@@ -59,21 +62,30 @@ def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_segments(points: DataFrame, path: str, properties: list[str], n: int = 10) -> DataFrame:
-    """Features below path/cell_x=/cell_y=/, one a line, and the index (also as JSON below path-index), which it returns.
+    """Features in folders cell_x=/cell_y=, one a line, and the index as lines of JSON, which it returns: both below path, shown together as one version, so
+    that a reader has either all of what was there before or all of this, even if the writer dies in between. The index then also stands below path-index, for
+    readers of plain files.
 
     A view later reads only the folders of its cells: the layout is the partition pruning.
     """
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")).alias("geometry")))
     members = geo.grid_members(points, n)
-    members.select("cell_x", "cell_y", feature.alias("value")).repartition("cell_x", "cell_y").write.mode("overwrite").partitionBy("cell_x", "cell_y").text(path)
+    # a cell with many features is written by several tasks
+    segments = members.select("cell_x", "cell_y", feature.alias("value")).hint("rebalance", "cell_x", "cell_y")
     index = geo.grid_index(points, n)
-    index.select(F.col("min_x").alias("minX"), F.col("max_x").alias("maxX"), F.col("min_y").alias("minY"), F.col("max_y").alias("maxY"), F.col("file_name").alias("fileName")).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}-index")
+    entry = F.struct(F.col("min_x").alias("minX"), F.col("max_x").alias("maxX"), F.col("min_y").alias("minY"), F.col("max_y").alias("maxY"), F.col("file_name").alias("fileName"))
+    lines = index.select(F.to_json(entry, {"ignoreNullFields": "false"}).alias("value"))
+    versions.publish({"segments": (segments, "text", ["cell_x", "cell_y"]), "index": (lines, "text", [])}, path)
+    beside = f"{path}-index.{uuid.uuid4().hex}"
+    spark = points.sparkSession
+    spark.read.text(versions.output(spark, path, "index")).write.text(beside + ".new")
+    take_place(spark, beside, f"{path}-index")
     return index
 
 
 def read_segments(spark: SparkSession, path: str, cells: DataFrame | None = None) -> DataFrame:
     """Features of the segments (of the given cells only: their folders are pruned by the join)."""
-    rows = spark.read.text(path)
+    rows = spark.read.text(versions.output(spark, path, "segments"))
     if cells is not None:  # small enough to prune folders with only if Spark finds it so
         rows = rows.join(cells.select("cell_x", "cell_y").distinct(), ["cell_x", "cell_y"])
     f = F.from_json("value", "struct<properties: map<string, string>, geometry: struct<coordinates: array<double>>>")

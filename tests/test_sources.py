@@ -170,3 +170,26 @@ def test_late_waterings_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "w" / "*"))
     got = {(r.tree, str(r.start)[11:16]): (r.litres, r.n) for r in live.run_windows(stream, spark).collect()}
     assert got[1, "00:00"] == (11.0, 2)
+
+
+def test_a_write_that_dies_leaves_what_was_there(spark, tmp_path):
+    path = str(tmp_path / "out")
+    row = lambda v: spark.createDataFrame([("Q1", "b", "d", "P2", "n", v, "")], ", ".join(f"`{c}` string" for c in delimited.REVIEW))
+    delimited.write_review(row("one"), path)
+
+    def broken(batches):
+        raise RuntimeError("lost")
+        yield
+
+    lost = row("two").mapInArrow(broken, row("two").schema)
+    with pytest.raises(Exception, match="lost"):
+        delimited.write_review(lost, path)
+    assert [r.value for r in delimited.scan_review(spark, path).collect()] == ["one"]
+    delimited.write_review(row("three"), path)
+    assert [r.value for r in delimited.scan_review(spark, path).collect()] == ["three"]
+    pts = spark.createDataFrame([(1, "oak", 1.0, 2.0), (2, "ash", 3.0, 4.0)], "id long, species string, lng double, lat double")
+    geojson.write_segments(pts, path + "-seg", ["id"], n=2)
+    broken_pts = pts.mapInArrow(broken, pts.schema)
+    with pytest.raises(Exception, match="lost"):
+        geojson.write_segments(broken_pts, path + "-seg", ["id"], n=2)
+    assert sorted(r.properties["id"] for r in geojson.read_segments(spark, path + "-seg").collect()) == ["1", "2"]
