@@ -7,21 +7,33 @@ composed along the file. The driver does that, with one small row a range; Spark
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 from operator import itemgetter
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 Key = tuple[str, int]  # a range: path of the file, first byte
 
 
-def scan_pieces(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
-    """path, start (of the range) and value of each piece between separators; rows of a task stand in the order of their file."""
+def scan_pieces(spark: SparkSession, path: str, separator: str = "\n", binary: bool = False) -> DataFrame:
+    """path, start (of the range) and value (text, or its bytes) of each piece between separators; rows of a task stand in the order of their file."""
     rows = spark.read.option("lineSep", separator).text(path)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary" if binary else "string").alias("value"))
+
+
+def chunks(items: Iterable[T], n: int) -> Iterator[tuple[list[T], bool]]:
+    """Up to n items at a time, and whether more come after them."""
+    it = iter(items)
+    chunk = list(islice(it, n))
+    while chunk:
+        after = list(islice(it, n))
+        yield chunk, bool(after)
+        chunk = after
 
 
 def whole_files(spark: SparkSession, path: str) -> bool:
@@ -33,7 +45,7 @@ def whole_files(spark: SparkSession, path: str) -> bool:
     return size <= min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
 
 
-def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Key, Iterator[str]]]:
+def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Key, Iterator]]:
     """The pieces of each range of a task."""
     flat = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
     for key, rows in groupby(flat, itemgetter(0, 1)):
