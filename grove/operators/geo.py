@@ -79,6 +79,29 @@ def expanding_search(points: DataFrame, lat: float, lng: float, species: list[st
     return nearest(won, lat, lng, k)
 
 
+def expanding_search_all(points: DataFrame, places: DataFrame, species: list[str] | None = None, radii: tuple[float, ...] = RADII, k: int = 5, key: str = "id", place: str = "place") -> DataFrame:
+    """expanding_search for a table of places (place, unique; lat, lng): place, key, metres and rank (from 1) of the k nearest points of each place's first box that holds any.
+
+    For each radius, points and places meet by an equi-join on cells a little wider than the radius, nine cells a place, and only places without a match so far go on to the
+    next one. The k best are chosen before rows are shuffled by place. Rows of one key are points of their own; points and places without coordinates, and places
+    with no point in the widest box, are in no row.
+    """
+    own = of_species(points, species).select(F.col(key).alias("p_key"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    left = places.select(F.col(place).alias("at"), "lat", "lng")
+    found = None
+    for r in radii:
+        cell = lambda c, side=r * 1.001: F.floor(F.col(c) / side)  # noqa: E731 - wider, so that rounding leaves a box within the cells next to the place's
+        around = left.select("*", F.explode(F.sequence(cell("lng") - 1, cell("lng") + 1)).alias("x")).select("*", F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)).alias("y"))
+        met = around.join(own.select("*", cell("p_lng").alias("x"), cell("p_lat").alias("y")), ["x", "y"])
+        met = met.filter(F.col("p_lat").between(F.col("lat") - r, F.col("lat") + r) & F.col("p_lng").between(F.col("lng") - r, F.col("lng") + r))
+        metres = F.floor(haversine_m(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")) + 0.5).cast("long")
+        ranked = met.select("at", "p_key", metres.alias("metres")).withColumn("rank", F.row_number().over(W.partitionBy("at").orderBy("metres", "p_key"))).filter(F.col("rank") <= k)
+        won = stored(ranked)
+        found = won if found is None else found.unionByName(won)
+        left = left.join(won.filter("rank = 1").select("at"), "at", "left_anti")
+    return found.select(F.col("at").alias(place), F.col("p_key").alias(key), "metres", "rank")
+
+
 def grid(points: DataFrame, n: int = 10) -> DataFrame:
     """n * n cells over the points' bounds (n * n rows): cell_x, cell_y from 0, and edges min + k * width."""
     b = points.agg(F.min("lng").alias("x0"), F.max("lng").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))

@@ -77,6 +77,15 @@ EXPAND = f"""SELECT *, CASE WHEN lat BETWEEN 52e0 - 0.0015e0 AND 52e0 + 0.0015e0
 O["geo_expanding_top5"] = sql("pts", "SELECT id, species, metres FROM r WHERE ring = (SELECT min(ring) FROM r) ORDER BY metres, id LIMIT 5", r=EXPAND)
 Q["geo_expanding_species"] = lambda s, d: geo.expanding_search(pts(s, d), LAT, LNG, ["1", "8"]).select("id", "species", "metres")
 O["geo_expanding_species"] = sql("pts", "SELECT id, species, metres FROM r WHERE species IN ('1', '8') AND ring = (SELECT min(ring) FROM r WHERE species IN ('1', '8')) ORDER BY metres, id LIMIT 5", r=EXPAND)
+#: every 50th point, moved a little, as a place to search from
+PLACES = "SELECT id AS place, lat + 0.004e0 AS at_lat, lng - 0.003e0 AS at_lng FROM pts WHERE id % 50 = 0"
+MET = """SELECT place, id, CAST(floor(6371000 * 2 * atan2(sqrt(a), sqrt(1 - a)) + 0.5) AS BIGINT) AS metres, CASE WHEN lat BETWEEN at_lat - 0.0015e0 AND at_lat + 0.0015e0 AND lng BETWEEN at_lng - 0.0015e0 AND at_lng + 0.0015e0 THEN 0
+  WHEN lat BETWEEN at_lat - 0.005e0 AND at_lat + 0.005e0 AND lng BETWEEN at_lng - 0.005e0 AND at_lng + 0.005e0 THEN 1 ELSE 2 END AS ring
+  FROM (SELECT *, power(sin(radians(lat - at_lat) / 2), 2) + cos(radians(at_lat)) * cos(radians(lat)) * power(sin(radians(lng - at_lng) / 2), 2) AS a
+    FROM places JOIN pts ON lat BETWEEN at_lat - 0.01e0 AND at_lat + 0.01e0 AND lng BETWEEN at_lng - 0.01e0 AND at_lng + 0.01e0)"""
+Q["geo_expanding_places"] = lambda s, d: geo.expanding_search_all(pts(s, d), pts(s, d).filter("id % 50 = 0").select(F.col("id").alias("place"), (F.col("lat") + 0.004).alias("lat"), (F.col("lng") - 0.003).alias("lng")))
+O["geo_expanding_places"] = sql("pts", """SELECT place, id, metres, CAST(rank AS INTEGER) AS rank FROM (SELECT place, id, metres, row_number() OVER (PARTITION BY place ORDER BY metres, id) AS rank
+  FROM (SELECT *, min(ring) OVER (PARTITION BY place) AS first FROM met) WHERE ring = first) WHERE rank <= 5""", places=PLACES, met=MET)
 Q["geo_describe"] = lambda s, d: geo.describe(pts(s, d), ["lng", "lat"])
 O["geo_describe"] = sql("pts", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS most FROM pts" for c in ("lng", "lat")))
 Q["geo_smallest5"] = lambda s, d: pts(s, d).orderBy("lat", "id").limit(5).select("id", "lat")

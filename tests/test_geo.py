@@ -88,3 +88,30 @@ def test_quantiles_are_exact(spark):
         cut = statistics.quantiles(values, n=4, method="inclusive") if len(values) > 1 else values * 3
         assert [row.p25, row.p50, row.p75] == [pytest.approx(round(c, 6)) for c in cut] and row.n == len(values)
     assert geo.describe(spark.createDataFrame([], "a double"), ["a"]).count() == 0
+
+
+def test_searches_from_many_places_are_those_from_each(spark):
+    """Against a plain scan for each place, with points on the edges of boxes, equal distances, a hot cell, and rows without coordinates."""
+    rng = random.Random(4)
+    at = [(f"p{i}", 52 + rng.choice([0, 0.003, 0.0115]) + i * 0.02, 8.5 - i * 0.03) for i in range(12)]
+    rows = [(i, rng.choice("ab"), p[1] + rng.choice(d), p[2] + rng.choice(d)) for i in range(150) for p in [rng.choice(at[:9])] for d in [rng.choice([[0, 0.0015, -0.0015], [0.005, -0.004], [0.01, -0.009, 0.0101]])]]
+    rows += [(1000 + i, "a", at[3][1], at[3][2]) for i in range(60)] + [(2000, "a", None, 8.5), (2001, "b", 52.0, None)]
+    points = spark.createDataFrame(rows, "id long, species string, lat double, lng double")
+    places = spark.createDataFrame([*at, ("nowhere", 10.0, -170.0), ("none", None, 8.5)], "place string, lat double, lng double")
+
+    def plain(lat, lng, species):
+        for r in geo.RADII:
+            held = [p for p in rows if None not in p and p[1] in species and lat - r <= p[2] <= lat + r and lng - r <= p[3] <= lng + r]
+            if held:
+                def metres(p):
+                    a = math.sin(math.radians(p[2] - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(p[2])) * math.sin(math.radians(p[3] - lng) / 2) ** 2
+                    return math.floor(6_371_000 * 2 * math.atan2(math.sqrt(a), math.sqrt(1 - a)) + 0.5)
+
+                return sorted((metres(p), p[0]) for p in held)[:5]
+        return []
+
+    for species in (None, ["b"]):
+        got = sorted(tuple(r) for r in geo.expanding_search_all(points, places, species).collect())
+        want = sorted((name, i, m, n) for name, lat, lng in at for n, (m, i) in enumerate(plain(lat, lng, species or ["a", "b"]), 1))
+        assert got == want and len(want) > 20
+    assert geo.expanding_search_all(points.limit(0), places).count() == 0
