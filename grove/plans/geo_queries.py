@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import geo
+from ..operators import geo, spatial
+from ..sources.scratch import shared_path
 from .adapters import CENTRE, frame, sql
 
 LAT, LNG = CENTRE
@@ -86,6 +87,28 @@ MET = """SELECT place, id, CAST(floor(6371000 * 2 * atan2(sqrt(a), sqrt(1 - a))
 Q["geo_expanding_places"] = lambda s, d: geo.expanding_search_all(pts(s, d), pts(s, d).filter("id % 50 = 0").select(F.col("id").alias("place"), (F.col("lat") + 0.004).alias("lat"), (F.col("lng") - 0.003).alias("lng")))
 O["geo_expanding_places"] = sql("pts", """SELECT place, id, metres, CAST(rank AS INTEGER) AS rank FROM (SELECT place, id, metres, row_number() OVER (PARTITION BY place ORDER BY metres, id) AS rank
   FROM (SELECT *, min(ring) OVER (PARTITION BY place) AS first FROM met) WHERE ring = first) WHERE rank <= 5""", places=PLACES, met=MET)
+
+def _stored(s, d):
+    path = shared_path(s)
+    spatial.write_points(pts(s, d), path)
+    return spatial.StoredPoints(s, path)
+
+
+Q["geo_stored_nearest"] = lambda s, d: _stored(s, d).nearest(LAT, LNG, 1000).rows.select("id", "metres")
+O["geo_stored_nearest"] = sql("pts", f"SELECT id, metres FROM ({DIST}) ORDER BY metres, id LIMIT 1000")
+Q["geo_stored_view"] = lambda s, d: _stored(s, d).view(LAT - 0.005, LNG - 0.005, LAT + 0.005, LNG + 0.005).rows
+O["geo_stored_view"] = O["geo_viewport_points"]
+
+
+def _boxes(s, d):
+    """A view around every 50th point."""
+    at = pts(s, d).filter("id % 50 = 0")
+    return at.select(F.col("id").alias("box"), (F.col("lat") - 0.004).alias("min_lat"), (F.col("lng") - 0.003).alias("min_lng"), (F.col("lat") + 0.002).alias("max_lat"), (F.col("lng") + 0.005).alias("max_lng"))
+
+
+Q["geo_box_members"] = lambda s, d: spatial.box_members(pts(s, d), _boxes(s, d))
+O["geo_box_members"] = sql("pts", """SELECT box, id FROM (SELECT id AS box, lat - 0.004e0 AS min_lat, lng - 0.003e0 AS min_lng, lat + 0.002e0 AS max_lat, lng + 0.005e0 AS max_lng FROM pts WHERE id % 50 = 0)
+  JOIN pts ON lat BETWEEN min_lat AND max_lat AND lng BETWEEN min_lng AND max_lng""")
 Q["geo_describe"] = lambda s, d: geo.describe(pts(s, d), ["lng", "lat"])
 O["geo_describe"] = sql("pts", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS most FROM pts" for c in ("lng", "lat")))
 Q["geo_smallest5"] = lambda s, d: pts(s, d).orderBy("lat", "id").limit(5).select("id", "lat")
