@@ -158,30 +158,33 @@ def quadtree(cells: DataFrame, most: int) -> list[DataFrame]:
     return tables
 
 
-def box_members(points: DataFrame, boxes: DataFrame, most: int = 5_000, key: str = "id", box: str = "box") -> DataFrame:
-    """(box, key) for each point in each box, edges included. boxes: box, min_lat, min_lng, max_lat, max_lng.
+LEAF = ["level", "leaf_x", "leaf_y"]
+EDGES = ["min_lat", "min_lng", "max_lat", "max_lng"]
 
-    Points are in one leaf of a quadtree that splits by counts, boxes are copied to the leaves they meet, and both meet there by an equi-join. A leaf of
-    more than `most` points (all in one place) or boxes is cut into parts, so no group has more than about `most` of either. Each pair comes once, as a point has one
-    leaf. Rows of one key, and of one box, are rows of their own. Points without finite coordinates are in no box; boxes with an edge that is null or no
-    number, or with edges in the wrong order, hold nothing.
-    """
+
+class Meeting(NamedTuple):
+    """Points (p_key, lat, lng) and boxes (number, b_key, edges) by leaves of a quadtree: `points` have their leaf and its size, `meets` has each leaf
+    that a box meets, and whether it lies in the box as a whole."""
+
+    points: DataFrame
+    boxes: DataFrame
+    meets: DataFrame | None
+
+
+def meeting(points: DataFrame, boxes: DataFrame, most: int, key: str, box: str) -> Meeting:
+    """Both sides by the leaves of a quadtree over the points, which splits by counts."""
     own = points.filter(is_placed()).select(F.col(key).alias("p_key"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
-    edges = ["min_lat", "min_lng", "max_lat", "max_lng"]
-    sound = " and ".join(f"{c} is not null and not isnan({c})" for c in edges) + " and min_lat <= max_lat and min_lng <= max_lng"
-    views = boxes.select(F.col(box).alias("b_key"), *[F.col(c).cast("double").alias(c) for c in edges]).filter(sound)
+    views = boxes.select(F.col(box).alias("b_key"), *[F.col(c).cast("double").alias(c) for c in EDGES]).withColumn("number", F.monotonically_increasing_id())
     bounds = own.agg(F.min("lng").alias("x0"), F.max("lng").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1")).first()
-    names = {"b_key": box, "p_key": key}
     if bounds.x0 is None:
-        return views.crossJoin(own.limit(0)).select(*[F.col(a).alias(b) for a, b in names.items()])
+        return Meeting(own, stored(views), None)
     x_of = lambda c: cell_of(F.col(c), bounds.x0, bounds.x1 - bounds.x0, DEPTH)
     y_of = lambda c: cell_of(F.col(c), bounds.y0, bounds.y1 - bounds.y0, DEPTH)
     own = own.withColumns({"x": x_of("lng"), "y": y_of("lat")})
     tables = quadtree(own.groupBy("x", "y").agg(F.count("*").alias("n")), most)
-    leaf_key = ["level", "leaf_x", "leaf_y"]
-    up = lambda c: F.call_function("shiftright", F.col(c), F.lit(DEPTH) - F.col("level"))
 
     level, held = F.lit(None).cast("int"), F.lit(None).cast("long")
+    up = lambda c: F.call_function("shiftright", F.col(c), F.lit(DEPTH) - F.col("level"))
     for i, table in enumerate(tables, 1):
         shift = DEPTH - i * STEP
         t = table.filter("level is not null").select(F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), F.col("level").alias(f"level{i}"), F.col("held").alias(f"held{i}"))
@@ -189,35 +192,73 @@ def box_members(points: DataFrame, boxes: DataFrame, most: int = 5_000, key: str
         level, held = F.coalesce(level, f"level{i}"), F.coalesce(held, f"held{i}")
     own = own.select("p_key", "lat", "lng", "x", "y", level.alias("level"), held.alias("held")).withColumns({"leaf_x": up("x"), "leaf_y": up("y")})
 
-    ends = {"x_low": x_of("min_lng"), "x_high": x_of("max_lng"), "y_low": y_of("min_lat"), "y_high": y_of("max_lat")}
-    meets = (F.col("max_lng") >= bounds.x0) & (F.col("min_lng") <= bounds.x1) & (F.col("max_lat") >= bounds.y0) & (F.col("min_lat") <= bounds.y1)
-    # boxes get a number of their own, so that two with one key and the same edges stay two
-    numbered = stored(views.filter(meets).withColumns(ends).withColumn("number", F.monotonically_increasing_id()))
-    going, reached = numbered.select("*", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")), None
+    # boxes have a number of their own, so that two with one key and the same edges stay two
+    sound = " and ".join(f"{c} is not null and not isnan({c})" for c in EDGES) + " and min_lat <= max_lat and min_lng <= max_lng"
+    near = (F.col("max_lng") >= bounds.x0) & (F.col("min_lng") <= bounds.x1) & (F.col("max_lat") >= bounds.y0) & (F.col("min_lat") <= bounds.y1)
+    numbered = stored(views)
+    reach = {"x_low": x_of("min_lng"), "x_high": x_of("max_lng"), "y_low": y_of("min_lat"), "y_high": y_of("max_lat")}
+    # the outermost cells that are in the box as a whole; the cells that hold its edges are not, but where it goes past the last point
+    full = {
+        "x_from": F.when(F.col("min_lng") <= bounds.x0, 0).otherwise(F.col("x_low") + 1), "x_to": F.when(F.col("max_lng") >= bounds.x1, 1 << DEPTH).otherwise(F.col("x_high") - 1),
+        "y_from": F.when(F.col("min_lat") <= bounds.y0, 0).otherwise(F.col("y_low") + 1), "y_to": F.when(F.col("max_lat") >= bounds.y1, 1 << DEPTH).otherwise(F.col("y_high") - 1),
+    }
+    going = numbered.filter(sound).filter(near).withColumns(reach).withColumns(full).select("number", *reach, *full, F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
+    first = lambda c: F.call_function("shiftleft", F.col(f"leaf_{c}"), F.lit(DEPTH) - F.col("level"))
+    last = lambda c: F.call_function("shiftleft", F.col(f"leaf_{c}") + 1, F.lit(DEPTH) - F.col("level")) - 1
+    whole = (first("x") >= F.col("x_from")) & (last("x") <= F.col("x_to")) & (first("y") >= F.col("y_from")) & (last("y") <= F.col("y_to"))
+    meets = None
     for i, table in enumerate(tables, 1):
         shift = DEPTH - i * STEP
 
         def cells(low: str, high: str, inside: str, shift: int = shift) -> Column:
-            first, last = F.shiftleft(F.col(inside), STEP), F.shiftleft(F.col(inside), STEP) + (1 << STEP) - 1
-            return F.explode(F.sequence(F.greatest(first, F.shiftright(low, shift)), F.least(last, F.shiftright(high, shift))))
+            start, end = F.shiftleft(F.col(inside), STEP), F.shiftleft(F.col(inside), STEP) + (1 << STEP) - 1
+            return F.explode(F.sequence(F.greatest(start, F.shiftright(low, shift)), F.least(end, F.shiftright(high, shift))))
 
         tried = going.select("*", cells("x_low", "x_high", "cx").alias("x")).select("*", cells("y_low", "y_high", "cy").alias("y")).drop("cx", "cy")
         met = tried.join(table, ["x", "y"])
         here = met.filter("level is not null").withColumns({f"leaf_{c}": F.call_function("shiftright", F.col(c), F.lit(i * STEP) - F.col("level")) for c in ("x", "y")})
-        here = here.select("number", *leaf_key, "held").distinct()
-        reached = here if reached is None else reached.unionByName(here)
+        here = here.select("number", *LEAF, "held", whole.alias("whole")).distinct()
+        meets = here if meets is None else meets.unionByName(here)
         going = met.filter("level is null").withColumnsRenamed({"x": "cx", "y": "cy"}).drop("level", "held")
-    reached = stored(reached)
-    parts = lambda c: F.ceil(F.col(c) / most).cast("long")
-    counts = reached.groupBy(*leaf_key).agg(parts_of(F.count("*"), most).alias("b_parts"))
-    copied = reached.withColumn("p_part", F.explode(F.sequence(F.lit(0).cast("long"), parts("held") - 1))).join(counts, leaf_key)
-    copied = copied.withColumn("b_part", F.pmod(F.xxhash64("number"), F.col("b_parts"))).drop("held", "b_parts").join(numbered.select("number", "b_key", *edges), "number")
-    dealt = own.join(counts, leaf_key).withColumn("p_part", F.pmod(F.xxhash64("p_key", "lat", "lng"), parts("held")))
-    dealt = dealt.withColumn("b_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b_parts") - 1))).select("p_key", "lat", "lng", *leaf_key, "p_part", "b_part")
-    pairs = dealt.join(copied, [*leaf_key, "p_part", "b_part"])
-    pairs = pairs.filter(F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lng").between(F.col("min_lng"), F.col("max_lng")))
-    return pairs.select(*[F.col(a).alias(b) for a, b in names.items()])
-
-
-def parts_of(n: Column, most: int) -> Column:
-    return F.ceil(n / most).cast("long")
+    return Meeting(own, numbered, stored(meets))
+
+
+def pairs_in(at: Meeting, meets: DataFrame, most: int) -> DataFrame:
+    """(number, b_key, p_key) of the points in boxes that share one of the leaves in meets; of a leaf, `most` points meet `most` boxes at a time."""
+    parts = lambda c: F.ceil(c / most).cast("long")
+    counts = meets.groupBy(*LEAF).agg(parts(F.count("*")).alias("b_parts"))
+    copied = meets.withColumn("p_part", F.explode(F.sequence(F.lit(0).cast("long"), parts(F.col("held")) - 1))).join(counts, LEAF)
+    copied = copied.withColumn("b_part", F.pmod(F.xxhash64("number"), F.col("b_parts"))).drop("held", "whole", "b_parts").join(at.boxes, "number")
+    dealt = at.points.join(counts, LEAF).withColumn("p_part", F.pmod(F.xxhash64("p_key", "lat", "lng"), parts(F.col("held"))))
+    dealt = dealt.withColumn("b_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b_parts") - 1))).select("p_key", "lat", "lng", *LEAF, "p_part", "b_part")
+    pairs = dealt.join(copied, [*LEAF, "p_part", "b_part"])
+    return pairs.filter(F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lng").between(F.col("min_lng"), F.col("max_lng"))).select("number", "b_key", "p_key")
+
+
+def box_members(points: DataFrame, boxes: DataFrame, most: int = 5_000, key: str = "id", box: str = "box") -> DataFrame:
+    """(box, key) for each point in each box, edges included. boxes: box, min_lat, min_lng, max_lat, max_lng.
+
+    Points are in one leaf of a quadtree that splits by counts, boxes are copied to the leaves they meet, and both meet there by an equi-join. A leaf of
+    more than `most` points (all in one place) or boxes is cut into parts, so no group has more than about `most` of either (copies of a point, key and all, keep
+    together). Each pair comes once, as a point has one leaf. Rows of one key, and of one box, are rows of their own. Points without finite coordinates are in no
+    box; boxes with an edge that is null or no number, or with edges in the wrong order, hold nothing. Where boxes are as dense as points, the
+    pairs themselves grow with the square of the table: box_counts doesn't make them.
+    """
+    at = meeting(points, boxes, most, key, box)
+    if at.meets is None:
+        return at.boxes.crossJoin(at.points.limit(0)).select(F.col("b_key").alias(box), F.col("p_key").alias(key))
+    return pairs_in(at, at.meets, most).select(F.col("b_key").alias(box), F.col("p_key").alias(key))
+
+
+def box_counts(points: DataFrame, boxes: DataFrame, most: int = 500, key: str = "id", box: str = "box") -> DataFrame:
+    """(box, n): the number of points in each box, a row a box, 0 included. Rows as in box_members.
+
+    Leaves that lie in a box as a whole are counted by their sizes; points are looked at in leaves on the edges only, and counted before they are shuffled.
+    """
+    at = meeting(points, boxes, most, key, box)
+    if at.meets is None:
+        return at.boxes.select(F.col("b_key").alias(box), F.lit(0).cast("long").alias("n"))
+    inner = at.meets.filter("whole").groupBy("number").agg(F.sum("held").alias("n"))
+    edge = pairs_in(at, at.meets.filter("not whole"), most).groupBy("number").agg(F.count("*").alias("n"))
+    sums = inner.unionByName(edge).groupBy("number").agg(F.sum("n").alias("n"))
+    return at.boxes.join(sums, "number", "left").select(F.col("b_key").alias(box), F.coalesce("n", F.lit(0)).cast("long").alias("n"))

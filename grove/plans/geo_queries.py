@@ -107,8 +107,11 @@ def _boxes(s, d):
 
 
 Q["geo_box_members"] = lambda s, d: spatial.box_members(pts(s, d), _boxes(s, d))
-O["geo_box_members"] = sql("pts", """SELECT box, id FROM (SELECT id AS box, lat - 0.004e0 AS min_lat, lng - 0.003e0 AS min_lng, lat + 0.002e0 AS max_lat, lng + 0.005e0 AS max_lng FROM pts WHERE id % 50 = 0)
-  JOIN pts ON lat BETWEEN min_lat AND max_lat AND lng BETWEEN min_lng AND max_lng""")
+MEMBERS = """SELECT box, id FROM (SELECT id AS box, lat - 0.004e0 AS min_lat, lng - 0.003e0 AS min_lng, lat + 0.002e0 AS max_lat, lng + 0.005e0 AS max_lng FROM pts WHERE id % 50 = 0)
+  JOIN pts ON lat BETWEEN min_lat AND max_lat AND lng BETWEEN min_lng AND max_lng"""
+O["geo_box_members"] = sql("pts", MEMBERS)
+Q["geo_box_counts"] = lambda s, d: spatial.box_counts(pts(s, d), _boxes(s, d))
+O["geo_box_counts"] = sql("pts", "SELECT p.id AS box, count(m.id) AS n FROM pts p LEFT JOIN m ON m.box = p.id WHERE p.id % 50 = 0 GROUP BY p.id", m=MEMBERS)
 Q["geo_describe"] = lambda s, d: geo.describe(pts(s, d), ["lng", "lat"])
 O["geo_describe"] = sql("pts", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS most FROM pts" for c in ("lng", "lat")))
 Q["geo_smallest5"] = lambda s, d: pts(s, d).orderBy("lat", "id").limit(5).select("id", "lat")

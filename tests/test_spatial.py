@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,12 +117,18 @@ def test_boxes_and_points_against_all_pairs(spark, most):
     boxes += [(101, -90.0, -180.0, 90.0, 180.0), (102, 53.0, 8.0, 51.0, 9.0), (103, None, 8.0, 53.0, 9.0), (104, math.nan, 8.0, 53.0, 9.0), (105, 51.0, 8.0, math.nan, 9.0), (106, -math.inf, -math.inf, math.inf, math.inf)]
     got = spatial.box_members(frame(spark, rows), spark.createDataFrame(boxes, BOXES), most).collect()
     assert sorted((r.box, r.id) for r in got) == brute(rows, boxes)
+    held = Counter(b for b, _ in brute(rows, boxes))
+    times = Counter(b[0] for b in boxes)
+    counted = spatial.box_counts(frame(spark, rows), spark.createDataFrame(boxes, BOXES), most).collect()
+    assert sorted((r.box, r.n) for r in counted) == sorted((b[0], held[b[0]] // times[b[0]]) for b in boxes)
 
 
 def test_no_points_no_boxes_one_place(spark):
     none, one = frame(spark, [(1, "oak", None, None)]), frame(spark, [(i, "oak", 8.0, 50.0) for i in range(9)])
     boxes = spark.createDataFrame([(1, 50.0, 8.0, 50.0, 8.0), (2, 50.1, 8.0, 51.0, 8.0)], BOXES)
     assert spatial.box_members(none, boxes).isEmpty()
+    assert sorted(map(tuple, spatial.box_counts(none, boxes).collect())) == [(1, 0), (2, 0)]
+    assert sorted(map(tuple, spatial.box_counts(one, boxes, most=2).collect())) == [(1, 9), (2, 0)]
     assert spatial.box_members(one, boxes.limit(0)).isEmpty()
     assert sorted((r.box, r.id) for r in spatial.box_members(one, boxes, most=2).collect()) == [(1, i) for i in range(9)]
 
