@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+
 from ..operators import identity as idn
 from ..operators import matching as mat
 from .adapters import frame, sql
@@ -43,6 +47,25 @@ Q["map_warning_groups"] = lambda s, d: idn.mapping_warnings(classified(s, d)).gr
 O["map_warning_groups"] = sql("map", "SELECT code, count(*) AS n, min(line) AS first_line FROM classified WHERE code = 'blank_mapping_qid' GROUP BY code", classified=CLASSIFIED)
 Q["map_entities"] = lambda s, d: idn.mapping_entities(targets(s, d))
 O["map_entities"] = sql("map", "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY line) AS n FROM targets) WHERE n = 1", classified=CLASSIFIED, targets=TARGETS)
+
+
+def gated(s, d):
+    """What building gives for the mapping as it is, and for it without the lines that have issues: all issues and nothing else, or its parts."""
+    given = frame(s, d, "map")
+    out = []
+    for name, rows in (("given", given), ("mended", given.join(idn.mapping_issues(classified(s, d)).select("line"), "line", "left_anti").select(*given.columns))):
+        try:
+            parts = dict(zip(("target", "entity", "warning"), idn.build_mapping(rows), strict=True))
+        except idn.MappingRejected as rejected:
+            parts = {"issue": rejected.issues}
+        out += [part.select(idn.F.lit(name).alias("mapping"), idn.F.lit(kind).alias("kind"), "line") for kind, part in parts.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+Q["map_gate"] = gated
+BUILT = """SELECT 'target' AS kind, line FROM targets UNION ALL SELECT 'entity', min(line) FROM targets GROUP BY qid UNION ALL SELECT 'warning', line FROM classified WHERE code = 'blank_mapping_qid'"""
+O["map_gate"] = sql("map", """SELECT 'mended' AS mapping, kind, line FROM built UNION ALL SELECT 'given', kind, line FROM built WHERE NOT EXISTS (SELECT 1 FROM issues)
+  UNION ALL SELECT 'given', 'issue', line FROM issues""", classified=CLASSIFIED, targets=TARGETS, issues=ISSUES, built=BUILT)
 Q["cad_species"] = species
 O["cad_species"] = sql("cad", "SELECT * FROM species", species=SPECIES)
 Q["cad_conflicts"] = lambda s, d: idn.name_conflicts(frame(s, d, "cad")).select("pos", "key", "common", "kept_common")
