@@ -297,6 +297,18 @@ def packs(ids: DataFrame, key: str, budget: int, most: int) -> DataFrame:
     return sized.applyInArrow(give, "id string, n_bytes int, pack long")
 
 
+#: rows of either side that meet in one task (fixed values)
+LEFT_BLOCK, RIGHT_BLOCK = 512, 256
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of left with every row of right, both stored tables. The pairs are many more than the rows, so they cross no shuffle: both sides are dealt
+    into blocks, and a task makes the pairs of one block with another, so that its work stays the same however large the sides are."""
+    n, m = left.count(), right.count()
+    blocks = max(-(-n // LEFT_BLOCK), min(n, left.sparkSession.sparkContext.defaultParallelism), 1)
+    return left.repartition(blocks).hint("shuffle_replicate_nl").crossJoin(right.repartition(max(-(-m // RIGHT_BLOCK), 1)))
+
+
 def delete_requests(types: DataFrame, attributes: DataFrame, type_id: str, attribute_id: str, path: str, names: tuple[str, str], most_bytes: int = 7500, n_types: int = 100, n_attributes: int = 40) -> DataFrame:
     """The requests of a delete by both keys as (type_pack, attribute_pack, type_ids, attribute_ids, n_bytes, fits): every pack of types with every pack of
     attributes, one request each, as a scope is their product.
@@ -312,10 +324,8 @@ def delete_requests(types: DataFrame, attributes: DataFrame, type_id: str, attri
         return stored(own.withColumnRenamed("pack", f"{name}_pack"))
 
     left, right = listed(types, type_id, n_types, "type"), listed(attributes, attribute_id, n_attributes, "attribute")
-    last = right.agg(F.max("attribute_pack").alias("last"))  # one row; every pair is a request of its own
-    every = left.join(F.broadcast(last)).filter("last is not null").withColumn("attribute_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).join(right, "attribute_pack")
     size = (F.col("type_bytes") + F.col("attribute_bytes") + frame).alias("n_bytes")
-    return every.select("type_pack", "attribute_pack", "type_ids", "attribute_ids", size, (size <= most_bytes).alias("fits"))
+    return _pairs(left, right).select("type_pack", "attribute_pack", "type_ids", "attribute_ids", size, (size <= most_bytes).alias("fits"))
 
 
 def chunk_pairs(types: DataFrame, attributes: DataFrame, type_id: str, attribute_id: str, n_types: int = 100, n_attributes: int = 40) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from urllib.parse import quote_plus
 
 import pytest
+from pyspark.sql import functions as F
 
 from grove.operators import identity as idn
 from grove.operators import matching as mat
@@ -200,3 +201,10 @@ def test_requests_stay_under_their_bound(spark):
     assert [r.fits for r in make([("x" * 200,)], [("y",)], most_bytes=150)] == [False]
     pairs = planner.chunk_pairs(spark.createDataFrame([(i,) for i in [None, *range(40)]], "t int"), spark.createDataFrame([(i,) for i in [None, *range(40)]], "a int"), "t", "a").collect()
     assert [(len(r.type_ids), len(r.attribute_ids)) for r in pairs] == [(40, 40)]
+
+
+def test_pairs_are_dealt_in_blocks_and_cross_no_shuffle(spark):
+    ids = [spark.createDataFrame([(f"{x}{i}",) for i in range(1000)], "x string") for x in "ab"]
+    asked = planner.delete_requests(*ids, "x", "x", "/v", ("a", "b"), n_types=1, n_attributes=1)
+    assert asked.count() == 1_000_000
+    assert max(r["count"] for r in asked.groupBy(F.spark_partition_id()).count().collect()) <= 1.1 * planner.LEFT_BLOCK * planner.RIGHT_BLOCK
