@@ -330,12 +330,11 @@ def delete_requests(types: DataFrame, attributes: DataFrame, type_id: str, attri
 
 def chunk_pairs(types: DataFrame, attributes: DataFrame, type_id: str, attribute_id: str, n_types: int = 100, n_attributes: int = 40) -> DataFrame:
     """The requests of a delete by both keys: every chunk of types with every chunk of attributes, as type_chunk, attribute_chunk and the ids
-    of each in order (at most n_types and n_attributes of them). Null ids, which no list can match, are left out on both sides. Counting the chunks of
-    attributes is a job while the frame is made."""
-    types, attributes = types.filter(F.col(type_id).isNotNull()), attributes.filter(F.col(attribute_id).isNotNull())
-    listed = lambda df, key, size, name: chunks(df.select(key).distinct(), key, size).groupBy(F.col("chunk").alias(f"{name}_chunk")).agg(F.sort_array(F.collect_list(key)).alias(f"{name}_ids"))
-    left, right = listed(types, type_id, n_types, "type"), listed(attributes, attribute_id, n_attributes, "attribute")
-    last = attributes.select(F.count_distinct(attribute_id)).first()[0] - 1  # every pair is a request of its own, so each type chunk meets all others
-    if last < 0:
-        return left.join(right, F.lit(False))
-    return left.withColumn("attribute_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last // n_attributes).cast("long")))).join(right, "attribute_chunk")
+    of each in order (at most n_types and n_attributes of them). Null ids, which no list can match, are left out on both sides. The chunks of both sides
+    are stored while the frame is made; every pair is a request of its own."""
+
+    def listed(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+        own = chunks(df.filter(F.col(key).isNotNull()).select(key).distinct(), key, size)
+        return stored(own.groupBy(F.col("chunk").alias(f"{name}_chunk")).agg(F.sort_array(F.collect_list(key)).alias(f"{name}_ids")))
+
+    return _pairs(listed(types, type_id, n_types, "type"), listed(attributes, attribute_id, n_attributes, "attribute"))

@@ -204,6 +204,10 @@ def test_requests_stay_under_their_bound(spark):
 
 
 def test_pairs_are_dealt_in_blocks_and_cross_no_shuffle(spark):
+    made = planner.chunk_pairs(spark.range(1100).toDF("t"), spark.range(300).toDF("a"), "t", "a", 1, 1)
+    told = made.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in told) == 330_000 and max(r.n for r in told) <= 1.1 * planner.LEFT_BLOCK * planner.RIGHT_BLOCK
+    assert made.select("type_chunk", "attribute_chunk").distinct().count() == 330_000
     ids = [spark.createDataFrame([(f"{x}{i}",) for i in range(1000)], "x string") for x in "ab"]
     asked = planner.delete_requests(*ids, "x", "x", "/v", ("a", "b"), n_types=1, n_attributes=1)
     assert asked.count() == 1_000_000
