@@ -193,3 +193,18 @@ def test_a_write_that_dies_leaves_what_was_there(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         geojson.write_segments(broken_pts, path + "-seg", ["id"], n=2)
     assert sorted(r.properties["id"] for r in geojson.read_segments(spark, path + "-seg").collect()) == ["1", "2"]
+
+
+def test_written_out_turtle_needs_no_tokens(spark, monkeypatch):
+    plain = '<http://a/1> <http://b/x> "q\\"uo\\\\te \\u00e9 ; . #"@DE-at .\n<http://a/1>\t<http://b/x> <http://c/2> .\n\n<http://a/1> <http://b/y> "" . <http://a/1> <http://b/y> "" .'
+    odd = ['"x" .', "<http://a/1> <http://b/x> 5 .", '<http://a/1> <http://b/x> """a\n"b""" .', '@prefix a: <http://a/> .\na:1 a:x "y"@en, a:z ; a a:T .', plain + "\n# note\n", ""]
+    read = lambda text: [tuple(r) for r in zip(*markup.turtle_columns(text), strict=True)]
+    for text in (plain, *odd[1:]):
+        assert read(text) == markup.read_turtle(text), text
+    with pytest.raises(markup.TurtleError):
+        read(odd[0])
+    files = spark.createDataFrame([("Q1", plain), ("Q2", odd[3]), ("Q3", None)], "entity string, text string")
+    assert sorted(map(tuple, markup.scan_turtle(files, 2).collect()), key=str) == sorted([(e, *f) for e, x in (("Q1", plain), ("Q2", odd[3])) for f in markup.read_turtle(x)], key=str)
+    want = markup.read_turtle(plain)
+    monkeypatch.setattr(markup, "read_turtle", None)
+    assert read(plain) == want and len(want) == 3
