@@ -9,7 +9,7 @@ from ..operators import activity as act
 from ..operators import geo
 from ..operators import relations as rel
 from ..sources import delimited, geojson, markup
-from ..sources.scratch import shared_path
+from ..sources.scratch import shared_path, stored
 from ..streaming import activity as live
 from .adapters import frame, sql
 
@@ -260,7 +260,9 @@ def plane_collections(s, d):
     plane = [F.lit(400000.0) + F.col("p_partkey") * 9.5, F.lit(5700000.0) + F.col("p_size") * 1000.25]
     xy = [F.when(F.col("p_partkey") % 4 == 0, v).otherwise(c).cast("string") for v, c in zip((8.5, 52.25), plane, strict=True)]
     text = F.concat(F.lit('{"crs": {"type": "name", "properties": {"name": "'), system, F.lit('"}}, "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": ['), xy[0], F.lit(", "), xy[1], F.lit("]}}]}"))
-    return t(s, d, "part").select("p_partkey", geojson.parse_collections(text).alias("c"))
+    # a small file is one task's, but its texts are dear to parse; stored, as a filter would be moved to where one task parses all
+    parts = t(s, d, "part").select("p_partkey", "p_size").repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
+    return stored(parts.select("p_partkey", geojson.parse_collections(text).alias("c")))
 
 
 Q["src_geojson_crs"] = lambda s, d: geojson.feature_rows(plane_collections(s, d).filter("c.code is null").select("p_partkey", "c.features", "c.utm_zone")).select("p_partkey", F.round("lng", 8).alias("lng"), F.round("lat", 8).alias("lat"))

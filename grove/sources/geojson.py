@@ -48,8 +48,12 @@ def parse_collections(text: Column) -> Column:
 
     Coordinates are degrees (EPSG:4326, CRS84, or no system named) or metres of a northern UTM zone (EPSG:258zz, 326zz), which is told.
     """
-    parsed = F.from_json(text, SCHEMA)
-    json = F.try_parse_json(text)
+    both = F.struct(F.from_json(text, SCHEMA).alias("parsed"), F.try_parse_json(text).alias("json"))
+    return F.get(F.transform(F.array(both), _told), F.lit(0))  # a lambda's variable: what it stands for is parsed once, however often it is read
+
+
+def _told(x: Column) -> Column:
+    parsed, json = x["parsed"], x["json"]
     system = F.upper(parsed["crs"]["properties"]["name"])
     zone = F.regexp_extract(system, r"EPSG:+(?:258|326)(\d\d)$", 1)
     known = system.isNull() | system.rlike("(EPSG:+4326|CRS84)$") | zone.between("01", "60")

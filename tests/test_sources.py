@@ -208,3 +208,9 @@ def test_written_out_turtle_needs_no_tokens(spark, monkeypatch):
     want = markup.read_turtle(plain)
     monkeypatch.setattr(markup, "read_turtle", None)
     assert read(plain) == want and len(want) == 3
+
+
+def test_collections_of_a_small_file_are_parsed_by_many_tasks(spark):
+    from grove.plans.app_queries import plane_collections
+
+    assert plane_collections(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
