@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain, groupby
+from itertools import chain, groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,12 +71,13 @@ def after(line: str, sep: str, quoted: bool) -> tuple[bool, int]:
 @dataclass(frozen=True)
 class Place:
     """Where a range stands in its file: whether a quoted field is open at its beginning and at its end, the rows that ended before, and the range
-    in which the lines that hold the open field began."""
+    in which the lines that hold the open field began; and whether a carriage return stands within one of its lines."""
 
     quoted: bool = False
     open: bool = False
     before: int = 0
     owner: int = 0
+    returns: bool = False
 
 
 def _first(start: int, lines: Iterator[str]) -> Iterator[str]:
@@ -87,9 +88,9 @@ def _first(start: int, lines: Iterator[str]) -> Iterator[str]:
 
 def _effects(batches: Iterator[pa.RecordBatch], sep: str) -> Iterator[pa.RecordBatch]:
     """First pass: whether a range ends in quotes and how many rows end in it, for either state it may begin in; and whether any
-    line ends out of quotes if it begins in them."""
+    line ends out of quotes if it begins in them, and any has a carriage return within."""
     for (path, start), lines in ranges.by_range(batches):
-        ends, rows, closed = [False, True], [0, 0], False
+        ends, rows, closed, returns = [False, True], [0, 0], False, False
         for line in _first(start, lines):
             if ends[0] == ends[1]:
                 quoted, n = after(line, sep, ends[0])
@@ -99,18 +100,19 @@ def _effects(batches: Iterator[pa.RecordBatch], sep: str) -> Iterator[pa.RecordB
                     ends[k], n = after(line, sep, ends[k])
                     rows[k] += n
             closed |= not ends[1]
-        yield pa.RecordBatch.from_pylist([{"path": path, "start": start, "end0": ends[0], "end1": ends[1], "n0": rows[0], "n1": rows[1], "closed": closed}])
+            returns = returns or "\r" in line[:-1]
+        yield pa.RecordBatch.from_pylist([{"path": path, "start": start, "end0": ends[0], "end1": ends[1], "n0": rows[0], "n1": rows[1], "closed": closed, "returns": returns}])
 
 
 def _places(pieces: DataFrame, sep: str) -> dict[ranges.Key, Place]:
     """What comes before each range, composed along each file."""
-    told = pieces.mapInArrow(lambda batches: _effects(batches, sep), "path string, start long, end0 boolean, end1 boolean, n0 long, n1 long, closed boolean").toArrow().to_pylist()
+    told = pieces.mapInArrow(lambda batches: _effects(batches, sep), "path string, start long, end0 boolean, end1 boolean, n0 long, n1 long, closed boolean, returns boolean").toArrow().to_pylist()
     out: dict[ranges.Key, Place] = {}
     for path, own in groupby(sorted(told, key=lambda r: (r["path"], r["start"])), lambda r: r["path"]):
         quoted, before, owner = False, 0, 0
         for r in own:
             end, n = (r["end1"], r["n1"]) if quoted else (r["end0"], r["n0"])
-            out[path, r["start"]] = Place(quoted, end, before, owner)
+            out[path, r["start"]] = Place(quoted, end, before, owner, r["returns"])
             if not quoted or r["closed"]:  # what is open at the end began here
                 owner = r["start"]
             quoted, before = end, before + n
@@ -145,12 +147,13 @@ class Contract:
     header: bool
     ragged: bool
 
-    def rows(self, name: str, lines: Iterator[str], before: int) -> Iterator[pa.RecordBatch]:
-        """Fields of the rows in some lines, with their numbers, some thousand at a time."""
+    def rows(self, name: str, lines: Iterator[str], before: int, cut: bool = False) -> Iterator[pa.RecordBatch]:
+        """Fields of the rows in some lines, with their numbers, some thousand at a time; cut: the last row is not whole and left out."""
         n, line, fields = len(self.columns), [], []
         schema = pa.schema([("line", pa.int64()), ("f", pa.list_(pa.string()))])
         csv.field_size_limit(1 << 62)  # a field may be as long as its file
-        for i, r in enumerate((r for r in csv.reader(lines, delimiter=self.sep) if r), before + 1):
+        found = (r for r in csv.reader(lines, delimiter=self.sep) if r)
+        for i, r in enumerate((r for r, _ in pairwise(found)) if cut else found, before + 1):
             if self.header and i == 1:
                 if r != list(self.columns):
                     raise SourceError(f"invalid_header: {name}: {r}")
@@ -174,6 +177,25 @@ def _text(lines: list[str], last: bool = False) -> Iterator[str]:
     return (x + "\n" for x in lines)
 
 
+def _broken(lines: Iterator[str]) -> Iterator[str]:
+    """Lines with a break between them, none behind the last."""
+    held = next(lines, None)
+    for line in lines:
+        yield held + "\n"
+        held = line
+    if held is not None:
+        yield held
+
+
+def _behind_head(lines: Iterator[str], sep: str, place: Place) -> tuple[int, Iterator[str]]:
+    """The lines behind the row that began before the range, and how many rows ended before them."""
+    quoted, before = place.quoted, place.before
+    while quoted and (line := next(lines, None)) is not None:
+        quoted, n = after(line, sep, quoted)
+        before += n
+    return before, lines
+
+
 def scan(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = True, ragged: bool = False, untrimmed: tuple[str, ...] = ()) -> DataFrame:
     """The rows of the file(s) at path with `line`, the ordinal of the row in its file (the header is 1, the first row 2).
 
@@ -194,6 +216,10 @@ def scan(spark: SparkSession, path: str, columns: list[str], sep: str = ",", hea
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (name, start), lines in ranges.by_range(batches):
             place = shared.value.get((name, start), Place())
+            if shared.value and not place.returns:  # the parser finds the rows' ends by itself
+                before, rest = _behind_head(_first(start, lines), sep, place)
+                yield from contract.rows(name, _broken(rest), before, place.open)
+                continue
             begun: list[int] = []
 
             def own(lines: Iterator[str], place: Place, begun: list[int], name: str = name, start: int = start) -> Iterator[str]:

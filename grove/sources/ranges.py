@@ -8,10 +8,11 @@ composed along the file. The driver does that, with one small row a range; Spark
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import groupby, islice
+from itertools import groupby, islice, pairwise
 from operator import itemgetter
 from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,18 @@ def whole_files(spark: SparkSession, path: str) -> bool:
     return size <= min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Key, pa.Array]]:
+    """Pieces that stand together and are of one range."""
+    for b in batches:
+        if b.num_rows:
+            paths, starts = b.column(0).dictionary_encode(), b.column(1).to_numpy(zero_copy_only=False)
+            codes = paths.indices.to_numpy(zero_copy_only=False)
+            at = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist(), b.num_rows]
+            for i, j in pairwise(at):
+                yield (b.column(0)[i].as_py(), int(starts[i])), b.column(2).slice(i, j - i)
+
+
 def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Key, Iterator]]:
     """The pieces of each range of a task."""
-    flat = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-    for key, rows in groupby(flat, itemgetter(0, 1)):
-        yield key, (r[2] for r in rows)
+    for key, own in groupby(_runs(batches), itemgetter(0)):
+        yield key, (x for _, values in own for x in values.to_numpy(zero_copy_only=False).tolist())

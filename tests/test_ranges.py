@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 
 from grove.sources import delimited, ranges
@@ -82,3 +83,20 @@ def test_contract_holds_in_every_range(spark, tmp_path, small_ranges):
             delimited.scan_mapping(spark, str(path)).collect()
     path.write_text("")
     assert delimited.scan_mapping(spark, str(path)).count() == 0
+
+
+def test_rows_behind_a_head_and_before_a_tail():
+    lines = ['still open', 'closed";b', 'c;"d', 'e";', '', 'f;g', 'h;"open', 'on']
+    place = delimited.Place(True, True, 7, 0)
+    before, rest = delimited._behind_head(iter(lines), ";", place)
+    contract = delimited.Contract(("x", "y"), ";", False, False)
+    got = [r for b in contract.rows("f", delimited._broken(rest), before, place.open) for r in b.to_pylist()]
+    assert [(r["line"], r["f"]) for r in got] == [(9, ["c", "d\ne"]), (10, ["f", "g"])]
+    cut = [b for kind, held, n in delimited._split(iter(lines), ";", place) if kind == "rows" for b in held]
+    assert cut == lines[2:6]
+
+
+def test_pieces_by_range_of_mixed_batches():
+    batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["path", "start", "value"])
+    batches = [batch(("a", 0, "1"), ("a", 0, "2"), ("a", 9, "3")), batch(), batch(("a", 9, "4"), ("b", 9, "5"))]
+    assert [(k, list(v)) for k, v in ranges.by_range(iter(batches))] == [(("a", 0), ["1", "2"]), (("a", 9), ["3", "4"]), (("b", 9), ["5"])]
