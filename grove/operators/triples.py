@@ -87,6 +87,16 @@ def with_secondary(kept: DataFrame, raw: DataFrame) -> DataFrame:
     return kept.unionByName(raw.join(links_to_entities(kept), ["entity", "s"], "left_semi").select(*COLUMNS)).distinct()
 
 
+def closure(raw: DataFrame, ignored: DataFrame) -> DataFrame:
+    """main_facts with all raw facts of entities that they point to, as with_secondary gives them. raw is a set and main_facts a part of it, so that only
+    the other part is looked up, and nothing needs to be made distinct."""
+    kept = main_facts(raw, ignored)
+    told = raw.join(ignored.select("property_id", F.lit(True).alias("ignored")).distinct(), property_id() == F.col("property_id"), "left")
+    mine = (F.col("s") == subject()) & ((F.col("p") == LABEL) | (F.startswith("p", F.lit(WDT)) & F.col("ignored").isNull()))
+    others = told.filter(~F.coalesce(mine, F.lit(False))).select(*COLUMNS)
+    return kept.unionByName(others.join(links_to_entities(kept), ["entity", "s"], "left_semi").select(*COLUMNS))
+
+
 def german_or_english(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("o_lang").isNull() | F.col("o_lang").isin("de", "en"))
 

@@ -105,8 +105,7 @@ def inlined(s, d):
 
 
 def closed(s, d):
-    facts = raw(s, d)
-    return tri.with_secondary(own(s, d, facts), facts)
+    return tri.closure(raw(s, d), config(s, d).filter("action = 'ignore'"))
 
 
 def labels(s, d):

@@ -67,3 +67,15 @@ def test_values_and_types(spark):
     long = att.melt_joined(wide.select("id", "name"), "id", ["name"], spark.createDataFrame([("name", "g")], "attribute string, group_name string"))
     assert {(r.id, r.value, r.group_name) for r in long.collect()} == {(1, "x", "g"), (2, None, "g")}
     assert att.with_surrogates(wide, ["name"], "key").select(F.countDistinct("key")).first()[0] == 2
+
+
+def test_closure_is_that_of_with_secondary_without_a_distinct(spark):
+    q = lambda i: f"{tri.WD}Q{i}"
+    own = [("Q1", q(1), tri.WDT + "P1", "iri", q(1), None), ("Q1", q(1), tri.WDT + "P1", "iri", q(2), None), ("Q1", q(1), tri.WDT + "P9", "iri", q(3), None), ("Q1", q(1), tri.LABEL, "literal", "a", "de"), ("Q1", q(1), "http://schema.org/about", "iri", q(4), None)]
+    others = [("Q1", q(i), tri.LABEL, "literal", f"x{i}", lang) for i in (2, 3, 4) for lang in ("de", "fr", None)] + [("Q2", q(2), tri.WDT + "P9", "literal", "b", None), ("Q2", q(2), tri.LABEL, "literal", "b", "en"), ("Q1", q(2), None, "literal", "no p", None), ("Q1", q(1), None, "literal", "no p", None)]
+    raw = spark.createDataFrame(own + others, "entity string, s string, p string, o_kind string, o_value string, o_lang string")
+    ignored = spark.createDataFrame([("P9",)], "property_id string")
+    got = tri.closure(raw, ignored)
+    want = tri.with_secondary(tri.main_facts(raw, ignored), raw)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert got.count() == 11 and got._jdf.queryExecution().optimizedPlan().toString().startswith("Union") and not want._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
