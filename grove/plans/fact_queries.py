@@ -115,8 +115,13 @@ def labels(s, d):
 
 
 def done(s, d):
-    """Processed facts as a table: exports and vocabularies read them several times."""
-    return stored(tri.process(raw(s, d), config(s, d)))
+    """Processed facts as a table: exports read them several times."""
+    return stored(processed(s, d))
+
+
+def processed(s, d):
+    """Processed facts for who reads them once: what is not asked for need not be made."""
+    return tri.process(raw(s, d), config(s, d))
 
 
 Q["tri_main"] = own
@@ -131,7 +136,7 @@ Q["tri_closure"] = closed
 O["tri_closure"] = sql("cfg tri", CLOSED.replace("inlined", "own"), **CFG, own=OWN)
 Q["tri_multilang"] = lambda s, d: tri.resolved_literals(raw(s, d).filter("o_kind = 'literal'"), ["entity", "s", "p"])
 O["tri_multilang"] = sql("tri", "SELECT entity, s, p, o_kind, o_value, o_lang FROM (SELECT *, bool_or(coalesce(o_lang, '') = 'de') OVER (PARTITION BY entity, s, p) AS g FROM tri WHERE o_kind = 'literal') WHERE o_lang IS NULL OR o_lang = CASE WHEN g THEN 'de' ELSE 'en' END")
-Q["tri_process"] = lambda s, d: tri.process(raw(s, d), config(s, d))
+Q["tri_process"] = processed
 O["tri_process"] = sql("cfg tri", "SELECT * FROM done", **TRI)
 EXPORT = f"""SELECT t.line, t.qid, t.botanic, t.common, v.property_id, coalesce(v.attribute_name, '') AS attribute_name, v.value, v.group_name FROM targets t JOIN (
   SELECT entity, property_id, attribute_name, group_name, o_value AS value FROM mine JOIN props ON inline_target IS NOT NULL AND p = '{tri.NS}' || inline_target
@@ -171,5 +176,5 @@ O["tri_new_properties"] = sql("cfg tri", f"""SELECT property_id, coalesce(type,
   FROM (SELECT DISTINCT replace(p, '{WDT}', '') AS property_id FROM tri WHERE starts_with(p, '{WDT}')) LEFT JOIN meta USING (property_id) WHERE property_id NOT IN (SELECT property_id FROM cfg)""", **MET)
 Q["tri_vocab"] = lambda s, d: tri.vocabulary_iris(done(s, d), config(s, d))
 O["tri_vocab"] = sql("cfg tri", f"SELECT replace(p, '{WDT}', '{WD}') AS iri FROM done WHERE starts_with(p, '{WDT}') UNION SELECT '{WD}' || property_id FROM parsed WHERE inline_target IS NOT NULL UNION SELECT '{WD}' || inline_source FROM parsed WHERE regexp_full_match(inline_source, 'P\\d+')", **TRI)
-Q["tri_vocab_labels"] = lambda s, d: tri.namespace_labels(done(s, d), config(s, d))
+Q["tri_vocab_labels"] = lambda s, d: tri.namespace_labels(processed(s, d), config(s, d))
 O["tri_vocab_labels"] = sql("cfg tri", f"SELECT DISTINCT '{tri.NS}' || inline_target AS p, coalesce(nullif(description, ''), replace(inline_target, '_', ' ')) AS label FROM parsed WHERE '{tri.NS}' || inline_target IN (SELECT p FROM done)", **TRI)

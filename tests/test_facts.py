@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from grove.operators import attributes as att
@@ -79,3 +80,14 @@ def test_closure_is_that_of_with_secondary_without_a_distinct(spark):
     want = tri.with_secondary(tri.main_facts(raw, ignored), raw)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert got.count() == 11 and got._jdf.queryExecution().optimizedPlan().toString().startswith("Union") and not want._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+@pytest.mark.parametrize("name", ["tri_vocab_labels"])
+def test_vocabularies_store_no_processed_facts(spark, name):
+    from grove.plans.fact_queries import Q
+    from grove.sources import scratch
+
+    before = set(scratch._tables)
+    Q[name](spark, "/root/testdata/sf0.001")
+    made = [spark.read.parquet(p).columns for p in scratch._tables if p not in before]
+    assert made.count(tri.COLUMNS) == 1  # the raw ones
