@@ -174,7 +174,7 @@ Q["tri_new_properties"] = lambda s, d: tri.new_properties(raw(s, d), config(s, d
 O["tri_new_properties"] = sql("cfg tri", f"""SELECT property_id, coalesce(type, '') AS type, CASE WHEN type = 'WikibaseItem' THEN 'inline' ELSE '' END AS action,
   CASE WHEN type = 'WikibaseItem' THEN '{{"target": "' || coalesce({q_slug('label')}, lower(property_id)) || '", "keep_source": true}}' ELSE '' END AS config, coalesce(description, '') AS description, CASE WHEN type = 'ExternalId' THEN 'skip' ELSE '' END AS import
   FROM (SELECT DISTINCT replace(p, '{WDT}', '') AS property_id FROM tri WHERE starts_with(p, '{WDT}')) LEFT JOIN meta USING (property_id) WHERE property_id NOT IN (SELECT property_id FROM cfg)""", **MET)
-Q["tri_vocab"] = lambda s, d: tri.vocabulary_iris(done(s, d), config(s, d))
+Q["tri_vocab"] = lambda s, d: tri.vocabulary_iris(processed(s, d), config(s, d))
 O["tri_vocab"] = sql("cfg tri", f"SELECT replace(p, '{WDT}', '{WD}') AS iri FROM done WHERE starts_with(p, '{WDT}') UNION SELECT '{WD}' || property_id FROM parsed WHERE inline_target IS NOT NULL UNION SELECT '{WD}' || inline_source FROM parsed WHERE regexp_full_match(inline_source, 'P\\d+')", **TRI)
 Q["tri_vocab_labels"] = lambda s, d: tri.namespace_labels(processed(s, d), config(s, d))
 O["tri_vocab_labels"] = sql("cfg tri", f"SELECT DISTINCT '{tri.NS}' || inline_target AS p, coalesce(nullif(description, ''), replace(inline_target, '_', ' ')) AS label FROM parsed WHERE '{tri.NS}' || inline_target IN (SELECT p FROM done)", **TRI)

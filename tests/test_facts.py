@@ -82,7 +82,7 @@ def test_closure_is_that_of_with_secondary_without_a_distinct(spark):
     assert got.count() == 11 and got._jdf.queryExecution().optimizedPlan().toString().startswith("Union") and not want._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
-@pytest.mark.parametrize("name", ["tri_vocab_labels"])
+@pytest.mark.parametrize("name", ["tri_vocab", "tri_vocab_labels"])
 def test_vocabularies_store_no_processed_facts(spark, name):
     from grove.plans.fact_queries import Q
     from grove.sources import scratch
