@@ -5,11 +5,10 @@ Everything happens within an entity's own graph, so joins go by (entity, ...).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings as st
-from ..sources.scratch import stored
 
 WD = "http://www.wikidata.org/entity/"
 WDT = "http://www.wikidata.org/prop/direct/"
@@ -37,45 +36,87 @@ def main_facts(raw: DataFrame, ignored: DataFrame) -> DataFrame:
     return own.withColumn("property_id", property_id()).join(ignored.select("property_id"), "property_id", "left_anti").select(*COLUMNS)
 
 
+def place_in(chain: str) -> Column:
+    """Place of a literal's language in the chain; null if it has none."""
+    lang = F.coalesce("o_lang", F.lit("plain"))
+    return F.coalesce(*[F.when(lang == x, i) for i, x in enumerate(CHAINS[chain])])
+
+
+def is_label(chain: str, predicate: str = LABEL) -> Column:
+    return (F.col("p") == predicate) & (F.col("o_kind") == "literal") & place_in(chain).isNotNull()
+
+
+def ranked_label(chain: str) -> Column:
+    """A label behind its language's place in the chain, so that the least text is the preferred one; null for other facts."""
+    return F.when(is_label(chain), F.concat(place_in(chain).cast("string"), "o_value"))
+
+
+def label_of(ranked: str) -> Column:
+    return F.substr(F.col(ranked), F.lit(2))
+
+
+def language_of(ranked: str, chain: str) -> Column:
+    return F.coalesce(*[F.when(F.startswith(ranked, F.lit(str(i))), x) for i, x in enumerate(CHAINS[chain]) if x != "plain"])
+
+
 def preferred_labels(raw: DataFrame, chain: str, predicate: str = LABEL, keys: tuple[str, ...] = ("entity", "s")) -> DataFrame:
     """(keys, label, label_lang): the literal whose language comes first in the chain; of several, the least text.
 
     One aggregate: the least (place in the chain, text) is combined before the shuffle.
     """
-    lang = F.coalesce("o_lang", F.lit("plain"))
-    place = F.coalesce(*[F.when(lang == x, i) for i, x in enumerate(CHAINS[chain])])
-    labels = raw.filter((F.col("p") == predicate) & (F.col("o_kind") == "literal")).withColumn("place", place).filter("place is not null")
+    labels = raw.filter(is_label(chain, predicate)).withColumn("place", place_in(chain))
     best = labels.groupBy(*keys).agg(F.min(F.struct("place", "o_value", "o_lang")).alias("b"))
     return best.select(*keys, F.col("b.o_value").alias("label"), F.col("b.o_lang").alias("label_lang"))
 
 
-def inline_hits(kept: DataFrame, raw: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts that inlining leaves alone, links of inlined properties with inline_target, keep_source, label and label_lang).
-
-    Only the second, a table, has met the labels: the rest of the facts takes part in no shuffle.
-    """
-    inline = config.filter("inline_target is not null").select("property_id", "inline_target", "keep_source")
-    own_property = F.when((F.col("s") == subject()) & F.startswith("p", F.lit(WDT)), property_id())
-    facts = kept.withColumn("property_id", own_property).join(inline, "property_id", "left")
-    link = F.col("inline_target").isNotNull() & (F.col("o_kind") == "iri")
-    labels = preferred_labels(raw, "inline").withColumnRenamed("s", "o_value")
-    hits = stored(facts.filter(link).join(labels, ["entity", "o_value"], "left").select(*COLUMNS, "inline_target", "keep_source", "label", "label_lang"))
-    return facts.filter(~link).select(*COLUMNS), hits
-
+#: what an entity's graph makes of a fact: of another subject; the entity's own; of these, one that points to an entity; one whose property is
+#: inlined and leaves nothing, or stays beside its label
+OTHER, OWN, LINK, INLINED, INLINED_KEPT = range(5)
 
-def inlined_facts(hits: DataFrame) -> DataFrame:
-    """The labels as facts of their own; two links may have the same one, so these, and only these, are made distinct."""
-    named = hits.filter("label is not null").select("entity", "s", F.concat(F.lit(NS), "inline_target").alias("p"), F.lit("literal").alias("o_kind"), F.col("label").alias("o_value"), F.col("label_lang").alias("o_lang"))
-    return named.distinct()
 
+def told_by_graphs(raw: DataFrame, config: DataFrame) -> DataFrame:
+    """raw, each fact once, with what its entity's graph tells of it: role (as above), inline_target of the property, ranked (the label for inlining of
+    the fact's node), met (a link that inlining leaves points to that node) and itself (one points to the entity).
 
-DROPPED = "label is not null and not keep_source"
-
-
-def inline_labels(kept: DataFrame, raw: DataFrame, config: DataFrame) -> DataFrame:
-    """For inlined properties, the object's label as a fact of its own; the link goes unless it is kept or has no label."""
-    rest, hits = inline_hits(kept, raw, config)
-    return rest.unionByName(hits.filter(f"not ({DROPPED})").select(*COLUMNS)).unionByName(inlined_facts(hits))
+    A fact's node is what a link points to, else the subject. So facts are dealt by entity once, and windows over a node's facts stand for
+    the joins of links with labels and of facts with links. Until then rows are kept short, as they are copied often: node stands for s or o_value.
+    """
+    rules = config.select("property_id", (F.col("action") == "ignore").alias("ignored"), "inline_target", "keep_source")
+    own = F.coalesce(F.col("s") == subject(), F.lit(False))
+    facts = raw.withColumn("property_id", F.when(own & F.startswith("p", F.lit(WDT)), property_id())).join(rules, "property_id", "left")
+    mine = own & ((F.col("p") == LABEL) | (F.col("property_id").isNotNull() & ~F.coalesce("ignored", F.lit(False))))
+    entity, iri = F.startswith("o_value", F.lit(WD)), F.col("o_kind") == "iri"
+    role = F.when(mine & iri & F.col("inline_target").isNotNull(), F.when(F.col("keep_source"), INLINED_KEPT).otherwise(INLINED)).when(mine & iri & entity, LINK).when(mine, OWN).otherwise(OTHER)
+    facts = facts.withColumn("role", role)
+    link = F.col("role") >= LINK
+    facts = facts.select("entity", F.when(link, F.col("o_value")).otherwise(F.col("s")).alias("node"), "role", F.when(link, F.col("inline_target")).alias("inline_target"), "p", "o_kind", F.when(~link, F.col("o_value")).alias("o_value"), "o_lang")
+    node, graph = Window.partitionBy("entity", "node"), Window.partitionBy("entity")
+    strength = F.when(link & F.startswith("node", F.lit(WD)), F.when(F.col("role") == INLINED, 1).otherwise(2))  # 1: a link that a label takes the place of
+    facts = facts.repartition("entity").withColumns({"ranked": F.min(F.when(F.col("node").isNotNull(), ranked_label("inline"))).over(node), "strength": F.max(strength).over(node)})
+    facts = facts.withColumn("met", F.coalesce((F.col("strength") == 2) | ((F.col("strength") == 1) & F.col("ranked").isNull()), F.lit(False)))
+    facts = facts.withColumn("itself", F.coalesce(F.max(F.when(F.col("node") == subject(), F.col("met"))).over(graph), F.lit(False)))
+    back = {"s": F.when(link, subject()).otherwise(F.col("node")), "o_value": F.when(link, F.col("node")).otherwise(F.col("o_value"))}
+    return facts.select(*[back[c].alias(c) if c in back else c for c in COLUMNS], "role", "inline_target", "ranked", "met", "itself")
+
+
+NAMED = f"(role >= {INLINED} and ranked is not null)"
+DROPPED = f"(role = {INLINED} and ranked is not null)"
+
+
+def with_inlined(told: DataFrame, kept: str) -> DataFrame:
+    """Facts that are kept, and the labels of inlined links as facts of their own. Two links may have the same one: of such facts, and only these, one is taken."""
+    new = F.expr(f"case when {kept} and {NAMED} then array(false, true) when {kept} then array(false) when {NAMED} then array(true) end")
+    rows = told.withColumn("new", F.explode(new))
+    made = {"p": F.concat(F.lit(NS), "inline_target"), "o_kind": F.lit("literal"), "o_value": label_of("ranked"), "o_lang": language_of("ranked", "inline")}
+    rows = rows.select(*[F.when(F.col("new"), made[c]).otherwise(F.col(c)).alias(c) if c in made else c for c in COLUMNS])
+    rows = rows.withColumn("same", F.when(F.startswith("p", F.lit(NS)), F.struct(*COLUMNS[1:])))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("entity", "same").orderBy("s"))).filter("same is null or n = 1").select(*COLUMNS)
+
+
+def inline_labels(raw: DataFrame, config: DataFrame) -> DataFrame:
+    """Own facts; for inlined properties, the object's label as a fact of its own; the link goes unless it is kept or has no label."""
+    told = told_by_graphs(raw.filter((F.col("s") == subject()) | is_label("inline")), config).filter(f"role <> {OTHER}")
+    return with_inlined(told, f"not {DROPPED}")
 
 
 def links_to_entities(kept: DataFrame) -> DataFrame:
@@ -98,7 +139,7 @@ def closure(raw: DataFrame, ignored: DataFrame) -> DataFrame:
 
 
 def german_or_english(facts: DataFrame) -> DataFrame:
-    return facts.filter(F.col("o_lang").isNull() | F.col("o_lang").isin("de", "en"))
+    return facts.filter("o_lang is null or o_lang in ('de', 'en')")
 
 
 def process(raw: DataFrame, config: DataFrame) -> DataFrame:
@@ -106,16 +147,10 @@ def process(raw: DataFrame, config: DataFrame) -> DataFrame:
 
     raw is a set, so a fact can only come twice where an entity points to itself. Such a one brings in its facts that are not among its own
     ones and the links that inlining dropped; what others point to is never an own fact. So nothing needs to be made distinct here.
+    Literals in other languages tell nothing and go first; links in other languages still point to something.
     """
-    ignored = config.filter("action = 'ignore'")
-    rest, hits = inline_hits(main_facts(raw, ignored), raw, config)
-    kept = rest.unionByName(hits.filter(f"not ({DROPPED})").select(*COLUMNS))
-    linked = links_to_entities(kept)
-    others = raw.join(ignored.select("property_id", F.lit(True).alias("ignored")), property_id() == F.col("property_id"), "left")
-    mine = (F.col("s") == subject()) & ((F.col("p") == LABEL) | (F.startswith("p", F.lit(WDT)) & F.col("ignored").isNull()))
-    second = german_or_english(others.filter(~mine).select(*COLUMNS)).unionByName(german_or_english(hits.filter(DROPPED).select(*COLUMNS)))
-    out = german_or_english(kept).unionByName(german_or_english(inlined_facts(hits)))
-    return out.unionByName(second.join(linked, ["entity", "s"], "left_semi").select(*COLUMNS))
+    told = told_by_graphs(raw.filter("o_lang is null or o_lang in ('de', 'en') or o_kind = 'iri'"), config)
+    return german_or_english(with_inlined(told, f"(case when role = {OTHER} then met else itself or not {DROPPED} end)"))
 
 
 def resolved_literals(literals: DataFrame, keys: list[str]) -> DataFrame:

@@ -95,13 +95,12 @@ def raw(s, d):
     return stored(frame(s, d, "tri"))
 
 
-def own(s, d, facts=None):
-    return tri.main_facts(facts if facts is not None else raw(s, d), config(s, d).filter("action = 'ignore'"))
+def own(s, d):
+    return tri.main_facts(raw(s, d), config(s, d).filter("action = 'ignore'"))
 
 
 def inlined(s, d):
-    facts = raw(s, d)
-    return tri.inline_labels(own(s, d, facts), facts, config(s, d))
+    return tri.inline_labels(frame(s, d, "tri"), config(s, d))
 
 
 def closed(s, d):
@@ -136,7 +135,7 @@ Q["tri_closure"] = closed
 O["tri_closure"] = sql("cfg tri", CLOSED.replace("inlined", "own"), **CFG, own=OWN)
 Q["tri_multilang"] = lambda s, d: tri.resolved_literals(raw(s, d).filter("o_kind = 'literal'"), ["entity", "s", "p"])
 O["tri_multilang"] = sql("tri", "SELECT entity, s, p, o_kind, o_value, o_lang FROM (SELECT *, bool_or(coalesce(o_lang, '') = 'de') OVER (PARTITION BY entity, s, p) AS g FROM tri WHERE o_kind = 'literal') WHERE o_lang IS NULL OR o_lang = CASE WHEN g THEN 'de' ELSE 'en' END")
-Q["tri_process"] = processed
+Q["tri_process"] = lambda s, d: tri.process(frame(s, d, "tri"), config(s, d))  # facts are read once, so they are not stored
 O["tri_process"] = sql("cfg tri", "SELECT * FROM done", **TRI)
 EXPORT = f"""SELECT t.line, t.qid, t.botanic, t.common, v.property_id, coalesce(v.attribute_name, '') AS attribute_name, v.value, v.group_name FROM targets t JOIN (
   SELECT entity, property_id, attribute_name, group_name, o_value AS value FROM mine JOIN props ON inline_target IS NOT NULL AND p = '{tri.NS}' || inline_target

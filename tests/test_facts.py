@@ -91,3 +91,57 @@ def test_vocabularies_store_no_processed_facts(spark, name):
     Q[name](spark, "/root/testdata/sf0.001")
     made = [spark.read.parquet(p).columns for p in scratch._tables if p not in before]
     assert made.count(tri.COLUMNS) == 1  # the raw ones
+
+
+def plain_process(raw, rules):
+    """One entity after the other, in Python. rules: property to (action, target, keep_source)."""
+    out = set()
+    for e in {x[0] for x in raw}:
+        mine, subject = {x for x in raw if x[0] == e}, tri.WD + e
+        pid = lambda x: x[2].removeprefix(tri.WDT) if x[2] and x[2].startswith(tri.WDT) else None
+        rule = lambda x: rules.get(pid(x), ("keep", None, False))
+        kept, made = set(), set()
+        for x in (x for x in mine if x[1] == subject and (x[2] == tri.LABEL or (pid(x) and rule(x)[0] != "ignore"))):
+            labels = [y for lang in ("de", "en") for y in sorted((y for y in mine if y[1] == x[4] and y[2] == tri.LABEL and y[3] == "literal" and y[5] == lang), key=str)]
+            hit = rule(x)[0] == "inline" and x[3] == "iri" and labels
+            if hit:
+                made.add((e, subject, tri.NS + rule(x)[1], "literal", *labels[0][4:]))
+            if not hit or rule(x)[2]:
+                kept.add(x)
+        linked = {x[4] for x in kept if x[3] == "iri" and x[4].startswith(tri.WD)}
+        out |= {x for x in kept | made | {x for x in mine if x[1] in linked} if x[5] in (None, "de", "en")}
+    return out
+
+
+def test_processing_is_that_of_plain_python_on_graphs_that_point_to_themselves(spark):
+    import random
+
+    rnd, raw = random.Random(3), set()
+    for e in (f"Q{i}" for i in range(1, 13)):
+        node = lambda: f"{tri.WD}Q{rnd.randint(1, 14)}" if rnd.random() < 0.8 else f"{tri.WD}{e}"  # noqa: B023, E731
+        for _ in range(60):
+            p = rnd.choice([tri.LABEL, tri.LABEL, *[f"{tri.WDT}P{i}" for i in (1, 1, 2, 3, 4, 5)], "http://other", None, tri.NS + "shape"])
+            s = node() if p == tri.LABEL else rnd.choice([node(), tri.WD + e, tri.WD + e])
+            if p != tri.LABEL and rnd.random() < 0.6:
+                raw.add((e, s, p, "iri", rnd.choice([node(), node(), "http://x/y"]), rnd.choice([None] * 9 + ["fr"])))
+            else:
+                raw.add((e, s, p, "literal", rnd.choice("abc"), rnd.choice([None, "de", "en", "en", "fr"])))
+    rules = {"P1": ("inline", "shape", False), "P2": ("inline", "kept", True), "P3": ("ignore", None, False)}
+    got = [tuple(r) for r in tri.process(spark.createDataFrame(sorted(raw, key=str), FACT), config(spark)).collect()]
+    assert sorted(got, key=str) == sorted(plain_process(raw, rules), key=str)
+
+
+def made_by(spark, name):
+    """The query's frame, and the columns of each table that it stored."""
+    from grove.plans.fact_queries import Q
+    from grove.sources import scratch
+
+    before = set(scratch._tables)
+    out = Q[name](spark, "/root/testdata/sf0.001")
+    return out, [spark.read.parquet(p).columns for p in scratch._tables if p not in before]
+
+
+def test_processing_deals_facts_once_and_stores_none(spark):
+    out, stored = made_by(spark, "tri_process")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert stored == [] and plan.count("Exchange hashpartitioning(entity#") == 1 and "SortMergeJoin" not in plan
