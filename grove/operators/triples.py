@@ -160,21 +160,32 @@ def resolved_literals(literals: DataFrame, keys: list[str]) -> DataFrame:
     return rows.filter(F.col("o_lang").isNull() | (F.col("o_lang") == F.when(F.col("german"), "de").otherwise("en"))).drop("german")
 
 
+def of_entities(facts: DataFrame, entities: DataFrame, key: str = "qid") -> DataFrame:
+    """Facts of entities that a table names."""
+    return facts.join(entities.select(F.col(key).alias("entity")).distinct(), "entity", "left_semi")
+
+
 def export(targets: DataFrame, facts: DataFrame, config: DataFrame) -> DataFrame:
     """Flat rows (line, qid, botanic, common, property_id, attribute_name, value, group_name) of each target's importable facts.
 
     Inlined properties are read from their own facts; the others directly, where links to entities give the label (without one
-    nothing) and other links their address. Several targets of an entity each get all its values.
+    nothing) and other links their address. Several targets of an entity each get all its values. Of tagged literals of a property
+    all German ones count, else all English ones; untagged ones always. Links meet labels, and literals those of their property, in one window.
     """
     props = config.filter("importable").select("property_id", "inline_target", "attribute_name", F.coalesce("import_group", F.lit("")).alias("group_name"))
-    own = facts.filter(F.col("s") == subject())
-    inline = own.withColumn("inline_target", st.local_id(F.col("p"), NS)).join(props, "inline_target").select("entity", "property_id", "attribute_name", "group_name", F.col("o_value").alias("value"))
-    direct = own.filter(F.startswith("p", F.lit(WDT))).withColumn("property_id", property_id()).join(props.filter("inline_target is null"), "property_id")
-    cols = ["entity", "property_id", "attribute_name", "group_name"]
-    links = direct.filter("o_kind = 'iri'").join(preferred_labels(facts, "export").withColumnRenamed("s", "o_value"), ["entity", "o_value"], "left")
-    links = links.select(*cols, F.when(F.startswith("o_value", F.lit(WD)), F.col("label")).otherwise(F.col("o_value")).alias("value")).filter("value is not null")
-    plain = resolved_literals(direct.filter("o_kind = 'literal'").select(*cols, "o_value", "o_lang"), ["entity", "property_id"]).select(*cols, F.col("o_value").alias("value"))
-    values = inline.unionByName(links).unionByName(plain)
+    predicate = F.when(F.col("inline_target").isNotNull(), F.concat(F.lit(NS), "inline_target")).otherwise(F.concat(F.lit(WDT), "property_id"))
+    uses = props.groupBy(predicate.alias("p")).agg(F.collect_list(F.struct("property_id", "attribute_name", "group_name")).alias("uses"))
+    rows = facts.join(uses, "p", "left").withColumn("used", F.coalesce((F.col("s") == subject()) & F.col("uses").isNotNull(), F.lit(False)))
+    direct = F.col("used") & F.startswith("p", F.lit(WDT))
+    rows = rows.withColumns({"link": F.coalesce(direct & (F.col("o_kind") == "iri"), F.lit(False)), "literal": F.coalesce(direct & (F.col("o_kind") == "literal"), F.lit(False)), "inlined": ~direct & F.col("used")})
+    rows = rows.filter(F.col("inlined") | F.col("link") | F.col("literal") | is_label("export"))
+    rows = rows.withColumn("node", F.when(F.col("link"), F.col("o_value")).when(F.col("literal"), F.col("p")).otherwise(F.col("s")))
+    node = Window.partitionBy("entity", "node")
+    rows = rows.withColumns({"ranked": F.min(F.when(F.col("s").isNotNull(), ranked_label("export"))).over(node), "german": F.max(F.col("literal") & F.coalesce(F.col("o_lang") == "de", F.lit(False))).over(node)})
+    value = F.when(F.col("link") & F.startswith("o_value", F.lit(WD)), label_of("ranked")).otherwise(F.col("o_value"))
+    told = F.col("o_lang").isNull() | (F.col("o_lang") == F.when(F.col("german"), "de").otherwise("en"))
+    rows = rows.withColumn("value", value).filter(F.col("inlined") | (F.col("link") & F.col("value").isNotNull()) | (F.col("literal") & told))
+    values = rows.select("entity", "value", F.explode("uses").alias("use")).select("entity", "value", "use.*")
     out = targets.join(values, targets["qid"] == values["entity"])
     return out.select("line", "qid", "botanic", "common", "property_id", F.coalesce("attribute_name", F.lit("")).alias("attribute_name"), "value", "group_name")
 

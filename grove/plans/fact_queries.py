@@ -113,9 +113,10 @@ def labels(s, d):
     return tri.preferred_labels(facts, "inline").join(export, ["entity", "s"], "left")
 
 
-def done(s, d):
-    """Processed facts as a table: exports read them several times."""
-    return stored(processed(s, d))
+def exported(s, d):
+    """Only what the mapping's targets export is processed: an entity's facts are told by its own graph. Targets are read twice, so they are stored."""
+    wanted = stored(targets(s, d))
+    return tri.export(wanted, tri.process(tri.of_entities(frame(s, d, "tri"), wanted), config(s, d)), named(s, d))
 
 
 def processed(s, d):
@@ -149,7 +150,7 @@ EXP = TRI | {
     "elabel": f"SELECT entity, s AS o_value, label FROM ({q_pref('done', 'export')})",
     "classified": CLASSIFIED, "targets": TARGETS,
 }
-Q["tri_export"] = lambda s, d: tri.export(targets(s, d), done(s, d), named(s, d))
+Q["tri_export"] = exported
 O["tri_export"] = sql("cfg tri map", EXPORT, **EXP)
 
 

@@ -145,3 +145,20 @@ def test_processing_deals_facts_once_and_stores_none(spark):
     out, stored = made_by(spark, "tri_process")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert stored == [] and plan.count("Exchange hashpartitioning(entity#") == 1 and "SortMergeJoin" not in plan
+
+
+def test_export_stores_targets_only_and_processes_their_entities_only(spark):
+    out, stored = made_by(spark, "tri_export")
+    assert stored == [["line", "botanic", "common", "qid", "key"]]
+    facts = graph(spark, [("Q1", "wd:Q1", "label", "literal", "a", "de"), ("Q2", "wd:Q2", "label", "literal", "b", "de")])
+    targets = spark.createDataFrame([(2, "Q1"), (3, "Q1"), (4, "Q7"), (5, None)], "line long, qid string")
+    assert [r.o_value for r in tri.of_entities(facts, targets).collect()] == ["a"]
+
+
+def test_export_tells_literals_of_a_property_and_labels_of_a_node_apart(spark):
+    rows = [("Q1", "wd:Q1", "wdt:P4", "literal", "x", "en"), ("Q1", "wd:Q1", "wdt:P4", "literal", "y", "de"), ("Q1", "wd:Q1", "wdt:P5", "literal", "z", "en"), ("Q1", "wd:Q1", "wdt:P5", "literal", "w", "fr"), ("Q1", "wd:Q1", "wdt:P5", "other", "v", None),
+            ("Q1", "wd:Q1", "wdt:P5", "iri", "wdt:P4", None), ("Q1", "wd:Q1", "wdt:P5", "iri", "wd:Q2", None), ("Q1", "wd:Q1", "wdt:P5", "iri", "wd:Q3", None), ("Q1", "wd:Q2", "label", "literal", "two", "en"), ("Q1", "wd:Q2", "label", "literal", "zwei", None),
+            ("Q2", "wd:Q2", "label", "literal", "another graph", "de"), ("Q1", "wd:Q2", "wdt:P4", "literal", "not its own", None)]
+    targets = spark.createDataFrame([(2, "A", "B", "Q1")], "line long, botanic string, common string, qid string")
+    got = sorted((r.property_id, r.value) for r in tri.export(targets, graph(spark, rows), config(spark)).collect())
+    assert got == [("P4", "y"), ("P5", "wdt:P4"), ("P5", "z"), ("P5", "zwei")]
